@@ -7,83 +7,72 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from jobsieve import fixed
-from jobsieve.functions.let import let
-from jobsieve.functions.text import strip
+from jobsieve.functions.let import apply, bind, let, text, texts
+from jobsieve.functions.text import strip, strip_sql
 
-_FLAGS = "(?iU)"
+def _group(x: str, pattern: str, n: int) -> str:
+    return f"nullif(regexp_extract({x}, {text('(?iU)' + pattern)}, {n}), '')"
 
 
-def _group(c: Column, pattern: str, n: int) -> Column:
-    return F.nullif(F.regexp_extract(c, _FLAGS + pattern, n), F.lit(""))
+def _tier_sql(number: str) -> str:
+    cases = " ".join(f"WHEN {n} THEN {text(t)}" for n, t in fixed.HEADCOUNT_TIERS.items())
+    return f"CASE {number} {cases} END"
 
 
-def _tier_label(number: Column) -> Column:
-    """Label of an exact tier number, null for every other number."""
-    tiers = fixed.HEADCOUNT_TIERS
-    keys = F.lit(list(tiers)).cast("array<bigint>")
-    return F.get(F.lit(list(tiers.values())), F.array_position(keys, number).cast("int") - 1)
-
-
-def _count_label(number: Column) -> Column:
-    label = F.concat(F.format_number(number, 0), F.lit(" employees"))
-    small = F.when(number <= max(fixed.HEADCOUNT_TIERS), number.cast("long"))
-    return F.coalesce(_tier_label(small), label)
-
-
-def _scaled(amount: Column, unit: Column) -> Column:
-    factor = F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).otherwise(1.0)
-    value = F.rint(amount.try_cast("double") * factor)
-    return F.when(value >= 0, value.try_cast("decimal(38,0)"))
+def number_sql(x: str) -> str:
+    """Rounded whole number of '1,250', '1.2K', '3M' or '1B'; half values go to even."""
+    unit = f"lower(regexp_extract(plain, {text('([kmbKMB])$')}, 1))"
+    amount = f"try_cast(regexp_replace(plain, {text(r'(?U)\s*[kmbKMB]$')}, '') AS double)"
+    factor = f"CASE {unit} WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1e0 END"
+    shape = text(r"(?U)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\s*[kmbKMB]?$")
+    value = bind(
+        f"rint({amount} * {factor})", "v", "CASE WHEN v >= 0 THEN try_cast(v AS decimal(38,0)) END"
+    )
+    return bind(
+        f"translate({strip_sql(x)}, ',', '')", "plain", f"CASE WHEN plain RLIKE {shape} THEN {value} END"
+    )
 
 
-def _number_of(plain: Column) -> Column:
-    unit = F.lower(F.regexp_extract(plain, r"(?U)\s*([kmbKMB])$", 1))
-    amount = F.regexp_replace(plain, r"(?U)\s*[kmbKMB]$", "")
-    return F.when(plain.rlike(r"(?U)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\s*[kmbKMB]?$"),
-                  _scaled(amount, unit))
+def _labelled_sql(x: str, pattern: str) -> str:
+    """Tier or count label of the number that a pattern finds."""
+    label = f"coalesce({_tier_sql('n')}, concat(format_number(n, 0), ' employees'))"
+    return bind(number_sql(_group(x, pattern, 1)), "n", label)
+
+
+def headcount_sql(x: str) -> str:
+    spelled = text(r"^[+-]?([0-9]{1,15}\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9])?$")
+    digits = f"regexp_replace(h, {text('(?<=[0-9])_(?=[0-9])')}, '')"
+    exact = f"CASE WHEN {digits} RLIKE {spelled} THEN floor(try_cast({digits} AS double)) END"
+    more = " , ".join(_group("h", fixed.MORE_THAN_PATTERN, n) for n in (1, 2))
+    low, high = (_group("h", fixed.RANGE_PATTERN, n) for n in (1, 2))
+    labelled = ", ".join(
+        _labelled_sql("h", pattern)
+        for pattern in (
+            fixed.LABEL_BEFORE_PATTERN,
+            fixed.LABEL_AFTER_PATTERN,
+            fixed.PURE_NUMBER_PATTERN,
+        )
+    )
+    # every rule needs a digit or a comma, so other text skips the patterns
+    rules = f"""CASE WHEN h RLIKE '[0-9,]' THEN coalesce({_tier_sql(exact)},
+      concat('More than ', coalesce({more}), ' employees'),
+      concat({low}, ' - ', {high}, ' employees'), {labelled}) END"""
+    return f"coalesce({bind(strip_sql(x), 'h', rules)}, {text(fixed.NOT_AVAILABLE)})"
 
 
 def parse_numeric_suffix(c: Column) -> Column:
     """`parse_numeric_suffix`: '1,250', '1.2K', '3M', '1B' -> rounded whole number."""
-    return let(F.translate(strip(c), ",", ""), _number_of)
-
-
-def _labelled_count(text: Column, pattern: str) -> Column:
-    return let(parse_numeric_suffix(_group(text, pattern, 1)), _count_label)
-
-
-def _headcount_of(text: Column) -> Column:
-    number_text = F.regexp_replace(text, r"(?<=[0-9])_(?=[0-9])", "")
-    exact = F.when(
-        number_text.rlike(r"^[+-]?([0-9]{1,15}\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9])?$"),
-        F.floor(number_text.try_cast("double")),
-    )
-    more = F.coalesce(
-        _group(text, fixed.MORE_THAN_PATTERN, 1), _group(text, fixed.MORE_THAN_PATTERN, 2)
-    )
-    low, high = _group(text, fixed.RANGE_PATTERN, 1), _group(text, fixed.RANGE_PATTERN, 2)
-    return F.coalesce(
-        _tier_label(exact),
-        F.concat(F.lit("More than "), more, F.lit(" employees")),
-        F.concat(low, F.lit(" - "), high, F.lit(" employees")),
-        _labelled_count(text, fixed.LABEL_BEFORE_PATTERN),
-        _labelled_count(text, fixed.LABEL_AFTER_PATTERN),
-        _labelled_count(text, fixed.PURE_NUMBER_PATTERN),
-        F.lit(fixed.NOT_AVAILABLE),
-    )
+    return apply(number_sql("x"), c)
 
 
 def parse_headcount(c: Column) -> Column:
     """`parse_headcount`: tier, 'More than N', range or count label; else N/A."""
-    # every rule needs a digit or a comma, so other text skips the patterns
-    return F.when(c.rlike("[0-9,]"), let(strip(c), _headcount_of)).otherwise(
-        F.lit(fixed.NOT_AVAILABLE)
-    )
+    return apply(headcount_sql("x"), c)
 
 
-def profile_size_from_text(text: Column) -> Column:
+def profile_size_from_text(profile: Column) -> Column:
     """`profile_size_from_text`: the '**Size:** value' line of a profile, else N/A."""
-    value = strip(F.regexp_extract(text, r"(?U)\*\*Size:\*\*\s*([^\n\r]+)", 1))
+    value = strip(F.regexp_extract(profile, r"(?U)\*\*Size:\*\*\s*([^\n\r]+)", 1))
     unusable = ("", *fixed.PROFILE_SIZE_UNSPECIFIED)
     return let(
         value,
@@ -97,32 +86,36 @@ def profile_size_from_html(html: Column) -> Column:
     return parse_headcount(F.regexp_replace(html, "(?s)<[^>]*>", " "))
 
 
-def size_unspecified(c: Column) -> Column:
-    """`size_unspecified`: null or one of the words for 'not mentioned', any case."""
-    return F.coalesce(F.lower(strip(c)).isin(*fixed.SIZE_UNSPECIFIED), F.lit(True))
+def unspecified_sql(x: str) -> str:
+    return f"coalesce(lower({strip_sql(x)}) IN ({texts(fixed.SIZE_UNSPECIFIED)}), true)"
 
 
-def _small(text: Column) -> Column:
-    """Size test on stripped text; a range decides before '+', '+' before a number."""
+def under_100_sql(x: str) -> str:
+    """A range decides before '+', '+' before a single number; grouping commas go first."""
+    plain = f"regexp_replace(lower(h), {text('(?<=[0-9]),(?=[0-9])')}, '')"
+    pair = text(r"([0-9]+)\s*[-–—to]+\s*([0-9]+)")
+    high = f"try_cast(regexp_extract(d, {pair}, 2) AS double)"
+    one = f"""CASE WHEN NOT d RLIKE {text(r"[0-9]\+")}
+      THEN try_cast(regexp_extract(d, '([0-9]+)', 1) AS double) END"""
     limit = fixed.SMALL_COMPANY
-    plain = F.regexp_replace(F.lower(text), "(?<=[0-9]),(?=[0-9])", "")
-    high = F.regexp_extract(plain, r"([0-9]+)\s*[-–—to]+\s*([0-9]+)", 2).try_cast("double")
-    first = F.when(
-        ~plain.rlike(r"[0-9]\+"), F.regexp_extract(plain, "([0-9]+)", 1).try_cast("double")
-    )
-    return F.when(
-        ~text.isin(*fixed.SIZE_NOT_SMALL), F.coalesce(high <= limit, first < limit)
-    )
+    test = bind(plain, "d", f"coalesce({high} <= {limit}, {one} < {limit})")
+    stated = f"CASE WHEN h NOT IN ({texts(fixed.SIZE_NOT_SMALL)}) THEN {test} END"
+    return f"coalesce({bind(strip_sql(x), 'h', stated)}, false)"
+
+
+def size_unspecified(c: Column) -> Column:
+    """`size_unspecified`: null or one of the words for 'not mentioned', any case."""
+    return apply(unspecified_sql("x"), c)
 
 
 def size_under_100(c: Column) -> Column:
     """`size_under_100`: fewer than 100 people; digit-grouping commas are ignored."""
-    return F.coalesce(let(strip(c), _small), F.lit(False))
+    return apply(under_100_sql("x"), c)
 
 
 def size_eligible(c: Column) -> Column:
     """`size_eligible`: the store gate, unspecified or under 100."""
-    return size_unspecified(c) | size_under_100(c)
+    return apply(f"({unspecified_sql('x')} OR {under_100_sql('x')})", c)
 
 
 def size_bucket(c: Column) -> Column:

@@ -1,127 +1,123 @@
-"""Semantic predicates on company, role and headcount text (Column -> Column)."""
+"""Semantic predicates on company, role and headcount text.
+
+As in the text module, each rule exists as SQL text and as a Column function.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 from jobsieve import fixed
-from jobsieve.functions.let import let
-from jobsieve.functions.text import clean_company, clean_role, clean_text, strip
-
-
-def _words(words) -> str:
-    return "|".join(words)
+from jobsieve.functions.let import apply, bind, text, texts
+from jobsieve.functions.text import clean_label_sql, clean_text_sql, normalize_key, strip_sql
 
-
-_AFFIX = f"(?<![a-z])(?:{_words(fixed.COMPANY_AFFIXES)})(?![a-z])"
+_AFFIX = f"(?<![a-z])(?:{'|'.join(fixed.COMPANY_AFFIXES)})(?![a-z])"
 _ONLY_LOCATION_WORDS = (
-    f"^[^a-z]*(?:(?:{_words(fixed.LOCATION_WORDS)})(?![a-z])[^a-z]*)+$"
+    f"^[^a-z]*(?:(?:{'|'.join(fixed.LOCATION_WORDS)})(?![a-z])[^a-z]*)+$"
 )
 _CITY_AND_CODE = r"^[A-Z\s]+,\s*[A-Z]{2}$"
 
 
-def location_text(clean: Column) -> Column:
-    """`is_location` on text that is already cleaned."""
-    return let(F.lower(clean), _location_lower)
+def _matches(x: str, pattern: str) -> str:
+    return f"{x} RLIKE {text(pattern)}"
 
 
-def _location_lower(lower: Column) -> Column:
-    by_words = ~lower.rlike(_AFFIX) & (
-        lower.rlike(_ONLY_LOCATION_WORDS)
-        | (lower.rlike("[a-z]") & F.upper(lower).rlike(_CITY_AND_CODE))
+def location_sql(clean: str) -> str:
+    """Place test on text that is already cleaned."""
+    by_words = (
+        f"NOT {_matches('low', _AFFIX)} AND ({_matches('low', _ONLY_LOCATION_WORDS)} OR "
+        f"(low RLIKE '[a-z]' AND {_matches('upper(low)', _CITY_AND_CODE)}))"
+    )
+    return bind(
+        f"lower({clean})", "low", f"(low IN ({texts(fixed.KNOWN_LOCATIONS)}) OR ({by_words}))"
     )
-    return lower.isin(*fixed.KNOWN_LOCATIONS) | by_words
 
 
-def noise_text(clean: Column) -> Column:
-    """`is_noise` on text that is already cleaned once."""
-    words = F.size(F.split(clean, " "))
-    date = clean.rlike(rf"(?iU)\b(?:{fixed.DATE_WORDS})\b")
-    salary = clean.rlike(rf"(?iU)(?:{fixed.SALARY_MARKS}|\b(?:{fixed.SALARY_WORDS})\b)")
-    job_type = clean.rlike(rf"(?iU)\b(?:{fixed.JOB_TYPE_WORDS})\b")
-    return (
-        (clean == "")
-        | let(clean_text(clean), location_text)
-        | ((date | salary) & (words <= 5))
-        | (job_type & (words <= 4))
+def noise_sql(clean: str) -> str:
+    """Noise test on text that is already cleaned once."""
+    date = _matches("s", rf"(?iU)\b(?:{fixed.DATE_WORDS})\b")
+    salary = _matches("s", rf"(?iU)(?:{fixed.SALARY_MARKS}|\b(?:{fixed.SALARY_WORDS})\b)")
+    job_type = _matches("s", rf"(?iU)\b(?:{fixed.JOB_TYPE_WORDS})\b")
+    words = "size(split(s, ' '))"
+    return bind(
+        clean,
+        "s",
+        f"(s = '' OR {location_sql(clean_text_sql('s'))} OR (({date} OR {salary}) AND "
+        f"{words} <= 5) OR ({job_type} AND {words} <= 4))",
+    )
+
+
+def description_sql(clean: str) -> str:
+    """Description test on text that is already cleaned."""
+    starter = _matches("s", rf"(?iU)^(?:{fixed.DESCRIPTION_STARTERS})\b")
+    sentence = _matches("s", r"\.\s+[A-Z]")
+    return bind(
+        clean, "s", f"({starter} OR {sentence} OR length(s) > {fixed.DESCRIPTION_LENGTH})"
     )
 
 
-def description_text(clean: Column) -> Column:
-    """`is_description` on text that is already cleaned."""
+def _name_sql(raw: str, clean: str, limits: tuple[int, int], extra: str) -> str:
+    low, high = limits
     return (
-        clean.rlike(rf"(?iU)^(?:{fixed.DESCRIPTION_STARTERS})\b")
-        | clean.rlike(r"\.\s+[A-Z]")
-        | (F.length(clean) > fixed.DESCRIPTION_LENGTH)
+        f"coalesce({strip_sql(raw)} <> '' AND length({clean}) BETWEEN {low} AND {high} AND "
+        f"lower({clean}) NOT IN ({texts(fixed.UI_ACTIONS)}) AND {extra}, false)"
     )
 
 
-def company_text(raw: Column, clean: Column, text: Column) -> Column:
-    """`valid_company` from the raw value, its cleaned form and the re-cleaned text."""
-    low, high = fixed.COMPANY_LENGTH
-    ok = (
-        (strip(raw) != "")
-        & F.length(clean).between(low, high)
-        & ~F.lower(clean).isin(*fixed.UI_ACTIONS)
-        & ~location_text(text)
-        & ~description_text(text)
+def valid_company_sql(raw: str) -> str:
+    extra = bind(
+        clean_text_sql("c"), "again", f"NOT {location_sql('again')} AND NOT {description_sql('again')}"
     )
-    return F.coalesce(ok, F.lit(False))
-
-
-def role_text(raw: Column, clean: Column, text: Column) -> Column:
-    """`valid_role` from the raw value, its cleaned form and the re-cleaned text."""
-    low, high = fixed.ROLE_LENGTH
-    ok = (
-        (strip(raw) != "")
-        & F.length(clean).between(low, high)
-        & ~F.lower(clean).isin(*fixed.UI_ACTIONS)
-        & ~description_text(text)
-        & ~clean.rlike(r"^\s*[-•*]\s+")
+    return bind(clean_label_sql(raw), "c", _name_sql(raw, "c", fixed.COMPANY_LENGTH, extra))
+
+
+def valid_role_sql(raw: str) -> str:
+    extra = (
+        f"NOT {description_sql(clean_text_sql('c'))} AND NOT "
+        + _matches("c", r"^\s*[-•*]\s+")
     )
-    return F.coalesce(ok, F.lit(False))
+    return bind(clean_label_sql(raw), "c", _name_sql(raw, "c", fixed.ROLE_LENGTH, extra))
+
+
+def valid_headcount_sql(x: str) -> str:
+    number = r"[0-9]+(?:,[0-9]+)?"
+    plain = _matches("h", rf"(?iU)^{number}(?:\s*[-–—]\s*{number})?\s*(?:employees)?$")
+    more = _matches("h", rf"(?iU)^more than\s*{number}\s*employees$")
+    hedged = _matches("h", rf"(?iU)\b(?:{fixed.HEDGES})\b")
+    ok = f"h = {text(fixed.NOT_AVAILABLE)} OR (NOT {hedged} AND ({plain} OR {more}))"
+    return f"coalesce({bind(strip_sql(x), 'h', ok)}, false)"
 
 
 def is_location(c: Column) -> Column:
     """`is_location`: a place name, only location words, or 'City, XX'."""
-    return let(clean_text(c), location_text)
+    return apply(location_sql(clean_text_sql("x")), c)
 
 
 def is_noise(c: Column) -> Column:
     """`is_noise`: blank, location, short date or salary text, short job type."""
-    return let(clean_text(c), noise_text)
+    return apply(noise_sql(clean_text_sql("x")), c)
 
 
 def is_description(c: Column) -> Column:
     """`is_description`: starter phrase, sentence break, or too long."""
-    return let(clean_text(c), description_text)
+    return apply(description_sql(clean_text_sql("x")), c)
 
 
 def valid_company(c: Column) -> Column:
     """`valid_company`: a plausible company name."""
-    return let(
-        clean_company(c),
-        lambda clean: let(clean_text(clean), lambda text: company_text(c, clean, text)),
-    )
+    return apply(valid_company_sql("x"), c)
 
 
 def valid_role(c: Column) -> Column:
     """`valid_role`: a plausible job title."""
-    return let(
-        clean_role(c),
-        lambda clean: let(clean_text(clean), lambda text: role_text(c, clean, text)),
-    )
+    return apply(valid_role_sql("x"), c)
 
 
 def valid_headcount(c: Column) -> Column:
     """`valid_headcount`: N/A, a count, a range, or 'more than N employees'."""
-    return F.coalesce(let(strip(c), _headcount_shape), F.lit(False))
+    return apply(valid_headcount_sql("x"), c)
 
 
-def _headcount_shape(text: Column) -> Column:
-    number = r"[0-9]+(?:,[0-9]+)?"
-    shape = text.rlike(
-        rf"(?iU)^{number}(?:\s*[-–—]\s*{number})?\s*(?:employees)?$"
-    ) | text.rlike(rf"(?iU)^more than\s*{number}\s*employees$")
-    hedged = text.rlike(rf"(?iU)\b(?:{fixed.HEDGES})\b")
-    return (text == fixed.NOT_AVAILABLE) | (~hedged & shape)
+def same_key(a: Column, b: Column) -> Column:
+    """True when two texts have the same comparison key."""
+    return F.equal_null(normalize_key(a), normalize_key(b))

@@ -1,42 +1,53 @@
-"""Text cleaning and key functions (Column -> Column, all JVM-side expressions)."""
+"""Text cleaning and key functions.
+
+Each rule exists as SQL text (``*_sql``, text in, text out) for use inside
+larger rules, and as a Column function.
+"""
 
 from __future__ import annotations
 
 import html
-import json
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
 from jobsieve import fixed
+from jobsieve.functions.let import apply, bind
+from jobsieve.functions.let import text as literal
 
 # One character reference: decimal, hexadecimal or named.
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
-# Names that are also recognised without their semicolon, longest first.
-_BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
-# Numeric references that HTML maps to something other than their own code point.
-_REMAPPED = {
-    n: html.unescape(f"&#{n};") for n in range(256) if html.unescape(f"&#{n};") != chr(n)
-}
+# Lookup tables as one string each, |name=value| with control characters as marks.
+_OPEN, _SHUT = "\x01", "\x02"
+
+
+def _table(pairs: dict) -> str:
+    return literal(_OPEN + _OPEN.join(f"{k}{_SHUT}{v}" for k, v in pairs.items()) + _OPEN)
 
 
-def sql_text(value: str) -> str:
-    """A SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+_NAMED = _table(html5)
+# numbers that HTML maps to something other than their own code point
+_REMAPPED = _table(
+    {n: html.unescape(f"&#{n};") for n in range(256) if html.unescape(f"&#{n};") != chr(n)}
+)
+# names that are also recognised without their semicolon, longest first
+_BARE = "^(?:%s)" % "|".join(
+    sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+)
 
 
-def _constant(value, ddl: str) -> str:
-    """A map or array constant: one JSON literal that Catalyst folds while optimising."""
-    return f"from_json({sql_text(json.dumps(value, ensure_ascii=False))}, '{ddl}')"
+def _found(table: str, key: str, missing: str) -> str:
+    """The value of a key in a lookup table."""
+    entry = bind(f"locate(concat('{_OPEN}', {key}, '{_SHUT}'), {table})", "p", f"""CASE WHEN p > 0
+      THEN substring_index(substr({table}, p + length({key}) + 2), '{_OPEN}', 1)
+      ELSE {missing} END""")
+    return entry
 
 
-# The decoding rules as one SQL lambda: the same built-in expressions, but the
-# driver hands them over in a single call instead of hundreds.
 _CHAR = "decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32')"
 _FROM_NUMBER = f"""CASE
   WHEN n IS NULL OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN '\ufffd'
-  WHEN n < 256 THEN coalesce(
-    try_element_at({_constant(_REMAPPED, "map<string,string>")}, CAST(n AS string)), {_CHAR})
+  WHEN n < 256 THEN {_found(_REMAPPED, "CAST(n AS string)", _CHAR)}
   WHEN n BETWEEN 64976 AND 65007 OR n % 65536 IN (65534, 65535) THEN ''
   ELSE {_CHAR} END"""
 # over-long numbers become null and so the replacement character
@@ -44,49 +55,58 @@ _NUMBER = """CASE WHEN lower(substr(b, 2, 1)) = 'x' THEN
     CASE WHEN length(ltrim('0', translate(b, '#xX;', ''))) <= 8
       THEN try_cast(conv(translate(b, '#xX;', ''), 16, 10) AS bigint) END
   ELSE try_cast(translate(b, '#;', '') AS bigint) END"""
-_NAMES = _constant(html5, "map<string,string>")
+_FROM_BARE = bind(f"regexp_extract(b, {literal(_BARE)}, 0)", "m", f"""CASE
+  WHEN m = '' THEN concat('&', b)
+  ELSE concat({_found("names", "m", "m")}, substr(b, length(m) + 1)) END""")
 _FROM_BODY = f"""CASE
-  WHEN startswith(b, '#') THEN transform(array({_NUMBER}), n -> {_FROM_NUMBER})[0]
-  WHEN map_contains_key({_NAMES}, b) THEN try_element_at({_NAMES}, b)
-  ELSE transform(array(get(filter({_constant(_BARE_NAMES, "array<string>")},
-    n -> startswith(b, n)), 0)), m -> CASE WHEN m IS NULL THEN concat('&', b)
-    ELSE concat(try_element_at({_NAMES}, m), substr(b, length(m) + 1)) END)[0] END"""
-_UNESCAPE = f"""t -> CASE WHEN contains(t, '&') THEN array_join(zip_with(
-    split(t, {sql_text(_REFERENCE)}, -1),
-    concat(transform(regexp_extract_all(t, {sql_text(_REFERENCE)}, 0),
-      r -> transform(array(substr(r, 2)), b -> {_FROM_BODY})[0]), array('')),
-    (p, d) -> concat(p, d)), '') ELSE t END"""
+  WHEN startswith(b, '#') THEN {bind(_NUMBER, "n", _FROM_NUMBER)}
+  ELSE {bind(_NAMED, "names", _found("names", "b", _FROM_BARE))} END"""
 
 
-def html_unescape(c: Column) -> Column:
-    """Decode HTML character references; strings without an ampersand pass untouched."""
-    return F.get(F.call_function("transform", F.array(c), F.expr(_UNESCAPE)), F.lit(0))
+def unescape_sql(x: str) -> str:
+    decoded = f"""array_join(zip_with(split(t, {literal(_REFERENCE)}, -1),
+      concat(transform(regexp_extract_all(t, {literal(_REFERENCE)}, 0),
+        r -> {bind("substr(r, 2)", "b", _FROM_BODY)}), array('')), (p, d) -> concat(p, d)), '')"""
+    return bind(x, "t", f"CASE WHEN contains(t, '&') THEN {decoded} ELSE t END")
 
 
-def squeeze(c: Column) -> Column:
-    """Drop control characters, collapse Unicode white space, trim."""
-    printable = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    return F.trim(F.regexp_replace(printable, r"(?U)\s+", " "))
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, {literal(r'(?U)^\s+|\s+$')}, '')"
 
 
-def clean_text(c: Column) -> Column:
-    """`clean_text`: unescape, drop control characters, collapse white space; null -> ''."""
-    return squeeze(html_unescape(F.coalesce(c, F.lit(""))))
+def clean_text_sql(x: str) -> str:
+    controls = literal(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
+    plain = f"regexp_replace({unescape_sql(f"coalesce({x}, '')")}, {controls}, '')"
+    return f"trim(regexp_replace({plain}, {literal(r'(?U)\s+')}, ' '))"
+
+
+def clean_label_sql(x: str) -> str:
+    unnumbered = f"regexp_replace({clean_text_sql(x)}, {literal(r'(?U)^\d+[.)]\s+')}, '')"
+    return f"btrim({unnumbered}, {literal(fixed.EDGE_PUNCTUATION)})"
 
 
-def _strip_label(clean: Column) -> Column:
-    unnumbered = F.regexp_replace(clean, r"(?U)^\d+[.)]\s+", "")
-    return F.btrim(unnumbered, F.lit(fixed.EDGE_PUNCTUATION))
+def key_sql(x: str) -> str:
+    return f"regexp_replace(lower({clean_text_sql(x)}), '[^a-z0-9]', '')"
+
+
+def html_unescape(c: Column) -> Column:
+    """Decode HTML character references; strings without an ampersand pass untouched."""
+    return apply(unescape_sql("x"), c)
+
+
+def clean_text(c: Column) -> Column:
+    """`clean_text`: unescape, drop control characters, collapse white space; null -> ''."""
+    return apply(clean_text_sql("x"), c)
 
 
 def clean_company(c: Column) -> Column:
     """`clean_company`: cleaned text without leading numbering and edge punctuation."""
-    return _strip_label(clean_text(c))
+    return apply(clean_label_sql("x"), c)
 
 
 def clean_role(c: Column) -> Column:
     """`clean_role`: the same rules for a job role."""
-    return _strip_label(clean_text(c))
+    return apply(clean_label_sql("x"), c)
 
 
 def letters_and_digits(clean: Column) -> Column:
@@ -96,7 +116,7 @@ def letters_and_digits(clean: Column) -> Column:
 
 def normalize_key(c: Column) -> Column:
     """`normalize_key`: comparison key; '' for text without Latin letters or digits."""
-    return letters_and_digits(clean_text(c))
+    return apply(key_sql("x"), c)
 
 
 def strip(c: Column) -> Column:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsieve import fixed
 from jobsieve.functions.headcount import size_eligible, size_under_100
-from jobsieve.functions.text import strip
+from jobsieve.functions.let import apply, bind, text
+from jobsieve.functions.text import strip_sql
 from jobsieve.operators.dedupe import distinct_in_category
 from jobsieve.operators.rules import (
     KeywordRule,
     RoleRule,
-    any_term,
+    any_term_sql,
     default_keyword_rules,
     default_role_rules,
 )
@@ -26,31 +28,25 @@ def keyword_match(df: DataFrame, rules: Iterable[KeywordRule] | None = None) ->
     """
     rules = default_keyword_rules() if rules is None else list(rules)
     lowered = df.withColumn("_lower", F.lower("job_role"))
-    hits = [
-        F.when(
-            any_term(F.col("_lower"), r.terms),
-            F.struct(
-                F.lit(r.category_id).alias("category_id"),
-                F.lit(r.category_name).alias("category_name"),
-                F.lit(r.keyword_pos).alias("keyword_pos"),
-                F.lit(r.keyword).alias("keyword"),
-            ),
-        )
+    hits = ", ".join(
+        f"CASE WHEN {any_term_sql('_lower', r.terms)} THEN named_struct('category_id', "
+        f"{text(r.category_id)}, 'category_name', {text(r.category_name)}, 'keyword_pos', "
+        f"{r.keyword_pos}, 'keyword', {text(r.keyword)}) END"
         for r in rules
-    ]
-    matched = lowered.withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
+    )
+    matched = lowered.withColumn("_hit", F.explode(F.expr(f"array_compact(array({hits}))")))
     return matched.select(*df.columns, "_hit.*")
 
 
 def classify_role(c: Column, rules: Iterable[RoleRule] | None = None) -> Column:
     """`classify_role`: first category with a matching term, else Other."""
     rules = default_role_rules() if rules is None else list(rules)
-    lower = F.lower(strip(c))
-    label = F.lit(fixed.OTHER_ROLE)
-    for rule in reversed(rules):
-        terms = "|".join(f"\\Q{t}\\E" for t in rule.terms)
-        label = F.when(lower.rlike(terms), F.lit(rule.category)).otherwise(label)
-    return label
+    cases = " ".join(
+        f"WHEN r RLIKE {text('|'.join(re.escape(t) for t in rule.terms))} THEN {text(rule.category)}"
+        for rule in rules
+    )
+    label = f"CASE {cases} ELSE {text(fixed.OTHER_ROLE)} END" if cases else text(fixed.OTHER_ROLE)
+    return apply(bind(f"lower({strip_sql('x')})", "r", label), c)
 
 
 def with_role_category(df: DataFrame, rules: Iterable[RoleRule] | None = None) -> DataFrame:

@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsieve import fixed
-from jobsieve.functions.predicates import company_text, role_text, valid_headcount
-from jobsieve.functions.text import clean_company, clean_role, clean_text, letters_and_digits
+from jobsieve.functions.predicates import same_key, valid_company, valid_headcount, valid_role
 
 
 def _has(c: Column | str, term: str) -> Column:
@@ -22,27 +21,15 @@ def like_any(c: Column | str, text: str) -> Column:
 
 
 def with_validity(df: DataFrame) -> DataFrame:
-    """Add is_valid: the `valid_record` test, with every cleaned form computed once."""
-    staged = df.withColumns(
-        {
-            "_company": clean_company(F.col("company_name")),
-            "_role": clean_role(F.col("job_role")),
-        }
-    ).withColumns(
-        {
-            "_company_text": clean_text(F.col("_company")),
-            "_role_text": clean_text(F.col("_role")),
-            "_company_key": letters_and_digits(clean_text(F.col("company_name"))),
-            "_role_key": letters_and_digits(clean_text(F.col("job_role"))),
-        }
-    )
+    """Add is_valid: the `valid_record` test."""
+    company, role = F.col("company_name"), F.col("job_role")
     ok = (
-        company_text(F.col("company_name"), F.col("_company"), F.col("_company_text"))
-        & role_text(F.col("job_role"), F.col("_role"), F.col("_role_text"))
-        & (F.col("_company_key") != F.col("_role_key"))
-        & valid_headcount(F.col("number_of_people"))
+        valid_headcount(F.col("number_of_people"))
+        & valid_company(company)
+        & valid_role(role)
+        & ~same_key(company, role)
     )
-    return staged.withColumn("is_valid", ok).select(*df.columns, "is_valid")
+    return df.withColumn("is_valid", ok)
 
 
 def valid_record(df: DataFrame) -> DataFrame:

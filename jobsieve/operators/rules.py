@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jobsieve import fixed
+from jobsieve.functions.let import text
 
 RULE_LIMIT = 20_000  # rows of a rules table that may become expressions
 
@@ -61,7 +61,7 @@ def rules_frame(spark: SparkSession, rules: Iterable[KeywordRule]) -> DataFrame:
     )
 
 
-def any_term(lower: Column, terms: Iterable[str]) -> Column:
-    """True when the lower-case text contains one of the trimmed terms."""
+def any_term_sql(lower: str, terms: Iterable[str]) -> str:
+    """SQL test: the lower-case text contains one of the trimmed terms."""
     trimmed = sorted({t.strip().lower() for t in terms})
-    return reduce(lambda a, b: a | b, [F.contains(lower, F.lit(t)) for t in trimmed])
+    return "(" + " OR ".join(f"contains({lower}, {text(t)})" for t in trimmed) + ")"

@@ -317,8 +317,8 @@ def bucket_test(x: str, name: str) -> str:
 
 _DEDUPE = dedupe_key("company_name", "job_role", "job_url")
 FIRST = (
-    f"first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_DEDUPE} ORDER BY pos) AS rn "
-    "FROM postings) WHERE rn = 1)"
+    f"first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_DEDUPE} ORDER BY pos) AS arrival "
+    "FROM postings) WHERE arrival = 1)"
 )
 VALID = (
     f"{valid_company('company_name')} AND {valid_role('job_role')} AND {key('company_name')} <> "
