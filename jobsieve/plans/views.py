@@ -84,8 +84,22 @@ APPLICATION = {
 }
 
 
+# tables that drive a query; the others are looked up
+_DRIVING = ("lineitem", "orders", "part", "documents", "pages", "events")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One given table.
+
+    A driving table stored as fewer file splits than there are cores is spread
+    by its first column, or one task would do all the work.  A large table has
+    more splits than cores and is read as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _DRIVING and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, df.columns[0])
+    return df
 
 
 def _select(df: DataFrame, columns: dict[str, str], *more) -> DataFrame:
