@@ -9,7 +9,13 @@ from pyspark.sql import Column, functions as F
 
 from jobsieve import fixed
 from jobsieve.functions.let import apply, bind, text, texts
-from jobsieve.functions.text import clean_label_sql, clean_text_sql, normalize_key, strip_sql
+from jobsieve.functions.text import (
+    clean_label_sql,
+    clean_text_sql,
+    label_sql,
+    letters_sql,
+    strip_sql,
+)
 
 _AFFIX = f"(?<![a-z])(?:{'|'.join(fixed.COMPANY_AFFIXES)})(?![a-z])"
 _ONLY_LOCATION_WORDS = (
@@ -64,19 +70,42 @@ def _name_sql(raw: str, clean: str, limits: tuple[int, int], extra: str) -> str:
     )
 
 
-def valid_company_sql(raw: str) -> str:
+def company_sql(raw: str, label: str) -> str:
+    """Company test from the raw value and its cleaned label."""
     extra = bind(
         clean_text_sql("c"), "again", f"NOT {location_sql('again')} AND NOT {description_sql('again')}"
     )
-    return bind(clean_label_sql(raw), "c", _name_sql(raw, "c", fixed.COMPANY_LENGTH, extra))
+    return bind(label, "c", _name_sql(raw, "c", fixed.COMPANY_LENGTH, extra))
 
 
-def valid_role_sql(raw: str) -> str:
+def role_sql(raw: str, label: str) -> str:
+    """Role test from the raw value and its cleaned label."""
     extra = (
         f"NOT {description_sql(clean_text_sql('c'))} AND NOT "
         + _matches("c", r"^\s*[-•*]\s+")
     )
-    return bind(clean_label_sql(raw), "c", _name_sql(raw, "c", fixed.ROLE_LENGTH, extra))
+    return bind(label, "c", _name_sql(raw, "c", fixed.ROLE_LENGTH, extra))
+
+
+def valid_company_sql(raw: str) -> str:
+    return company_sql(raw, clean_label_sql(raw))
+
+
+def valid_role_sql(raw: str) -> str:
+    return role_sql(raw, clean_label_sql(raw))
+
+
+def valid_record_sql(x: str) -> str:
+    """All tests of a record (a struct of company, role, people), cheapest first."""
+    names = (
+        f"{letters_sql('ct')} <> {letters_sql('rt')} AND "
+        f"{company_sql(f'{x}.company', label_sql('ct'))} AND "
+        f"{role_sql(f'{x}.role', label_sql('rt'))}"
+    )
+    cleaned = bind(
+        clean_text_sql(f"{x}.company"), "ct", bind(clean_text_sql(f"{x}.role"), "rt", names)
+    )
+    return f"({valid_headcount_sql(f'{x}.people')} AND {cleaned})"
 
 
 def valid_headcount_sql(x: str) -> str:
@@ -118,6 +147,7 @@ def valid_headcount(c: Column) -> Column:
     return apply(valid_headcount_sql("x"), c)
 
 
-def same_key(a: Column, b: Column) -> Column:
-    """True when two texts have the same comparison key."""
-    return F.equal_null(normalize_key(a), normalize_key(b))
+def valid_names_and_size(company: Column, role: Column, people: Column) -> Column:
+    """The `valid_record` test; its three inputs are evaluated once."""
+    record = F.struct(company.alias("company"), role.alias("role"), people.alias("people"))
+    return apply(valid_record_sql("x"), record)

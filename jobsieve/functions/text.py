@@ -80,13 +80,23 @@ def clean_text_sql(x: str) -> str:
     return f"trim(regexp_replace({plain}, {literal(r'(?U)\s+')}, ' '))"
 
 
-def clean_label_sql(x: str) -> str:
-    unnumbered = f"regexp_replace({clean_text_sql(x)}, {literal(r'(?U)^\d+[.)]\s+')}, '')"
+def label_sql(clean: str) -> str:
+    """Cleaned text without leading numbering and edge punctuation."""
+    unnumbered = f"regexp_replace({clean}, {literal(r'(?U)^\d+[.)]\s+')}, '')"
     return f"btrim({unnumbered}, {literal(fixed.EDGE_PUNCTUATION)})"
 
 
+def clean_label_sql(x: str) -> str:
+    return label_sql(clean_text_sql(x))
+
+
+def letters_sql(clean: str) -> str:
+    """Comparison key of cleaned text."""
+    return f"regexp_replace(lower({clean}), '[^a-z0-9]', '')"
+
+
 def key_sql(x: str) -> str:
-    return f"regexp_replace(lower({clean_text_sql(x)}), '[^a-z0-9]', '')"
+    return letters_sql(clean_text_sql(x))
 
 
 def html_unescape(c: Column) -> Column:
@@ -109,11 +119,6 @@ def clean_role(c: Column) -> Column:
     return apply(clean_label_sql("x"), c)
 
 
-def letters_and_digits(clean: Column) -> Column:
-    """Key of already cleaned text: lower case, only a-z and 0-9."""
-    return F.regexp_replace(F.lower(clean), "[^a-z0-9]", "")
-
-
 def normalize_key(c: Column) -> Column:
     """`normalize_key`: comparison key; '' for text without Latin letters or digits."""
     return apply(key_sql("x"), c)

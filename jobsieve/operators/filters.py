@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsieve import fixed
-from jobsieve.functions.predicates import same_key, valid_company, valid_headcount, valid_role
+from jobsieve.functions.predicates import valid_names_and_size
 
 
 def _has(c: Column | str, term: str) -> Column:
@@ -22,12 +22,8 @@ def like_any(c: Column | str, text: str) -> Column:
 
 def with_validity(df: DataFrame) -> DataFrame:
     """Add is_valid: the `valid_record` test."""
-    company, role = F.col("company_name"), F.col("job_role")
-    ok = (
-        valid_headcount(F.col("number_of_people"))
-        & valid_company(company)
-        & valid_role(role)
-        & ~same_key(company, role)
+    ok = valid_names_and_size(
+        F.col("company_name"), F.col("job_role"), F.col("number_of_people")
     )
     return df.withColumn("is_valid", ok)
 
