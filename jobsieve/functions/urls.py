@@ -40,14 +40,17 @@ def slug_from_url(c: Column) -> Column:
     return F.nullif(F.trim(F.lower(segment)), F.lit(""))
 
 
+_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+
+
 def host_of(c: Column) -> Column:
-    """Lower-case host name, '' when there is none."""
-    return F.coalesce(F.lower(F.try_parse_url(c, F.lit("HOST"))), F.lit(""))
+    """Lower-case host name, '' when there is none; the rest need not be well-formed."""
+    return F.coalesce(F.lower(F.regexp_extract(c, _HOST, 1)), F.lit(""))
 
 
 def domain_of(c: Column) -> Column:
     """`domain_of`: host without a leading 'www.'; text that is no URL passes."""
-    host = F.lower(F.try_parse_url(c, F.lit("HOST")))
+    host = F.nullif(host_of(c), F.lit(""))
     return F.coalesce(F.regexp_replace(host, r"^www\.", ""), c)
 
 
