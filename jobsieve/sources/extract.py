@@ -12,24 +12,37 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from jobsieve import fixed
 from jobsieve.functions.headcount import parse_headcount
 from jobsieve.functions.labels import metadata_segments, split_compound
-from jobsieve.functions.let import let
-from jobsieve.functions.predicates import is_location, is_noise, valid_company, valid_role
-from jobsieve.functions.text import clean_company, clean_role
+from jobsieve.functions.let import bind, let, texts
+from jobsieve.functions.predicates import (
+    is_location,
+    noise_sql,
+    valid_company,
+    valid_company_sql,
+    valid_role,
+)
+from jobsieve.functions.text import clean_company, clean_label_sql, clean_role, clean_text_sql
 from jobsieve.functions.urls import in_scope, normalize_url
 from jobsieve.operators.spread import first_by
 from jobsieve.operators.topk import union_tiers
 from jobsieve.sources.markup import (
     attr,
+    attr_sql,
     first,
+    first_sql,
     has_any,
+    has_any_sql,
     has_attr,
     has_word,
+    has_word_sql,
     inside,
+    inside_sql,
     page_elements,
     raw_text,
+    raw_text_sql,
     resolve_url,
-    selects,
+    selects_sql,
     stripped_text,
+    stripped_text_sql,
 )
 
 _JSON_LD = r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
@@ -214,18 +227,17 @@ def extract_hydration(pages: DataFrame) -> DataFrame:
 # --- tier 3: repeated cards -------------------------------------------------
 
 
-def _card_elements(els: Column) -> Column:
+def _card_elements_sql(els: str) -> str:
     """Elements of the first selector that hits at least twice."""
-    tags = F.filter(els, lambda e: ~e["tag"].startswith("#"))
-
-    def hits(tags_once: Column, selector) -> Column:
-        tag, tests = selector
-        found = F.filter(tags_once, lambda e: selects(e, tag, tests))
-        return let(found, lambda f: F.when(F.size(f) >= 2, f))
-
-    return let(
-        tags, lambda once: F.coalesce(*[hits(once, s) for s in fixed.CARD_SELECTORS])
+    hits = ", ".join(
+        bind(
+            f"filter(tags, e -> {selects_sql('e', tag, tests)})",
+            "f",
+            "CASE WHEN size(f) >= 2 THEN f END",
+        )
+        for tag, tests in fixed.CARD_SELECTORS
     )
+    return bind(f"filter({els}, e -> NOT startswith(e.tag, '#'))", "tags", f"coalesce({hits})")
 
 
 def _is_link(e: Column, paths=()) -> Column:
@@ -242,15 +254,26 @@ def _valid(candidate: Column, role: Column | None = None) -> Column:
     return let(clean_company(candidate), keep)
 
 
-def _candidate(text: Column, differs: bool, quiet: bool) -> Column:
+def _candidate_sql(text: str, differs: bool, quiet: bool) -> str:
     """A company candidate: must it differ from the role, must it be no noise."""
-    return F.struct(
-        F.coalesce(text, F.lit("")).alias("text"),
-        F.lit(differs).alias("differs"),
-        F.lit(quiet).alias("quiet"),
+    return (
+        f"named_struct('text', coalesce({text}, ''), 'differs', {str(differs).lower()}, "
+        f"'quiet', {str(quiet).lower()})"
     )
 
 
+def _link_sql(paths=()) -> str:
+    """Test of an element e: a link, optionally to one of the paths."""
+    target = f" AND {has_any_sql(attr_sql('e', 'href'), paths)}" if paths else ""
+    return f"(e.tag = 'a' AND map_contains_key(e.attrs, 'href'){target})"
+
+
+def _class_sql(classes, *more: str) -> str:
+    """Test of an element e: its class contains one of the words, or another test holds."""
+    tests = " OR ".join([has_any_sql(attr_sql("e", "class"), classes), *more])
+    return f"(NOT startswith(e.tag, '#') AND ({tests}))"
+
+
 def extract_cards(pages: DataFrame) -> DataFrame:
     """`extract_cards`: fields of the repeated job cards of a page."""
     return cards_of(page_elements(pages))
@@ -259,124 +282,110 @@ def extract_cards(pages: DataFrame) -> DataFrame:
 def cards_of(elements: DataFrame) -> DataFrame:
     """`extract_cards` on pages that are already tokenised."""
     cards = elements.select(
-        "page_id", "url", "els", F.posexplode(_card_elements(F.col("els"))).alias("card_no", "card")
-    ).select("page_id", "url", "card_no", "card", inside(F.col("els"), F.col("card")).alias("nodes"))
-
-    nodes, start = F.col("nodes"), F.col("card.at") + 1
-
-    def text_of(e: Column) -> Column:
-        return F.when(e.isNotNull(), stripped_text(inside(nodes, e, start)))
-
-    def by_class(classes, *more):
-        def test(e: Column) -> Column:
-            tests = [has_any(attr(e, "class"), classes), *[m(e) for m in more]]
-            return ~e["tag"].startswith("#") & reduce(lambda a, b: a | b, tests)
-
-        return first(nodes, test)
-
-    elements_found = cards.withColumns(
+        "page_id", "url", "els", F.posexplode(F.expr(_card_elements_sql("els"))).alias("card_no", "card")
+    ).select(
+        "page_id", "url", "card_no", "card", F.expr(inside_sql("els", "card")).alias("nodes")
+    )
+    start = "(card.at + 1)"
+    data_id = attr_sql("e", "data-testid")
+
+    def nodes_of(e: str) -> str:
+        return inside_sql("nodes", e, start)
+
+    def text_of(e: str) -> str:
+        return f"CASE WHEN {e} IS NOT NULL THEN {stripped_text_sql(nodes_of(e))} END"
+
+    def find(test: str) -> str:
+        return first_sql("nodes", test)
+
+    role_tags = f"e.tag IN ({texts(fixed.ROLE_TITLE_TAGS)})"
+    role_href = has_any_sql(f"lower({attr_sql('e', 'href')})", fixed.ROLE_LINK_PATHS)
+    hiring = f"{attr_sql('e', 'itemprop')} = 'hiringOrganization'"
+    job_name = has_word_sql(attr_sql("e", "class"), fixed.COMPOUND_CLASS_WORDS[0])
+    places = {
+        "role_el": f"coalesce({find(role_tags)}, "
+        f"{find(_class_sql(fixed.ROLE_CLASSES, has_any_sql(data_id, ('title',))))}, "
+        f"{find(f'{_link_sql()} AND {role_href}')})",
+        "compound_el": find(_class_sql(fixed.COMPOUND_CLASSES, job_name)),
+        "company_el": find(
+            _class_sql(fixed.COMPANY_CLASSES, has_any_sql(data_id, ("company",)), hiring)
+        ),
+        "company_name_link": find(_link_sql(fixed.COMPANY_NAME_LINK_PATHS)),
+        "company_link": find(_link_sql(fixed.COMPANY_LINK_PATHS)),
+        "meta_el": find(_class_sql(fixed.META_CLASSES)),
+        "size_el": find(_class_sql(fixed.HEADCOUNT_CLASSES)),
+        "job_el": find(_link_sql(fixed.JOB_LINK_PATHS)),
+        "any_link": find(_link_sql()),
+    }
+    found = cards.withColumns({name: F.expr(sql) for name, sql in places.items()})
+    header = F.expr(
+        f"CASE WHEN compound_el IS NOT NULL THEN {raw_text_sql(nodes_of('compound_el'))} END"
+    )
+    meta_inner = first_sql(nodes_of("meta_el"), f"e.tag IN ({texts(fixed.META_INNER_TAGS)})")
+    mentions = (
+        "e.tag IN ('span', 'div', 'p') AND "
+        f"contains(lower({raw_text_sql(nodes_of('e'))}), 'employee') AND "
+        f"length({stripped_text_sql(nodes_of('e'))}) < {fixed.HEADCOUNT_TEXT_LIMIT}"
+    )
+    read = found.withColumns(
         {
-            "role_el": F.coalesce(
-                first(nodes, lambda e: e["tag"].isin(*fixed.ROLE_TITLE_TAGS)),
-                by_class(
-                    fixed.ROLE_CLASSES,
-                    lambda e: F.contains(attr(e, "data-testid"), F.lit("title")),
-                ),
-                first(
-                    nodes,
-                    lambda e: _is_link(e)
-                    & has_any(F.lower(attr(e, "href")), fixed.ROLE_LINK_PATHS),
-                ),
-            ),
-            "compound_el": by_class(
-                fixed.COMPOUND_CLASSES,
-                lambda e: has_word(attr(e, "class"), fixed.COMPOUND_CLASS_WORDS[0]),
-            ),
-            "company_el": by_class(
-                fixed.COMPANY_CLASSES,
-                lambda e: F.contains(attr(e, "data-testid"), F.lit("company")),
-                lambda e: attr(e, "itemprop") == "hiringOrganization",
-            ),
-            "company_name_link": first(
-                nodes, lambda e: _is_link(e, fixed.COMPANY_NAME_LINK_PATHS)
+            "compound": split_compound(header),
+            "role": clean_role(F.expr(text_of("role_el"))),
+            "meta_inner": F.expr(meta_inner),
+            "meta_text": F.expr(text_of("meta_el")),
+            "badge": F.expr(text_of("size_el")),
+            "mention": F.expr(bind(find(mentions), "m", text_of("m"))),
+            "link": F.expr(
+                f"coalesce(job_el, CASE WHEN role_el.tag <> 'a' THEN "
+                f"{first_sql(nodes_of('role_el'), _link_sql())} END, any_link)"
             ),
-            "company_link": first(nodes, lambda e: _is_link(e, fixed.COMPANY_LINK_PATHS)),
-            "meta_el": by_class(fixed.META_CLASSES),
-            "size_el": by_class(fixed.HEADCOUNT_CLASSES),
         }
+    ).withColumn("role", F.coalesce("compound.role", "role"))
+    role = F.col("role")
+
+    # company candidates in order of trust; one expression checks them all
+    classes = f"lower({attr_sql('e', 'class')})"
+    secondary = (
+        f"e.tag IN ('span', 'div') AND NOT {has_any_sql(classes, fixed.SECONDARY_SKIP_CLASSES)} "
+        f"AND {has_any_sql(classes, fixed.SECONDARY_CLASSES)}"
     )
-    compound = F.when(
-        F.col("compound_el").isNotNull(),
-        split_compound(raw_text(inside(nodes, F.col("compound_el"), start))),
+    named = F.expr(
+        f"array({_candidate_sql(text_of('company_el'), False, False)}, "
+        f"{_candidate_sql(text_of('company_name_link'), False, False)}, "
+        f"{_candidate_sql(text_of('meta_inner'), True, False)})"
     )
-    with_role = elements_found.withColumn("compound", compound).withColumn(
-        "role", F.coalesce("compound.role", clean_role(text_of(F.col("role_el"))))
+    segments = F.call_function(
+        "transform",
+        metadata_segments(F.coalesce("meta_text", F.lit(""))),
+        F.expr(f"s -> {_candidate_sql('s', True, True)}"),
     )
-    role = F.col("role")
-    meta_nodes = inside(nodes, F.col("meta_el"), start)
-    meta_inner = first(meta_nodes, lambda e: e["tag"].isin(*fixed.META_INNER_TAGS))
-
-    def secondary(e: Column) -> Column:
-        classes = F.lower(attr(e, "class"))
-        return (
-            e["tag"].isin("span", "div")
-            & ~has_any(classes, fixed.SECONDARY_SKIP_CLASSES)
-            & has_any(classes, fixed.SECONDARY_CLASSES)
-        )
-
-    # candidates in order of trust; one expression checks them all
-    named = F.array(
-        _candidate(text_of(F.col("company_el")), False, False),
-        _candidate(text_of(F.col("company_name_link")), False, False),
-        _candidate(let(meta_inner, text_of), True, False),
+    spans = F.expr(
+        f"transform(filter(nodes, e -> {secondary}), e -> {_candidate_sql(text_of('e'), True, False)})"
     )
-    segments = F.transform(
-        F.coalesce(
-            metadata_segments(stripped_text(meta_nodes)), F.array().cast("array<string>")
-        ),
-        lambda s: _candidate(s, True, True),
+    # the rules use one-letter names of their own; k is not among them
+    labelled = (
+        f"k -> named_struct('text', {clean_label_sql('k.text')}, 'differs', k.differs, "
+        "'quiet', k.quiet, 'role', k.role)"
     )
-    spans = F.transform(
-        F.filter(nodes, secondary), lambda e: _candidate(text_of(e), True, False)
+    usable = (
+        f"k -> {valid_company_sql('k.text')} AND NOT (k.differs AND k.text <=> k.role) "
+        f"AND NOT (k.quiet AND {noise_sql(clean_text_sql('k.text'))})"
     )
-    cleaned = F.transform(
+    with_role = F.transform(
         F.concat(named, segments, spans),
         lambda c: F.struct(
-            clean_company(c["text"]).alias("text"),
-            c["differs"].alias("differs"),
-            c["quiet"].alias("quiet"),
+            c["text"].alias("text"), c["differs"].alias("differs"), c["quiet"].alias("quiet"),
+            role.alias("role"),
         ),
     )
-    usable = F.filter(
-        cleaned,
-        lambda c: valid_company(c["text"])
-        & ~(c["differs"] & c["text"].eqNullSafe(role))
-        & ~(c["quiet"] & is_noise(c["text"])),
-    )
-    company = F.coalesce("compound.company", F.get(usable, F.lit(0))["text"])
-    role_link = F.when(
-        F.col("role_el.tag") != "a", first(inside(nodes, F.col("role_el"), start), _is_link)
-    )
-    link = F.coalesce(
-        first(nodes, lambda e: _is_link(e, fixed.JOB_LINK_PATHS)),
-        role_link,
-        first(nodes, _is_link),
-    )
-    badge = let(
-        text_of(F.col("size_el")),
-        lambda t: F.when((t != "") & ~is_location(t), t),
-    )
-
-    def mentions(e: Column) -> Column:
-        return e["tag"].isin("span", "div", "p") & let(
-            inside(nodes, e, start),
-            lambda n: F.contains(F.lower(raw_text(n)), F.lit("employee"))
-            & (F.length(stripped_text(n)) < fixed.HEADCOUNT_TEXT_LIMIT),
-        )
+    cleaned = F.call_function("transform", with_role, F.expr(labelled))
+    best = F.get(F.call_function("filter", cleaned, F.expr(usable)), F.lit(0))["text"]
+    company = F.coalesce("compound.company", best)
+    size = F.when((F.col("badge") != "") & ~is_location(F.col("badge")), F.col("badge"))
 
     none = F.lit("")
-    resolved = with_role.withColumns(
-        {"company": company, "link": link, "size": F.coalesce(badge, text_of(first(nodes, mentions)))}
+    resolved = read.withColumns(
+        {"company": company, "size": F.coalesce(size, "mention")}
     ).filter((F.coalesce(role, none) != "") | F.col("company").isNotNull())
 
     def href(name: str) -> Column:

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsieve import schema
 from jobsieve.functions.let import let
-from jobsieve.functions.text import strip
+from jobsieve.functions.let import text as literal
+from jobsieve.functions.text import strip, strip_sql
 
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -133,13 +134,51 @@ def has_word(value: Column, word: str) -> Column:
     return F.array_contains(F.split(value, r"\s+"), word)
 
 
-def selects(e: Column, tag: str | None, tests) -> Column:
+# The same tests as SQL text, for plans that search a page many times.
+
+
+def attr_sql(e: str, name: str) -> str:
+    return f"coalesce(try_element_at({e}.attrs, {literal(name)}), '')"
+
+
+def has_any_sql(value: str, parts) -> str:
+    return "(" + " OR ".join(f"contains({value}, {literal(p)})" for p in parts) + ")"
+
+
+def has_word_sql(value: str, word: str) -> str:
+    return f"array_contains(split({value}, {literal(chr(92) + 's+')}), {literal(word)})"
+
+
+def first_sql(nodes: str, test: str) -> str:
+    """The first node e that passes the test."""
+    return f"get(filter({nodes}, e -> {test}), 0)"
+
+
+def inside_sql(nodes: str, e: str, start: str = "0") -> str:
+    """Descendants of e, where nodes starts at element number ``start``."""
+    return f"slice({nodes}, {e}.at - {start} + 2, {e}.last - {e}.at)"
+
+
+def stripped_text_sql(nodes: str) -> str:
+    """Joined text of the nodes, each piece trimmed."""
+    texts = f"filter({nodes}, n -> n.tag = '#text')"
+    return f"array_join(transform({texts}, n -> {strip_sql('n.text')}), '')"
+
+
+def raw_text_sql(nodes: str) -> str:
+    """Joined text of the nodes as written."""
+    return f"array_join(transform(filter({nodes}, n -> n.tag = '#text'), n -> n.text), '')"
+
+
+def selects_sql(e: str, tag: str | None, tests) -> str:
     """One card selector: tag and attribute tests."""
-    conditions = [~e["tag"].startswith("#")] if tag is None else [e["tag"] == tag]
+    conditions = [f"NOT startswith({e}.tag, '#')" if tag is None else f"{e}.tag = {literal(tag)}"]
     for name, test, text in tests:
-        value = attr(e, name)
-        conditions.append(has_word(value, text) if test == "word" else F.contains(value, F.lit(text)))
-    return reduce(lambda a, b: a & b, conditions)
+        value = attr_sql(e, name)
+        conditions.append(
+            has_word_sql(value, text) if test == "word" else has_any_sql(value, (text,))
+        )
+    return " AND ".join(conditions)
 
 
 def inside(nodes: Column, e: Column, offset: Column | int = 0) -> Column:
