@@ -20,7 +20,7 @@ def con():
 
 
 def test_every_query_has_a_counterpart():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.oracle_queries())
 
 
 @pytest.mark.parametrize("name", CHECKED)
