@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobsieve.llm import neardup
+from jobsieve.llm import neardup, suffix_dedup
 from jobsieve.llm.common import read_table
 
 
@@ -13,7 +13,14 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, threshold=85)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that smaller ids already hold in strings of 50, removed."""
+    cut = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), span=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 ORACLE: dict[str, str] = {}

@@ -90,3 +90,29 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield mix(short + np.uint64(b - a))
         else:
             yield np.zeros(0, np.uint64)
+
+
+def rolling_hashes(raw: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes from each place on, by doubling: log2(size) array steps."""
+    done, hashed = 0, np.zeros(0, np.uint64)
+    step, power = 1, _BYTE[raw]
+    while True:
+        if size & step:
+            if done:
+                count = max(0, len(power) - done)
+                hashed = hashed[:count] * (_MIX_A + np.uint64(2 * step)) + power[done : done + count]
+            else:
+                hashed = power
+            done += step
+        if 2 * step > size:
+            return mix(hashed[: max(0, len(raw) - size + 1)])
+        count = max(0, len(power) - step)
+        power = power[:count] * (_MIX_B + np.uint64(2 * step)) + power[step:]
+        step *= 2
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices starts[i], starts[i] + 1, ... (lengths[i] of them) for all i in a row."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - ends + lengths, lengths)
