@@ -1,18 +1,40 @@
-"""The queries of the operators for training text."""
+"""The queries of the operators for training text, each over its whole table."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobsieve.llm import neardup, suffix_dedup
+from jobsieve.llm import fingerprints, licenses, neardup, oracle, packing, sharding, suffix_dedup
 from jobsieve.llm.common import read_table
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op4_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes."""
+    return sharding.shard_by_bytes(read_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, similarity of 0.85."""
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, threshold=85)
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), path, end_id=1, limit=4096)
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that smaller ids already hold in strings of 50, removed."""
     cut = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), span=50)
@@ -20,7 +42,14 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
+    "op4_sampled_splitter_sharding": op4_sampled_splitter_sharding,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_license_scan": oracle.license_sql(),
+    "op6_document_fingerprints": oracle.fingerprint_sql(),
+}
