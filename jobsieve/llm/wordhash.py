@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+PIECE = 1 << 20  # bytes that are hashed together, which bounds memory
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -32,7 +33,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts (null: empty) in a row, and the offset of each text."""
-    binary = texts.fill_null("").cast(pa.large_binary())
+    binary = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_binary())
     offsets = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
     data = binary.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -41,28 +42,44 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[first:last], offsets - first
 
 
+def _pieces(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of about PIECE bytes that end before white space, so that no word is cut."""
+    begin = 0
+    while begin < len(raw):
+        end, look = begin + PIECE, 1 << 10
+        while end < len(raw):
+            spaces = np.flatnonzero(_SPACE[raw[end : end + look]])
+            if len(spaces):
+                end += int(spaces[0])
+                break
+            end, look = end + look, 2 * look
+        yield begin, min(end, len(raw))
+        begin = end
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the white-space separated words, A-Z lower-cased, and where each text's words begin.
 
     The second array has one entry more than there are texts.
     """
     raw, offsets = text_bytes(texts)
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    letter = ~_SPACE[raw]
-    first = letter.copy()
-    first[1:] &= ~letter[:-1]
-    inner = offsets[1:-1][offsets[1:-1] < len(raw)]
-    first[inner] = letter[inner]  # a text's first byte always begins a word
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    at = np.flatnonzero(letter)
-    word = np.cumsum(first[at]) - 1
-    place = (at - starts[word]).astype(np.uint64)
-    parts = mix(_BYTE[_LOWER[raw[at]]] + place * _BASE)
-    sums = np.add.reduceat(parts, np.flatnonzero(first[at]))
-    return mix(sums), np.searchsorted(starts, offsets)
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for begin, end in _pieces(raw):
+        part = raw[begin:end]
+        letter = ~_SPACE[part]
+        first = letter.copy()
+        first[1:] &= ~letter[:-1]
+        inner = offsets[np.searchsorted(offsets, begin) : np.searchsorted(offsets, end)] - begin
+        first[inner] = letter[inner]  # a text's first byte always begins a word
+        at = np.flatnonzero(letter)
+        if not len(at):
+            continue
+        begins = np.flatnonzero(first)
+        place = (at - begins[np.cumsum(first[at]) - 1]).astype(np.uint64)
+        parts = mix(_BYTE[_LOWER[part[at]]] + place * _BASE)
+        hashes.append(mix(np.add.reduceat(parts, np.flatnonzero(first[at]))))
+        starts.append(begins + begin)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
