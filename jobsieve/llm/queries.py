@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobsieve.llm import fingerprints, licenses, neardup, oracle, packing, sharding, suffix_dedup
+from jobsieve.llm import fingerprints, licenses, neardup, oracle, packing, sharding, suffix_dedup, toxicity
 from jobsieve.llm.common import read_table
 
 
@@ -19,6 +19,11 @@ def op4_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame
     return sharding.shard_by_bytes(read_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from two thirds of the labels."""
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints.fingerprint_edits(read_table(spark, sf_dir, "documents"))
@@ -44,6 +49,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_sampled_splitter_sharding": op4_sampled_splitter_sharding,
+    "op5_toxicity": op5_toxicity,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
