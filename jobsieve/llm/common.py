@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from jobsieve.operators.spread import lookup_join
 from jobsieve.session import new_path
 
+WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"  # letters, digits and non-ASCII characters, in text with A-Z lower-cased
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the folder that all executors share, and read back.

@@ -15,7 +15,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from jobsieve.llm.common import ascii_lower, stored
+from jobsieve.llm.common import WORD, ascii_lower, stored
 
 CONTAINED = 80  # percent of a template's distinct words
 
@@ -43,7 +43,6 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
-WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"  # in text with A-Z lower-cased
 _IN_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # in any text
 
 

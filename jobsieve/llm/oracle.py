@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobsieve.llm import fingerprints, licenses
+from jobsieve.llm import fingerprints, licenses, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,3 +78,75 @@ SELECT doc_id, n AS n_chars, sha256(et) AS edited_sha256, a.fp AS fingerprint, b
   CASE WHEN len(own) + len(cut) = 0 THEN 1.0 ELSE 1 - (len(own) + len(cut) - 2 * len(list_intersect(own, cut))) / (len(own) + len(cut)) END AS near_edited,
   CASE WHEN len(own) + len(nxt) = 0 THEN 1.0 ELSE 1 - (len(own) + len(nxt) - 2 * len(list_intersect(own, nxt))) / (len(own) + len(nxt)) END AS near_next
 FROM s JOIN f AS a ON a.r = s.r AND a.v = 'own' JOIN f AS b ON b.r = s.r AND b.v = 'cut'"""
+
+
+def leak_sql(threshold: float = 0.8) -> str:
+    """Windows aligned at shared shingles, verified without fingerprints."""
+    pattern = licenses.WORD[1:-1]
+    words = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{pattern}')"
+    return f"""
+WITH d AS (
+  SELECT DISTINCT doc_id, {words} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), i AS (
+  SELECT DISTINCT item_id, w, len(w) AS l, least(len(w), 5) AS k FROM (SELECT item_id, {words} AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0
+), x AS (
+  SELECT DISTINCT l, k, o - 1 AS o, list_slice(w, o, o + k - 1) AS s FROM i, unnest(range(1, l - k + 2)) AS u(o)
+), p AS (
+  SELECT doc_id, q.k, o - 1 AS at, list_slice(w, o, o + q.k - 1) AS s FROM d, (SELECT DISTINCT k FROM i) AS q, unnest(range(1, len(w) - q.k + 2)) AS u(o)
+), h AS (
+  SELECT DISTINCT p.doc_id, greatest(p.at - x.o, 0) AS st, x.l, x.k FROM p JOIN x ON p.s = x.s AND p.k = x.k
+), v AS (
+  SELECT DISTINCT doc_id, greatest(least(st, len(w) - l), 0) AS st, l, k, list_slice(w, greatest(least(st, len(w) - l), 0) + 1, greatest(least(st, len(w) - l), 0) + l) AS w
+  FROM h JOIN d USING (doc_id)
+), t AS (
+  SELECT v.doc_id, i.item_id, v.st, len(v.w) AS n,
+    list_transform(range(1, len(v.w) - v.k + 2), lambda o: v.w[o:o + v.k - 1]) AS a, list_transform(range(1, i.l - i.k + 2), lambda o: i.w[o:o + i.k - 1]) AS b
+  FROM v JOIN i USING (l, k)
+), c AS (
+  SELECT *, list_sum(list_transform(list_distinct(b), lambda y: least(len(list_filter(a, lambda z: z = y)), len(list_filter(b, lambda z: z = y))))) AS c FROM t
+), r AS (
+  SELECT doc_id, item_id, st, n, c / (len(a) + len(b) - c) AS sim FROM c
+)
+SELECT doc_id, item_id, sim::DOUBLE AS similarity, st::BIGINT AS start_word, n::BIGINT AS n_words FROM r WHERE sim >= {threshold}
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, st, n DESC) = 1"""
+
+
+def warc_sql() -> str:
+    """The same string rules in DuckDB's functions."""
+    text = "regexp_replace(payload, '\\n', ' ', 'g')"
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    for pattern in warc.HIDDEN:
+        text = f"regexp_replace({text}, {quoted(pattern)}, ' ', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, {quoted(warc.BREAKS)}, chr(10), 'g'), {quoted(warc.TAGS)}, '', 'g')"
+
+    def unescaped(x: str) -> str:
+        for name, value in warc.ENTITIES:
+            x = f"replace({x}, {quoted(name)}, {quoted(value)})"
+        return x
+
+    text = unescaped(text)
+    for pattern, by in warc.STEPS:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {'chr(10)' if by == chr(10) else quoted(by)}, 'g')"
+    title = f"regexp_replace({unescaped(f'regexp_extract(payload, {quoted(warc.TITLE)}, 1)')}, '\\s+', ' ', 'g')"
+    crlf = "chr(13) || chr(10)"
+
+    def uuid(x: str) -> str:
+        return f"(SELECT '<urn:uuid:' || concat_ws('-', m[1:8], m[9:12], m[13:16], m[17:20], m[21:32]) || '>' FROM (SELECT md5({x}) AS m))"
+
+    return f"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages
+), s AS (
+  SELECT *, {uuid("concat_ws(chr(10), 'response', coalesce(page_id::VARCHAR, ''), target_uri, sha1(payload))")} AS refers_to,
+    'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(payload) || {crlf} AS source_headers,
+    'sha1:' || sha1(payload) AS payload_digest FROM p
+), r AS (
+  SELECT page_id, refers_to, target_uri, source_headers, payload_digest, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+    'title: ' || {title} || {crlf} || 'language: ' || regexp_extract(payload, {quoted(warc.LANG)}, 1) || {crlf} || 'payload-length: ' || strlen(payload)
+    || {crlf} || 'payload-digest: ' || payload_digest || {crlf}
+    || coalesce(array_to_string(list_transform(regexp_extract_all(payload, {quoted(warc.LINK)}, 1), lambda x: 'outlink: ' || regexp_replace(x, '\\s+', '', 'g') || {crlf}), ''), '') AS content FROM s
+  UNION ALL
+  SELECT page_id, refers_to, target_uri, source_headers, payload_digest, 'conversion', 'text/plain', {text} FROM s
+)
+SELECT page_id, record_type, {uuid("concat_ws(chr(10), 'derived', record_type, refers_to)")} AS record_id, refers_to, target_uri, content_type, source_headers,
+  payload_digest, 'sha1:' || sha1(content) AS block_digest, strlen(content) AS content_length, content FROM r"""

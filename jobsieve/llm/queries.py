@@ -5,10 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobsieve.llm import fingerprints, licenses, neardup, oracle, packing, sharding, suffix_dedup, toxicity
+from jobsieve.llm import decontaminate, fingerprints, licenses, neardup, oracle, packing, quality, sharding, suffix_dedup, toxicity, warc
 from jobsieve.llm.common import read_table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents leak, at a similarity of 0.8 or more of five-word shingles."""
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages."""
+    return warc.derive(warc.responses(read_table(spark, sf_dir, "pages")))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in all documents."""
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
@@ -29,6 +39,11 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of all documents under a model of the trusted ones."""
+    return quality.classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, similarity of 0.85."""
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, threshold=85)
@@ -47,15 +62,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_license_scan": op3_license_scan,
     "op4_sampled_splitter_sharding": op4_sampled_splitter_sharding,
     "op5_toxicity": op5_toxicity,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 ORACLE = {
+    "op1_benchmark_decontamination": oracle.leak_sql(),
+    "op2_warc_derivatives": oracle.warc_sql(),
     "op3_license_scan": oracle.license_sql(),
     "op6_document_fingerprints": oracle.fingerprint_sql(),
 }
