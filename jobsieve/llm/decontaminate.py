@@ -35,17 +35,20 @@ def _shingles(words: str, size: str) -> Column:
 
 
 def simhash(shingles: str) -> Column:
-    """The bits that more shingles set than not; repeated shingles count as often as they stand."""
-    votes = f"aggregate({shingles}, 0, (s, h) -> s + 2 * cast(shiftright(h, b) & 1 as int) - 1)"
-    return F.expr(f"aggregate(transform(sequence(0, {BLOCKS * BITS - 1}), b -> if({votes} > 0, shiftleft(1L, b), 0L)), 0L, (a, x) -> a | x)")
+    """The bits that more shingles set than not; repeated shingles count as often as they stand.
+
+    The array is bound to ``sh`` first, or Catalyst would compute it again for every bit.
+    """
+    votes = "aggregate(sh, 0, (s, h) -> s + 2 * cast(shiftright(h, b) & 1 as int) - 1)"
+    bits = f"transform(sequence(0, {BLOCKS * BITS - 1}), b -> if({votes} > 0, shiftleft(1L, b), 0L))"
+    return F.expr(f"transform(array({shingles}), sh -> aggregate({bits}, 0L, (a, x) -> a | x))[0]")
 
 
 def weighted_similarity(left: str, right: str) -> Column:
     """Sum of lesser counts over sum of greater counts of two shingle arrays."""
-    lesser = (
-        f"aggregate(array_distinct({right}), 0, (s, v) -> s + least(size(filter({left}, x -> x = v)), size(filter({right}, x -> x = v))))"
-    )
-    return F.expr(f"transform(array({lesser}), c -> c / (size({left}) + size({right}) - c))[0]")
+    lesser = "aggregate(array_distinct(p.r), 0, (s, v) -> s + least(size(filter(p.l, x -> x = v)), size(filter(p.r, x -> x = v))))"
+    share = f"transform(array({lesser}), c -> c / (size(p.l) + size(p.r) - c))[0]"
+    return F.expr(f"transform(array(struct({left} as l, {right} as r)), p -> {share})[0]")
 
 
 def _items(benchmark: DataFrame) -> DataFrame:

@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from jobsieve.llm.common import identified
 
 PARAGRAPH = 100  # characters of a paragraph at most
-PART = 32  # digests of two versions in one sketch, about
+PART = 16  # digests of two versions in one sketch, about
 BASE = 16  # cells for each of the three places in the fingerprint's sketch
-SIZES = (16, 64, 256, 1024)  # cells for each of the three places, tried in turn
+SIZES = (8, 32, 128, 1024)  # cells for each of the three places, tried in turn
 ROWS_PER_RANGE = 2_000
 MOST_RANGES = 8_192
 
@@ -38,32 +38,43 @@ def _place(digest: str, cells: int, which: int) -> str:
     return f"{which * cells} + cast(shiftright({digest}, {20 * which}) & {cells - 1} as int)"
 
 
+def _with_places(items: str, digest: str, fields: str, cells: int) -> str:
+    """Items as structs with their fields and three places p0, p1, p2."""
+    places = ", ".join(f"{_place(digest, cells, k)} as p{k}" for k in range(3))
+    return f"transform({items}, x -> struct({fields}, {places}))"
+
+
 def sketch_text(digests: str, cells: int = BASE) -> Column:
-    """The cells of a sketch as text: count:digests:checks for each cell in turn."""
-    held = " or ".join(f"{_place('d', cells, k)} = c" for k in range(3))
-    one = f"struct(acc.n + 1 as n, acc.k ^ d as k, acc.s ^ ({_CHECK.format('d')}) as s)"
-    cell = f"aggregate({digests}, struct(0 as n, 0L as k, 0L as s), (acc, d) -> if({held}, {one}, acc), acc -> concat_ws(':', acc.n, acc.k, acc.s))"
-    return F.expr(f"array_join(transform(sequence(0, {3 * cells - 1}), c -> {cell}), ',')")
+    """The cells of a sketch as text: count:digests:checks for each cell in turn.
+
+    The digests are bound to ``ds`` first, or Catalyst might compute them again for every cell.
+    """
+    add = "struct(acc.n + 1 as n, acc.k ^ x.d as k, acc.s ^ x.s as s)"
+    rows = [
+        f"transform(sequence({k * cells}, {(k + 1) * cells - 1}), c -> aggregate(filter(ds, x -> x.p{k} = c), struct(0 as n, 0L as k, 0L as s), "
+        f"(acc, x) -> {add}, acc -> concat_ws(':', acc.n, acc.k, acc.s)))"
+        for k in range(3)
+    ]
+    items = _with_places(digests, "x", f"x as d, {_CHECK.format('x')} as s", cells)
+    return F.expr(f"transform(array({items}), ds -> array_join(concat({', '.join(rows)}), ','))[0]")
 
 
 def _peeled(items: str, cells: int) -> str:
     """How many digests peeling recovers from the signed items (d, n, s); null if it gets stuck."""
-    places = [_place("x.d", cells, k) for k in range(3)]
-    taken = [_place("p.k", cells, k) for k in range(3)]
-    all_places = f"array_distinct(flatten(transform({items}, x -> array({', '.join(places)}))))"
-    held = " or ".join(f"{p} = c" for p in places)
-    sum_up = (
-        f"aggregate({items}, struct(c as c, 0 as n, 0L as k, 0L as s), (acc, x) -> "
-        f"if({held}, struct(acc.c as c, acc.n + x.n as n, acc.k ^ x.d as k, acc.s ^ x.s as s), acc))"
-    )
     left = "z -> z.n != 0 or z.k != 0 or z.s != 0"
-    begin = f"filter(transform({all_places}, c -> {sum_up}), {left})"
-    single = f"abs(z.n) = 1 and z.s = {_CHECK.format('z.k')} and z.c in ({', '.join(_place('z.k', cells, k) for k in range(3))})"
-    singles = "array_distinct(transform(filter({0}, z -> " + single + "), z -> struct(z.n as n, z.k as k, z.s as s)))"
-    hit = " or ".join(f"{p} = w.c" for p in taken)
+    sums = [
+        f"transform(array_distinct(transform(ds, x -> x.p{k})), c -> aggregate(filter(ds, x -> x.p{k} = c), struct(c as c, 0 as n, 0L as k, 0L as s), "
+        f"(acc, x) -> struct(acc.c as c, acc.n + x.n as n, acc.k ^ x.d as k, acc.s ^ x.s as s)))"
+        for k in range(3)
+    ]
+    placed = _with_places(items, "x.d", "x.d as d, x.n as n, x.s as s", cells)
+    begin = f"filter(transform(array({placed}), ds -> concat({', '.join(sums)}))[0], {left})"
+    places = ", ".join(_place("z.k", cells, k) for k in range(3))
+    single = f"abs(z.n) = 1 and z.s = {_CHECK.format('z.k')}"
+    singles = f"array_distinct(transform(filter({{0}}, z -> {single}), z -> struct(z.n as n, z.k as k, z.s as s, array({places}) as ps)))"
     without = (
-        f"filter(transform(st.cells, z -> aggregate(st.singles, z, (w, p) -> if({hit}, "
-        f"struct(w.c as c, w.n - p.n as n, w.k ^ p.k as k, w.s ^ p.s as s), w))), {left})"
+        f"filter(transform(st.cells, z -> aggregate(filter(st.singles, p -> array_contains(p.ps, z.c)), z, "
+        f"(w, p) -> struct(w.c as c, w.n - p.n as n, w.k ^ p.k as k, w.s ^ p.s as s))), {left})"
     )
     state = "transform(array({0}), cs -> struct(cs as cells, " + singles.format("cs") + " as singles, cast({1} as int) as found))[0]"
     step = f"if(size(st.singles) = 0, st, {state.format(without, 'st.found + size(st.singles)')})"
