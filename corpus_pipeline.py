@@ -4,25 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobsieve.llm import neardup
+from jobsieve.llm import decontaminate, neardup, packing, quality, suffix_dedup
 from jobsieve.llm.common import read_table, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+REPEATED_BYTES = 200  # of a passage that is cut from all documents but the first; fewer are left alone
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone``; rows without id stay."""
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not above their language's perplexity stay."""
+    judged = quality.classify_quality(docs, read_table(spark, sf_dir, "labels"))
+    return _without(docs, judged.where(~F.col("kept")))
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, neardup.near_duplicates(docs).where(~F.col("kept")))
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that documents with smaller ids hold are cut."""
+    return suffix_dedup.shorten_repeats(docs, REPEATED_BYTES)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item stay."""
+    return _without(docs, decontaminate.find_leaks(docs, read_table(spark, sf_dir, "benchmark")))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of what is left, with their places in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, limit=4096)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_classifier),
     ("minhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
 ]
 
-ORACLE_SQL = None  # n-gram models, iterated components and packing are beyond SQL
+ORACLE_SQL = None  # tokens, n-gram smoothing and the packing search are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
