@@ -15,9 +15,11 @@ the search ends.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,10 @@ from jobsieve.llm.wordhash import ragged
 
 GROUP_TOKENS = 4 << 20  # tokens that one task packs
 GROUP_PIECES = 50_000  # pieces that one task packs
-KNOWN_WORDS = 400_000  # words whose ids a worker remembers
+KNOWN_WORDS = 500_000  # stems whose ids a worker remembers
 SLICE = 4 << 20  # bytes of text that are tokenised together
 
-_KNOWN: dict[str, dict[str, np.ndarray]] = {}
+_KNOWN: dict[str, dict[str, list[int]]] = {}
 
 
 def _tokenizer(path: str):
@@ -42,16 +44,49 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _word_ids(words: list[str], tokenizer, known: dict[str, np.ndarray]) -> list[np.ndarray]:
-    missing = [w for w in words if w not in known]
-    if len(known) + len(missing) > KNOWN_WORDS:
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: The letters that byte-level vocabularies write for bytes that are not printable: those from 256 on.
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_SIMPLE = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+
+
+def _run_ids(run: str, model) -> list[int]:
+    letters = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_LETTERS)
+    return [t.id for t in model.tokenize(letters)]
+
+
+def _word_ids(words: list[str], tokenizer, known: dict[str, list[int]]) -> list[list[int]]:
+    """Token ids of each word.
+
+    A word of Latin letters and closing ASCII marks (no apostrophe) is two runs to the tokenizer, which its model
+    can take directly; all other words go through the whole tokenizer.
+    """
+    model = tokenizer.model
+    if len(known) > KNOWN_WORDS:
         known.clear()
-        missing = words
-    for begin in range(0, len(missing), 10_000):
-        part = missing[begin : begin + 10_000]
-        for word, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, np.uint32)
-    return [known[w] for w in words]
+    result: list[list[int]] = []
+    rest: list[int] = []
+    for word in words:
+        simple = _SIMPLE(word)
+        if simple is None:
+            rest.append(len(result))
+            result.append([])
+            continue
+        stem, mark = simple[1].lower(), simple[2]
+        ids = known.get(stem)
+        if ids is None:
+            ids = known[stem] = _run_ids(stem, model)
+        if mark:
+            tail = known.get(mark)
+            if tail is None:
+                tail = known[mark] = _run_ids(mark, model)
+            ids = ids + tail
+        result.append(ids)
+    for begin in range(0, len(rest), 10_000):
+        part = rest[begin : begin + 10_000]
+        for at, found in zip(part, tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+            result[at] = found.ids
+    return result
 
 
 def _slices(texts: pa.Array) -> Iterator[pa.Array]:
@@ -63,14 +98,14 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
         begin = end
 
 
-def document_ids(texts: pa.Array, tokenizer, known: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+def document_ids(texts: pa.Array, tokenizer, known: dict[str, list[int]]) -> Iterator[np.ndarray]:
     """Token ids of each text.  White space only separates, so equal words get equal ids."""
     for part in _slices(texts.fill_null("")):
         words = pc.ascii_split_whitespace(part)
         coded = words.flatten().dictionary_encode()
         ids = _word_ids(coded.dictionary.to_pylist(), tokenizer, known)
         sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         begins = np.cumsum(sizes) - sizes
         code = coded.indices.to_numpy()
         offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
