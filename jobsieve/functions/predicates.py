@@ -18,8 +18,9 @@ from jobsieve.functions.text import (
 )
 
 _AFFIX = f"(?<![a-z])(?:{'|'.join(fixed.COMPANY_AFFIXES)})(?![a-z])"
+# possessive, so that Java loops instead of recursing once per word; the longest words come first
 _ONLY_LOCATION_WORDS = (
-    f"^[^a-z]*(?:(?:{'|'.join(fixed.LOCATION_WORDS)})(?![a-z])[^a-z]*)+$"
+    f"^[^a-z]*+(?:(?:{'|'.join(sorted(fixed.LOCATION_WORDS, key=len, reverse=True))})(?![a-z])[^a-z]*+)++$"
 )
 _CITY_AND_CODE = r"^[A-Z\s]+,\s*[A-Z]{2}$"
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsieve import fixed
@@ -13,8 +11,7 @@ from jobsieve.functions.text import normalize_key
 from jobsieve.functions.urls import company_slug, in_scope, normalize_url, slug_from_url
 from jobsieve.operators.spread import first_by, lookup_join
 
-SLUG_LITERALS = 1_000  # slugs that may become one array literal
-_GRAM = 3
+_GRAM = 3  # letters by which slugs are looked up; shorter slugs by all of theirs
 
 
 def scan_profiles(profiles: DataFrame) -> DataFrame:
@@ -69,9 +66,10 @@ def missing_profiles(df: DataFrame, profiles: DataFrame) -> DataFrame:
     return slugs.join(scan_profiles(profiles), "company_slug", "left_anti")
 
 
-def page_lookup(pages: DataFrame) -> DataFrame:
-    """One page per normalised URL: (page_key, html), the lowest page_id wins."""
+def page_lookup(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One page per wanted URL: (page_key, html), the lowest page_id wins; other pages are not moved."""
     keyed = pages.select(normalize_url(F.col("url")).alias("page_key"), "page_id", "html")
+    keyed = keyed.join(wanted.select("page_key").distinct(), "page_key", "left_semi")
     return first_by(keyed, ["page_key"], "page_id").select("page_key", "html")
 
 
@@ -92,7 +90,7 @@ def company_size_once(df: DataFrame, pages: DataFrame, base: Column | None = Non
         .agg(F.min_by(F.struct("page_key"), "ingest_pos").alias("_f"))
         .select("_company", "_f.page_key")
     )
-    sizes = first.join(page_lookup(pages), "page_key", "left").select(
+    sizes = first.join(page_lookup(pages, first.filter("page_key IS NOT NULL")), "page_key", "left").select(
         "_company",
         F.coalesce(profile_size_from_html(F.col("html")), F.lit(fixed.NOT_AVAILABLE)).alias(
             "_size"
@@ -122,32 +120,41 @@ def unsized_companies(store: DataFrame, source: str, n: int = fixed.BACKFILL_COM
     return top.select("company_name", "postings", slug.alias("company_slug"))
 
 
+def _pieces(length: Column) -> Column:
+    """Distinct pieces of ``length`` letters of the column text."""
+    count = F.length("text") - length + 1
+    return F.when(
+        count > 0,
+        F.array_distinct(
+            F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring("text", i, length))
+        ),
+    )
+
+
 def _best_by_url(urls: DataFrame, sizes: DataFrame) -> DataFrame:
     """Latest profile whose slug occurs in the URL, for any number of slugs.
 
-    Each slug is looked up by its rarest three-letter piece, an equi-join, and
-    then checked in full.  Shorter slugs are few by nature and are tested directly.
+    Each slug is looked up by its rarest three-letter piece (a shorter one by itself), an
+    equi-join, and then checked in full.  Pieces that no slug holds are dropped before the
+    counts, and those that are no slug's rarest before the join.
     """
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.length("text") - (_GRAM - 1)),
-        lambda i: F.substring("text", i, F.lit(_GRAM)),
-    )
-    slugs = sizes.filter(F.length("company_slug") >= _GRAM).withColumn(
-        "text", F.col("company_slug")
-    )
-    url_pieces = urls.filter(F.length("text") >= _GRAM).withColumn(
-        "piece", F.explode(F.array_distinct(pieces))
-    )
-    frequency = url_pieces.groupBy("piece").count()
+    slug_pieces = (
+        sizes.filter(F.col("company_slug") != "")
+        .withColumn("text", F.col("company_slug"))
+        .withColumn("piece", F.explode(_pieces(F.least(F.length("text"), F.lit(_GRAM)))))
+    )
+    lengths = F.array(*[F.lit(k) for k in range(1, _GRAM + 1)])
+    url_pieces = urls.withColumn("length", F.explode(lengths)).withColumn("piece", F.explode(_pieces(F.col("length"))))
+    held = url_pieces.join(slug_pieces.select("piece").distinct(), "piece", "left_semi")
+    frequency = held.groupBy("piece").count()
     rarest = (
-        slugs.withColumn("piece", F.explode(F.array_distinct(pieces)))
-        .join(frequency, "piece")
+        slug_pieces.join(frequency, "piece")
         .groupBy("company_slug", "profile_pos", "employee_count")
         .agg(F.min_by("piece", F.struct("count", "piece")).alias("piece"))
     )
-    found = url_pieces.join(rarest, "piece").filter(F.contains("text", F.col("company_slug")))
+    met = url_pieces.join(rarest, "piece").filter(F.contains("text", F.col("company_slug")))
     best = F.max(F.struct("profile_pos", "employee_count"))
-    return found.groupBy("text").agg(best.alias("_by_url"))
+    return met.groupBy("text").agg(best.alias("_by_url"))
 
 
 def backfill_headcount(store: DataFrame, profiles: DataFrame, source: str) -> DataFrame:
@@ -171,47 +178,13 @@ def backfill_headcount(store: DataFrame, profiles: DataFrame, source: str) -> Da
     text = F.when(selected, F.lower("job_url"))
     marked = lookup_join(store.withColumn("text", text), by_name, ["company_name"])
 
-    few = by_slug.orderBy(F.desc("profile_pos")).limit(SLUG_LITERALS + 1).collect()
-    if len(few) <= SLUG_LITERALS:
-        marked = marked.withColumn("_by_url", _first_slug(F.col("text"), few))
-    else:
-        short = by_slug.filter(F.length("company_slug") < _GRAM)
-        urls = marked.filter(F.col("text").isNotNull()).select("text").distinct()
-        long_hits = lookup_join(marked, _best_by_url(urls, by_slug), ["text"])
-        marked = long_hits.withColumn(
-            "_by_url",
-            F.greatest("_by_url", _first_slug(F.col("text"), short.collect())),
-        )
+    urls = marked.filter(F.col("text").isNotNull()).select("text").distinct()
+    marked = lookup_join(marked, _best_by_url(urls, by_slug), ["text"])
     best = F.when(selected, F.greatest("_by_name", "_by_url"))
     people = F.coalesce(best["employee_count"], F.col("number_of_people"))
     return marked.withColumn("number_of_people", people).select(*store.columns)
 
 
-def _first_slug(text: Column, rows: Sequence) -> Column:
-    """The latest of the given profiles whose slug occurs in the text."""
-    empty = F.lit(None).cast("struct<profile_pos:bigint,employee_count:string>")
-    if not rows:
-        return empty
-    ordered = sorted(rows, key=lambda r: r.profile_pos, reverse=True)
-    choices = F.array(
-        *[
-            F.struct(
-                F.lit(r.company_slug).alias("slug"),
-                F.lit(r.profile_pos).cast("long").alias("profile_pos"),
-                F.lit(r.employee_count).alias("employee_count"),
-            )
-            for r in ordered
-        ]
-    )
-    hit = F.get(F.filter(choices, lambda p: F.contains(text, p["slug"])), F.lit(0))
-    return F.when(
-        hit.isNotNull(),
-        F.struct(
-            hit["profile_pos"].alias("profile_pos"), hit["employee_count"].alias("employee_count")
-        ),
-    )
-
-
 def backfill_published(store: DataFrame, feed: DataFrame, as_of) -> DataFrame:
     """`backfill_published`: publication time and label from a feed.
 

@@ -60,7 +60,7 @@ def position_slice(df: DataFrame, offset: int, limit: int) -> DataFrame:
     return placed.filter(inside).drop("_position")
 
 
-def cap_records(df: DataFrame, n: int = fixed.MAX_RECORDS) -> DataFrame:
+def cap_records(df: DataFrame, n: int) -> DataFrame:
     """`cap_records`: the first n kept records."""
     return position_slice(df, 0, n)
 

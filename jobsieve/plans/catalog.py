@@ -975,14 +975,24 @@ def traverse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.traverse_pages(pages, pages.select("url"), max_pages=8)
 
 
+_STREAM_BATCHES = 3  # micro-batches of the streaming queries
+_STREAM_FILES = 8  # files of each
+
 # --- streaming -----------------------------------------------------------------------
 
 
 def _order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders table as a stream of micro-batches that arrive in key order, some files each."""
     orders = views.table(spark, sf_dir, "orders")
-    return stream.stream_ingest(
-        spark, sf_dir, orders.schema, 1, "parquet", pathGlobFilter="orders.parquet"
-    )
+    folder = new_path(spark, "orders-feed")
+    shares = [k / _STREAM_BATCHES for k in range(1, _STREAM_BATCHES)]
+    cuts = orders.agg(F.percentile_approx("o_orderkey", shares)).first()[0] or []
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = orders if low is None else orders.filter(F.col("o_orderkey") > low)
+        part = part if high is None else part.filter(F.col("o_orderkey") <= high)
+        part.repartition(_STREAM_FILES).write.mode("append").parquet(folder)
+    return stream.stream_ingest(spark, folder, orders.schema, _STREAM_FILES, "parquet")
 
 
 def _stream_postings(df: DataFrame) -> DataFrame:
@@ -1041,7 +1051,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         now=lambda batch_id: AS_OF,
     )
     run.awaitTermination()
-    rows = _store_view(store.read_snapshot(spark, path, 1))
+    rows = _store_view(store.read_snapshot(spark, path, stream.latest_version(spark, path)))
     return rows.select(
         "fingerprint", "company_name", "job_role", "number_of_people", "published_at",
         "scrape_count", "first_seen_at",
@@ -1050,13 +1060,19 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_progress")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counted stream passes its rows on unchanged."""
-    counted = stream.stream_progress(_stream_postings(_order_stream(spark, sf_dir)))
-    rows = _drain(counted.select("company_name", "number_of_people"), "progress")
-    missing = F.lower("number_of_people") == "n/a"
-    return rows.agg(
-        F.count(F.lit(1)).alias("jobs_discovered"),
-        F.count_if(missing).alias("missing_employee_counts"),
+    """The run log of the stream, one row per micro-batch, added up."""
+    path = new_path(spark, "progress")
+    run = (
+        _stream_postings(_order_stream(spark, sf_dir))
+        .writeStream.foreachBatch(stream.progress_batch(path))
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    return stream.progress_log(spark, path).agg(
+        F.sum("jobs_discovered").alias("jobs_discovered"),
+        F.sum("missing_employee_counts").alias("missing_employee_counts"),
     )
 
 
@@ -1078,5 +1094,5 @@ def profile_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
         now=lambda batch_id: AS_OF,
     )
     run.awaitTermination()
-    rows = spark.read.schema(schema.PROFILES).parquet(f"{path}/v=1")
+    rows = spark.read.schema(schema.PROFILES).parquet(f"{path}/v={stream.latest_version(spark, path)}")
     return rows.select("company_slug", "company_name", "employee_count")

@@ -96,10 +96,11 @@ def valid_company(x: str) -> str:
 
 def valid_role(x: str) -> str:
     c = clean_label(x)
+    bullet = r"^\s*[-•*]\s+"
     return (
         f"coalesce(trim({x}) <> '' AND length({c}) BETWEEN 2 AND 120 AND lower({c}) NOT IN "
         f"({names(fixed.UI_ACTIONS)}) AND NOT {is_description(c)} AND NOT "
-        rf"{has(c, '^\s*[-•*]\s+')}, false)"
+        f"{has(c, bullet)}, false)"
     )
 
 

@@ -95,10 +95,41 @@ def _kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit(""))
 
 
+def _is_container(v: Column) -> Column:
+    """A list, or an item with a @graph list."""
+    return (
+        F.try_variant_get(v, "$", "array<variant>").isNotNull()
+        | F.try_variant_get(v, "$['@graph']", "array<variant>").isNotNull()
+    )
+
+
+def _open_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The items of scripts whose lists and @graphs are nested more than three deep."""
+    names = ["page_id", "url", "script", "item_no", "body"]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+    for batch in batches:
+        rows = []
+        for page_id, url, script, body in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            try:
+                stack, item_no = [json.loads(body.strip())], 0
+            except (ValueError, RecursionError):
+                continue
+            while stack:
+                top = stack.pop()
+                graph = top.get("@graph") if isinstance(top, dict) else top
+                if isinstance(graph, list):
+                    stack.extend(reversed(graph))
+                else:
+                    rows.append((page_id, url, script, item_no, json.dumps(top, ensure_ascii=False)))
+                    item_no += 1
+        columns = list(zip(*rows)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
 def extract_jsonld(pages: DataFrame) -> DataFrame:
     """`extract_jsonld`: JobPosting items of the page's JSON-LD scripts.
 
-    Lists and @graph are opened three levels deep; bad JSON is skipped.
+    Lists and @graph are opened to any depth; bad JSON is skipped.
     """
     with_data = pages.filter(F.contains("html", F.lit("ld+json")))
     scripts = with_data.select(
@@ -108,8 +139,16 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
     )
     level1 = _members(F.try_parse_json(F.trim("body")))
     opened = F.flatten(F.transform(level1, lambda v: F.flatten(F.transform(_members(v), _members))))
-    items = scripts.select(
-        "page_id", "url", "script", F.posexplode(opened).alias("item_no", "item")
+    parsed = scripts.withColumn("opened", opened)
+    nested = F.exists("opened", _is_container)
+    items = parsed.filter(~F.coalesce(nested, F.lit(False))).select(
+        "page_id", "url", "script", F.posexplode("opened").alias("item_no", "item")
+    )
+    deeper = parsed.filter(nested).select("page_id", "url", "script", "body").mapInArrow(
+        _open_all, "page_id bigint, url string, script int, item_no int, body string"
+    )
+    items = items.union(
+        deeper.select("page_id", "url", "script", "item_no", F.try_parse_json("body").alias("item"))
     )
     item = F.col("item")
     kinds = F.coalesce(
@@ -187,7 +226,7 @@ def _hydrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page_id, url, body in zip(*(batch.column(c).to_pylist() for c in range(3))):
             try:
                 tree = json.loads(body.strip())
-            except ValueError:
+            except (ValueError, RecursionError):  # no JSON, or nested beyond what a parser reads
                 continue
             for item_no, node in enumerate(_dicts(tree)):
                 hit = _hydration_hit(node)

@@ -154,14 +154,14 @@ def next_page_link(pages: DataFrame, visited: DataFrame | None = None) -> DataFr
 def traverse_pages(
     pages: DataFrame,
     start_urls: DataFrame,
-    max_pages: int = fixed.MAX_PAGES,
-    max_records: int = fixed.MAX_RECORDS,
+    max_pages: int,
+    max_records: int | None = None,
     max_empty: int = fixed.EMPTY_PAGES_STOP,
 ) -> DataFrame:
     """`traverse_pages`: follow next links from each start URL through the stored pages.
 
     A chain ends without a next link in scope, at a page that is not stored,
-    after ``max_pages`` pages, at ``max_records`` records, or after
+    after ``max_pages`` pages, at ``max_records`` records if given, or after
     ``max_empty`` pages in a row without records.  Returns (start_url, page_no,
     url, records).
 
@@ -203,7 +203,7 @@ def traverse_pages(
 
 
 def _advance(
-    chains: DataFrame, steps: DataFrame, max_records: int, max_empty: int
+    chains: DataFrame, steps: DataFrame, max_records: int | None, max_empty: int
 ) -> DataFrame:
     """Visit the current page of every active chain and choose the next one."""
     visit = F.struct(F.col("at_url").alias("url"), F.col("found").alias("records"))
@@ -221,7 +221,9 @@ def _advance(
         F.coalesce("candidates", F.array().cast("array<string>")),
         lambda c: ~F.array_contains(seen, c),
     )
-    goes_on = (F.col("records") < max_records) & (F.col("empty") < max_empty)
+    goes_on = F.col("empty") < max_empty
+    if max_records is not None:
+        goes_on = goes_on & (F.col("records") < max_records)
     staged = visited.withColumn("target", target)
     return staged.select(
         "start_url",

@@ -6,6 +6,7 @@ expression over the element array.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
@@ -76,8 +77,10 @@ class _Tokens(HTMLParser):
         self._add("#raw" if inside in ("script", "style", "template") else "#text", None, data)
 
     def tokens(self, html: str) -> list[dict]:
-        self.feed(html)
-        self.close()
+        """The element rows; of markup that the parser gives up on, those read so far."""
+        with contextlib.suppress(AssertionError):
+            self.feed(html)
+            self.close()
         self._close(0)
         return [
             {"at": at, "last": last, "parent": parent, "tag": tag, "attrs": attrs, "text": text}
@@ -211,9 +214,7 @@ def _resolve(base: Column, href: Column) -> Column:
     scheme = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     origin = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     page = F.regexp_replace(base, r"(?s)[?#].*$", "")
-    folder = F.regexp_replace(
-        F.substring(page, F.length(origin) + 1, F.lit(100_000)), "[^/]*$", ""
-    )
+    folder = F.regexp_replace(F.substr(page, F.length(origin) + 1), "[^/]*$", "")
     below = F.when(folder == "", F.lit("/")).otherwise(folder)
     return (
         F.when(href == "", base)
@@ -229,7 +230,7 @@ def _resolve(base: Column, href: Column) -> Column:
 def _without_dots(path: Column) -> Column:
     """Apply '.' and '..' segments of a path; query and fragment stay."""
     plain = F.regexp_extract(path, r"^([^?#]*)", 1)
-    tail = F.substring(path, F.length(plain) + 1, F.lit(100_000))
+    tail = F.substr(path, F.length(plain) + 1)
     steps = F.aggregate(
         F.split(plain, "/"),
         F.array().cast("array<string>"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,6 +20,11 @@ from jobsieve.operators.store import (
     write_snapshot,
 )
 
+_LOG = "run_id string, batch_id bigint, version int"
+_SEEN = "run_id string, batch_id bigint, dedupe_key string"
+_PROGRESS = (
+    "jobs_discovered bigint, missing_employee_counts bigint, companies_discovered bigint, batch_id bigint"
+)
 _STORE_COLUMNS = [c.strip().split(" ")[0] for c in schema.STORE.split(",")]
 
 
@@ -55,23 +61,61 @@ def _kept(batch: DataFrame) -> DataFrame:
     return valid_record(rows.filter(size_eligible(F.col("number_of_people"))))
 
 
+def _kept_log(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A log table kept beside the versions of a store; empty before its first batch."""
+    try:
+        return spark.read.schema(ddl).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ddl)
+
+
+def _turn(spark: SparkSession, path: str, run_id: str, batch_id: int) -> int:
+    """The version that a batch writes: the one it wrote before, else one after the latest."""
+    done = _kept_log(spark, f"{path}/log", _LOG)
+    own = (F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)
+    mine, latest = done.agg(F.max(F.when(own, F.col("version"))), F.max("version")).first()
+    return mine or (latest or 0) + 1
+
+
+def _done(spark: SparkSession, path: str, run_id: str, batch_id: int, version: int) -> None:
+    """Record a written version; from now on it is the latest."""
+    row = spark.createDataFrame([(run_id, batch_id, version)], _LOG)
+    row.coalesce(1).write.mode("append").parquet(f"{path}/log")
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The latest finished version of a store that streams write; 0 before the first."""
+    return _kept_log(spark, f"{path}/log", _LOG).agg(F.max("version")).first()[0] or 0
+
+
 def upsert_batch(
-    path: str, now: Callable[[int], str], curate: Callable[[DataFrame], DataFrame] | None = None
+    path: str,
+    now: Callable[[int], str],
+    curate: Callable[[DataFrame], DataFrame] | None = None,
+    run_id: str = "run",
 ) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges batch n into version n and writes version n+1.
+    """A foreachBatch function that merges a batch into the latest version and writes the next.
 
-    Replaying a batch reads the same version and writes the same one again, so
-    a batch counts once however often it runs.
+    The store outlives runs: versions go on from what the path holds.  A posting counts once
+    in a run, whatever the batches: the keys that earlier batches of the run have seen are kept
+    beside the store.  A replayed batch writes its own version again.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        store = (
-            spark.createDataFrame([], schema.STORE)
-            if batch_id == 0
-            else read_snapshot(spark, path, batch_id)
+        version = _turn(spark, path, run_id, batch_id)
+        store = read_snapshot(spark, path, version - 1) if version > 1 else spark.createDataFrame([], schema.STORE)
+        keyed = with_dedupe_key(batch)
+        before = _kept_log(spark, f"{path}/seen", _SEEN).filter(
+            (F.col("run_id") == run_id) & (F.col("batch_id") < batch_id)
         )
-        merged = merge_postings((curate or _kept)(batch), store, now(batch_id))
-        write_snapshot(merged.select(*_STORE_COLUMNS), path, batch_id + 1)
+        fresh = keyed.join(before.select("dedupe_key").distinct(), "dedupe_key", "left_anti")
+        merged = merge_postings((curate or _kept)(fresh.select(*batch.columns)), store, now(batch_id))
+        write_snapshot(merged.select(*_STORE_COLUMNS), path, version)
+        seen = fresh.select(F.lit(run_id).alias("run_id"), F.lit(batch_id).cast("bigint").alias("batch_id"), "dedupe_key")
+        seen.distinct().write.mode("append").parquet(f"{path}/seen")
+        _done(spark, path, run_id, batch_id, version)
 
     return run
 
@@ -85,7 +129,7 @@ def stream_upsert(
 ) -> StreamingQuery:
     """`stream_upsert`: new-versus-seen state across runs, one store version per batch."""
     return (
-        df.writeStream.foreachBatch(upsert_batch(path, now, curate))
+        df.writeStream.foreachBatch(upsert_batch(path, now, curate, run_id=checkpoint))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -104,7 +148,7 @@ def stream_progress(df: DataFrame, name: str = "progress") -> DataFrame:
 
 
 def progress_rows(query: StreamingQuery, name: str = "progress") -> list[dict]:
-    """Run-log rows, one per micro-batch, from the observed counters."""
+    """Observed counters of the recent micro-batches; `progress_batch` keeps all of them."""
     log = []
     for step in query.recentProgress:
         seen = step.observedMetrics.get(name)
@@ -113,19 +157,45 @@ def progress_rows(query: StreamingQuery, name: str = "progress") -> list[dict]:
     return log
 
 
+def progress_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes one row of exact counters per micro-batch.
+
+    Batch n replaces its own row, so a replay counts once, and no row is ever lost.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        missing = F.coalesce(F.lower("number_of_people") == "n/a", F.lit(True))
+        counts = batch.agg(
+            F.count(F.lit(1)).alias("jobs_discovered"),
+            F.count_if(missing).alias("missing_employee_counts"),
+            F.count_distinct("company_name").alias("companies_discovered"),
+        )
+        counts.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
+            f"{path}/batch={batch_id}"
+        )
+
+    return run
+
+
+def progress_log(spark: SparkSession, path: str) -> DataFrame:
+    """The counters of all micro-batches that `progress_batch` wrote."""
+    return spark.read.schema(_PROGRESS).parquet(f"{path}/batch=*")
+
+
 def refresh_batch(
-    texts: DataFrame, path: str, now: Callable[[int], str]
+    texts: DataFrame, path: str, now: Callable[[int], str], run_id: str = "run"
 ) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that resolves the sizes of slugs without a profile.
 
-    Slugs whose text says nothing are stored as N/A, so they are not asked again.
+    Slugs whose text says nothing are stored as N/A, so they are not asked again.  Versions go on
+    from what the path holds, as in `upsert_batch`.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        version = _turn(spark, path, run_id, batch_id)
         profiles = (
-            spark.createDataFrame([], schema.PROFILES)
-            if batch_id == 0
-            else spark.read.schema(schema.PROFILES).parquet(f"{path}/v={batch_id}")
+            spark.read.schema(schema.PROFILES).parquet(f"{path}/v={version - 1}")
+            if version > 1
+            else spark.createDataFrame([], schema.PROFILES)
         )
         named = batch.groupBy("company_slug").agg(
             F.min("company_name").alias("company_name"), F.min("ingest_pos").alias("ingest_pos")
@@ -142,7 +212,8 @@ def refresh_batch(
             )
         )
         merged = upsert_profiles(found, profiles, now(batch_id))
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id + 1}")
+        merged.write.mode("overwrite").parquet(f"{path}/v={version}")
+        _done(spark, path, run_id, batch_id, version)
 
     return run
 
@@ -152,7 +223,7 @@ def profile_refresh(
 ) -> StreamingQuery:
     """`profile_refresh`: keep the company profiles complete for a stream of postings."""
     return (
-        df.writeStream.foreachBatch(refresh_batch(texts, path, now))
+        df.writeStream.foreachBatch(refresh_batch(texts, path, now, run_id=checkpoint))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -155,3 +155,7 @@ def test_labels(apply):
     assert apply(
         ["Coalition Technologies • Worldwide • Full-time • $50,000/yr", "USA · TELUS Digital", "USA"], metadata
     ) == ["Coalition Technologies", "TELUS Digital", None]
+
+
+def test_a_megabyte_of_place_words_is_a_location(apply):
+    assert apply(["remote " * 150_000, "Remote, India", "remote x " * 1000], predicates.is_location) == [True, True, False]

@@ -116,16 +116,14 @@ def test_enrichment_order_and_both_join_forms(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
-def test_backfill_headcount_last_profile_wins_in_both_forms(spark, monkeypatch):
+def test_backfill_headcount_last_profile_wins(spark):
     rows = [posting(1, "Acme", url="https://e.com/companies/beta-x/1"), posting(2, "Acme"),
             posting(3, "Zed", url="https://e.com/T2/1"), posting(4, "Acme", source="other")]
     dim = profiles(spark, [("beta-x", "Beta", "1-10", 5), ("acme", "Acme", "11-50", 2), ("t2", "T2", "7", 1),
                            ("acm", "None", "N/A", 9)])
     expected = {1: "1-10", 2: "11-50", 3: "7", 4: "N/A"}
-    for limit in (1000, 0):
-        monkeypatch.setattr(enrich, "SLUG_LITERALS", limit)
-        got = enrich.backfill_headcount(frame(spark, rows), dim, "himalayas.app")
-        assert {r.ingest_pos: r.number_of_people for r in got.collect()} == expected
+    got = enrich.backfill_headcount(frame(spark, rows), dim, "himalayas.app")
+    assert {r.ingest_pos: r.number_of_people for r in got.collect()} == expected
 
 
 def test_classification_is_ordered_and_by_substring(spark, apply):

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobsieve.plans.curation import curate
@@ -121,13 +122,13 @@ def test_traversal_stops(spark):
     table = "<table><tr><th>Role</th><th>Company</th></tr><tr><td>Cook</td><td>Diner Inc</td></tr></table>"
     df = pages(spark, *[page(n, table if n < 3 else "") for n in range(1, 12)])
     start = spark.createDataFrame([("https://e.com/l?page=1",)], "url string")
-    visits = links.traverse_pages(df, start).orderBy("page_no").collect()
+    visits = links.traverse_pages(df, start, max_pages=1000).orderBy("page_no").collect()
     assert [r.records for r in visits] == [1, 1, 0, 0, 0]
     assert links.traverse_pages(df, start, max_pages=2).count() == 2
-    assert links.traverse_pages(df, start, max_records=1).count() == 1
+    assert links.traverse_pages(df, start, max_pages=1000, max_records=1).count() == 1
     loop = pages(spark, ("https://e.com/x", '<a rel="next" href="/y">n</a>'), ("https://e.com/y", '<a rel="next" href="/x">n</a>'))
     begin = spark.createDataFrame([("https://e.com/x",)], "url string")
-    assert links.traverse_pages(loop, begin).count() == 2
+    assert links.traverse_pages(loop, begin, max_pages=1000).count() == 2
 
 
 def test_relative_urls(spark):
@@ -167,3 +168,32 @@ def test_feeds(spark):
         ("Dev", None, "Pune, Goa", "2 days ago", "77"),
         ("Dev", None, "Lima", None, "5"),
     ]
+
+
+def page(spark, html, url="https://e.com/jobs"):
+    return spark.createDataFrame([(1, url, html)], "page_id bigint, url string, html string")
+
+
+@pytest.mark.parametrize("depth", [1, 3, 6])
+@pytest.mark.parametrize("graph", [False, True])
+def test_jsonld_is_opened_to_any_depth(spark, depth, graph):
+    body = '{"@type": "JobPosting", "title": "Clerk", "hiringOrganization": {"name": "Acme"}}'
+    for _ in range(depth):
+        body = f'{{"@graph": [{body}]}}' if graph else f"[{body}]"
+    html = f'<script type="application/ld+json">{body}</script>'
+    rows = extract.extract_jsonld(page(spark, html)).collect()
+    assert [(r.company_name, r.job_role) for r in rows] == [("Acme", "Clerk")]
+
+
+def test_bad_pages_do_not_fail_the_job(spark):
+    deep = "[" * 200_000
+    for html in ("<p>a</p><![foo[x]]><p>b</p>", f'<script id="__NEXT_DATA__">{deep}</script>',
+                 f'<script type="application/ld+json">{deep}</script>'):
+        assert extract.extract_tiered(page(spark, html)).count() == 0
+
+
+def test_long_links_are_not_cut(spark):
+    path = "/" + "x" * 150_000
+    df = spark.createDataFrame([("https://e.com/a/b?q=1", path)], "base string, href string")
+    out = df.select(markup.resolve_url(F.col("base"), F.col("href")).alias("u")).first().u
+    assert out == "https://e.com" + path

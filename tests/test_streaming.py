@@ -25,24 +25,50 @@ def ingest(spark, folder):
     return stream.stream_ingest(spark, folder, ROW, files_per_batch=1)
 
 
-def test_upsert_stream_counts_every_batch_once(spark, tmp_path):
-    feed, path = str(tmp_path / "feed"), str(tmp_path / "store")
-    write_files(spark, feed, [[row(1, "Acme Works"), row(2, "Beta Works")], [row(3, "Acme Works", "45 employees")]])
-    now = lambda n: f"2026-03-1{n} 00:00:00"
-    query = stream.stream_upsert(ingest(spark, feed), path, str(tmp_path / "cp"), now)
-    query.awaitTermination()
-    rows = {r.company_name: r for r in store.read_snapshot(spark, path, 2).collect()}
-    assert rows["Acme Works"].scrape_count == 2 and rows["Acme Works"].number_of_people == "45 employees"
-    assert rows["Beta Works"].scrape_count == 1
-
-    replay = stream.upsert_batch(path, now)
-    replay(spark.createDataFrame([row(3, "Acme Works", "45 employees")], ROW), 1)
-    again = {r.company_name: r.scrape_count for r in store.read_snapshot(spark, path, 2).collect()}
-    assert again == {"Acme Works": 2, "Beta Works": 1}
-
-    write_files(spark, feed, [[row(9, "Gamma Works")]])
-    stream.stream_upsert(ingest(spark, feed), path, str(tmp_path / "cp"), now).awaitTermination()
-    assert store.read_snapshot(spark, path, 3).count() == 3
+def names(spark, path):
+    version = stream.latest_version(spark, path)
+    return {r.company_name: (r.scrape_count, r.number_of_people) for r in store.read_snapshot(spark, path, version).collect()}
+
+
+def now(n):
+    return f"2026-03-1{n} 00:00:00"
+
+
+def upsert(spark, feed, path, checkpoint):
+    stream.stream_upsert(ingest(spark, feed), path, str(checkpoint), now).awaitTermination()
+    return names(spark, path)
+
+
+def test_upsert_stream_keeps_its_state_across_runs(spark, tmp_path):
+    path = str(tmp_path / "store")
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    write_files(spark, one, [[row(1, "Acme Works"), row(2, "Beta Works")], [row(3, "Acme Works", "45 employees")]])
+    assert upsert(spark, one, path, tmp_path / "cp1") == {"Acme Works": (1, "N/A"), "Beta Works": (1, "N/A")}
+    write_files(spark, two, [[row(1, "Acme Works", "45 employees"), row(2, "Gamma Works")]])
+    both = upsert(spark, two, path, tmp_path / "cp2")
+    assert both == {"Acme Works": (2, "45 employees"), "Beta Works": (1, "N/A"), "Gamma Works": (1, "N/A")}
+
+    replay = stream.upsert_batch(path, now, run_id=str(tmp_path / "cp2"))
+    replay(spark.createDataFrame([row(1, "Acme Works", "45 employees"), row(2, "Gamma Works")], ROW), 0)
+    assert names(spark, path) == both
+
+
+def test_upsert_result_does_not_depend_on_the_batches(spark, tmp_path):
+    rows = [row(1, "Acme Works"), row(2, "Beta Works"), row(3, "Acme Works", "45 employees"), row(4, "Beta Works")]
+    results = []
+    for name, batches in (("whole", [rows]), ("single", [[r] for r in rows])):
+        write_files(spark, str(tmp_path / name), batches)
+        results.append(upsert(spark, str(tmp_path / name), str(tmp_path / f"{name}-store"), tmp_path / f"{name}-cp"))
+    assert results[0] == results[1] == {"Acme Works": (1, "N/A"), "Beta Works": (1, "N/A")}
+
+
+def test_progress_log_keeps_every_batch(spark, tmp_path):
+    feed, path = str(tmp_path / "feed"), str(tmp_path / "log")
+    write_files(spark, feed, [[row(1, "Acme"), row(2, "Acme", "5")], [row(3, "Beta")]])
+    query = ingest(spark, feed).writeStream.foreachBatch(stream.progress_batch(path))
+    query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    log = sorted(tuple(r) for r in stream.progress_log(spark, path).collect())
+    assert log == [(1, 1, 1, 1), (2, 1, 1, 0)]
 
 
 def test_dedupe_stream_and_progress(spark, tmp_path):
