@@ -150,3 +150,23 @@ WITH p AS (
 )
 SELECT page_id, record_type, {uuid("concat_ws(chr(10), 'derived', record_type, refers_to)")} AS record_id, refers_to, target_uri, content_type, source_headers,
   payload_digest, 'sha1:' || sha1(content) AS block_digest, strlen(content) AS content_length, content FROM r"""
+
+
+def near_sql(words: int = 3, threshold: int = 85) -> str:
+    """All pairs that share a shingle, and the closure of the links."""
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + {words - 1}), ' ') AS g
+  FROM d, unnest(range(1, greatest(len(w) - {words} + 1, least(len(w), 1)) + 1)) AS u(i)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) AS t
+  JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE 100 * c >= {threshold} * (p.n + q.n - c)
+), r(a, b) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.c AS component_id, k.c = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) AS k ON k.a = d.doc_id"""

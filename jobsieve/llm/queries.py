@@ -78,4 +78,5 @@ ORACLE = {
     "op2_warc_derivatives": oracle.warc_sql(),
     "op3_license_scan": oracle.license_sql(),
     "op6_document_fingerprints": oracle.fingerprint_sql(),
+    "op8_minhash_near_dedup": oracle.near_sql(),
 }
