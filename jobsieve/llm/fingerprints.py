@@ -4,9 +4,8 @@ A line is cut into paragraphs of at most PARAGRAPH characters, and each distinct
 into a 60-bit digest.  A digest goes into three cells of a sketch; a cell holds the number of
 its digests, their exclusive or, and that of their check sums.  Sketches subtract cell by cell,
 and a cell left with one digest gives it away, which frees others: peeling recovers exactly the
-digests in which two versions differ.  Digests are first dealt into parts of about PART, so that
-a long text costs no more per character than a short one.  A part that cannot be peeled is
-sketched again, four times larger.
+digests in which two versions differ.  Digests are first dealt into parts of about PART, each with a
+sketch of its own.  A part that cannot be peeled is sketched again, four times larger.
 
 A document meets the next one through ranges of ids: the texts move once, and a range's last
 document takes its neighbour from the short table of the ranges' first ones.
@@ -20,6 +19,7 @@ from jobsieve.llm.common import identified
 
 PARAGRAPH = 100  # characters of a paragraph at most
 PART = 16  # digests of two versions in one sketch, about
+MOST_PARTS = 256  # of a text; longer ones have larger sketches
 BASE = 16  # cells for each of the three places in the fingerprint's sketch
 SIZES = (8, 32, 128, 1024)  # cells for each of the three places, tried in turn
 ROWS_PER_RANGE = 2_000
@@ -95,7 +95,7 @@ def _ranges(docs: DataFrame) -> list[int]:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(range, place, doc_id, text, next_text): each document with the next by ascending id; the first follows the last."""
+    """(doc_id, text, next_text): each document with the next by ascending id; the first follows the last."""
     cuts = _ranges(docs)
     steps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
     number = F.lit(0)
@@ -108,7 +108,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     ranged = docs.withColumn("range", number)
     order = Window.partitionBy("range").orderBy("doc_id", F.xxhash64("text"))
     placed = ranged.select(
-        "range", F.row_number().over(order).alias("place"), "doc_id", "text", F.lead("text").over(order).alias("following"),
+        "range", "doc_id", "text", F.lead("text").over(order).alias("following"),
     )
     lowest = ranged.groupBy("range").agg(F.min("doc_id").alias("low"))  # MOST_RANGES rows at most
     first = (
@@ -121,32 +121,24 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.coalesce(F.lead("text").over(turn), F.first("text").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("beyond"),
     )
     return placed.join(after, (F.col("range") == F.col("of")) & F.col("following").isNull(), "left").select(
-        "range", "place", "doc_id", "text", F.coalesce("following", "beyond").alias("next_text")
+        "doc_id", "text", F.coalesce("following", "beyond").alias("next_text")
     )
 
 
-def likeness(rows: DataFrame, keys: list[str], versions: dict[str, tuple[str, str]]) -> DataFrame:
-    """For each name in ``versions`` the likeness of two digest arrays: 1 - |difference| / (|a| + |b|); 1 if both are empty.
-
-    The rows are hash-partitioned by a column of ``keys``, so none of the groupings moves them.
-    """
-    tagged = F.array(*[F.struct(F.lit(n).alias("v"), F.col(a).alias("a"), F.col(b).alias("b")) for n, (a, b) in versions.items()])
-    one = rows.select(*keys, F.explode(tagged).alias("t")).select(*keys, "t.v", (F.size("t.a") + F.size("t.b")).alias("total"), F.expr(
-        f"concat(transform(t.a, d -> struct(d as d, 1 as n, {_CHECK.format('d')} as s)), transform(t.b, d -> struct(d as d, -1 as n, {_CHECK.format('d')} as s)))"
-    ).alias("items"))
-    item = one.select(*keys, "v", "total", F.explode_outer("items").alias("x"))
-    part = F.pmod(F.expr("x.d div 1009"), F.ceil(F.col("total") / PART))
-    parts = item.groupBy(*keys, "v", "total", part.alias("part")).agg(F.collect_list("x").alias("items"))
+def _likeness(left: str, right: str) -> Column:
+    signed = [f"transform({side}, d -> struct(d as d, {sign} as n, {_CHECK.format('d')} as s))" for side, sign in ((left, 1), (right, -1))]
     # the last way holds for digests that share all three places in every size
-    exact = "size(filter(items, x -> not exists(items, y -> y.d = x.d and y.n != x.n)))"
-    found = F.expr(f"coalesce({', '.join(_peeled('items', m) for m in SIZES)}, {exact})")
-    summed = parts.select(*keys, "v", "total", found.alias("found")).groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("v") == n, F.col("found"))).alias(f"_found_{n}") for n in versions],
-        *[F.max(F.when(F.col("v") == n, F.col("total"))).alias(f"_total_{n}") for n in versions],
-    )
-    return summed.select(*keys, *[
-        F.when(F.col(f"_total_{n}") == 0, 1.0).otherwise(1 - F.col(f"_found_{n}") / F.col(f"_total_{n}")).alias(n) for n in versions
-    ])
+    exact = "size(filter(own, x -> not exists(own, y -> y.d = x.d and y.n != x.n)))"
+    found = f"coalesce({', '.join(_peeled('own', m) for m in SIZES)}, {exact})"
+    parts = f"cast(greatest(1, least({MOST_PARTS}, ceil(size(its) / {PART}))) as int)"
+    each = f"transform(array(filter(its, x -> pmod(x.d div 1009, {parts}) = part)), own -> {found})[0]"
+    total = f"aggregate(transform(sequence(0, {parts} - 1), part -> {each}), 0, (sum, n) -> sum + n)"
+    return F.expr(f"transform(array(concat({', '.join(signed)})), its -> if(size(its) = 0, 1.0D, 1 - {total} / size(its)))[0]")
+
+
+def likeness(rows: DataFrame, keys: list[str], versions: dict[str, tuple[str, str]]) -> DataFrame:
+    """For each name in ``versions`` the likeness of two digest arrays: 1 - |difference| / (|a| + |b|); 1 if both are empty."""
+    return rows.select(*keys, *[_likeness(a, b).alias(n) for n, (a, b) in versions.items()])
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -163,10 +155,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     paired = with_next(identified(docs))
     edited = F.expr("concat(substring(text, 1, n - n div 2), substring(next_text, 1, n div 2))")
     texts = paired.withColumn("n", F.char_length("text")).withColumn("edited", edited).select(
-        "range", "place", "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("edited")).alias("cut"),
         paragraph_digests(F.col("next_text")).alias("next"),
     )
     marked = texts.withColumn("fingerprint", F.sha2(sketch_text("own"), 256)).withColumn("edited_fingerprint", F.sha2(sketch_text("cut"), 256))
-    keys = ["range", "place", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
-    return likeness(marked, keys, {"near_edited": ("own", "cut"), "near_next": ("own", "next")}).drop("range", "place")
+    keys = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
+    return likeness(marked, keys, {"near_edited": ("own", "cut"), "near_next": ("own", "next")})
