@@ -6,8 +6,9 @@ show which sets overlap.
 
 Which lists a set must look into follows from the union sketch: of the smallest values of
 the union of two linked sets at least a known number is common to both.  That number is
-exact for sets kept whole, and else the hypergeometric mean less six deviations (missed
-with a chance of about one in a billion per pair).  If at least c of k retained values are
+exact for sets kept whole whose partners are all kept whole too, and else at most the
+hypergeometric mean less six deviations, for the largest partner that a set can be linked
+with (missed with a chance below one in a million per pair).  If at least c of k retained values are
 shared, then two sets meet in one of their k - c + 1 rarest values, so each set looks into
 its rarest lists only and a passage that a third of all documents carry is not even opened.
 
@@ -90,10 +91,12 @@ def _looked_into(threshold: int):
     """How many of its rarest retained values a set of n must look into."""
     t = threshold / 100
     k = F.least(F.col("n"), F.lit(SKETCH)).cast("double")
-    union = F.col("n") * 2 / (1 + t)  # the smallest union of two linked sets of about n
-    spread = F.sqrt(k * t * (1 - t) * F.greatest(F.lit(0.0), 1 - k / union))
+    union = F.floor(F.col("n") * 100 / threshold)  # the largest union of two linked sets, and the largest partner
+    odds = max(t, 0.5) * (1 - max(t, 0.5))  # at its greatest for shares of t or more
+    spread = F.sqrt(SKETCH * odds * (union - SKETCH) / F.greatest(union - 1, F.lit(1)))
     whole = F.ceil(F.col("n") * threshold / 100)
-    common = F.when(F.col("n") <= SKETCH, whole).otherwise(F.floor(k * t - 6 * spread))
+    drawn = F.floor(SKETCH * t - 6 * spread)  # SKETCH values drawn of a set, or of a union, of which t or more are common
+    common = F.when(union <= SKETCH, whole).otherwise(F.least(whole, drawn))
     return (k - common + 1).cast("int")
 
 

@@ -64,6 +64,16 @@ def test_near_duplicates_equal_brute_force(spark, documents, monkeypatch):
     }
 
 
+@pytest.mark.parametrize("n, m, threshold", [(128, 150, 85), (127, 149, 85), (129, 151, 85), (128, 160, 80), (128, 156, 80)])
+def test_links_across_the_sketch_boundary(spark, documents, n, m, threshold):
+    pairs = 40
+    words = [[f"s{s}w{k}" for k in range(m + 2)] for s in range(pairs)]
+    rows = [(2 * s, " ".join(words[s][: n + 2])) for s in range(pairs)] + [(2 * s + 1, " ".join(words[s])) for s in range(pairs)]
+    assert all(100 * len(shingles(rows[s][1], 3) & shingles(rows[pairs + s][1], 3)) >= threshold * m for s in range(pairs))
+    got = by_id(neardup.near_duplicates(documents(*rows), words=3, threshold=threshold))
+    assert [i for i, r in got.items() if r.component_id != i - i % 2] == []
+
+
 @pytest.mark.parametrize("batch", [3, 1000])
 def test_suffix_dedup_equals_brute_force(spark, documents, batch):
     passage = prose(99, 30)
