@@ -9,7 +9,9 @@ a shard holds all that the probability of its trigrams needs (the trigrams, thei
 continuations of the pair behind the middle character), except the unigram probabilities, which
 the alphabet bounds.  Packed counts and model shards meet in a join on the shard, hot shards split,
 and the partial sums of a document add up to its perplexity.  A document is kept if its perplexity is
-not above a quantile of the trusted documents of its language.
+not above a quantile of trusted documents of its language that the model has not seen.  The quantile
+is the one that does best on the labels, where a trusted document that is lost costs as much as a
+low-quality one that stays.
 """
 
 from __future__ import annotations
@@ -29,8 +31,11 @@ from jobsieve.llm.wordhash import ragged
 SHARDS = 16
 WAYS = 8  # copies of the model in the join, among which a hot shard's counts are dealt
 CHUNK = 1 << 20  # characters that are counted together
-QUANTILE = 0.999  # of the trusted documents' perplexities
-LEAST_TRUSTED = 100  # trusted documents that a language's own threshold needs
+QUANTILES = [round(0.9 + 0.005 * k, 3) for k in range(20)] + [0.999]  # of unseen trusted documents' perplexities, to choose from
+QUANTILE = 0.95  # without low-quality documents to choose by
+UNSEEN = 3  # one of so many trusted documents is kept from the model
+LEAST_TRUSTED = 100  # unseen trusted documents that a language's own threshold needs
+LEAST_POOR = 20  # low-quality documents that a language's own quantile needs
 BEGIN, END = "\x02", "\x03"
 
 _PAIR = (1 << 42) - 1
@@ -214,27 +219,62 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return sums.groupBy("doc_id").agg(F.sum("n").alias("n"), F.exp(-F.sum("logp") / F.sum("n")).alias("perplexity"))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def unseen():
+    """Trusted rows that the model does not learn from."""
+    return F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(UNSEEN)) == 0
+
+
+def _limits(rated: DataFrame, *by: str) -> DataFrame:
+    """(by..., good, poor, limits, chosen): row counts, the thresholds at QUANTILES, and the best one's number."""
+    percents = [k / 1000 for k in range(1, 1000)]
+    value = F.col("perplexity")
+    found = rated.groupBy(*by).agg(
+        F.count(F.when(F.col("good"), 1)).alias("good"), F.count(F.when(~F.col("good"), 1)).alias("poor"),
+        F.percentile_approx(F.when(F.col("good"), value), QUANTILES, 10_000).alias("limits"),
+        F.percentile_approx(F.when(~F.col("good"), value), percents, 10_000).alias("spread"),
+    )
+    kept = F.lit(QUANTILES)
+    gone = F.transform("limits", lambda x: F.size(F.filter("spread", lambda y: y > x)) / len(percents))
+    rank = F.zip_with(kept, gone, lambda k, g: F.round(k + g, 6))
+    best = F.array_max(F.transform(rank, lambda x, i: F.struct(x.alias("sum"), i.alias("number"))))  # of equals the loosest
+    return found.withColumn("chosen", F.when(F.col("poor") > 0, best["number"])).drop("spread")
+
+
+def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, n, perplexity, threshold, kept) for each id of ``docs``.
 
-    Trusted are the documents whose label has quality 1.  n counts scored characters, the end included.
-    threshold is the ``quantile`` of the trusted documents' perplexities in the language, or of all of
-    them if the language (null is one) has fewer than LEAST_TRUSTED; kept is perplexity <= threshold.
+    Trusted are the documents whose label has quality 1; the model learns from all but every UNSEEN-th of
+    them.  n counts scored characters, the end included.  threshold is a quantile of the unseen trusted
+    documents' perplexities in the language, or of all of them if the language (null is one) has fewer than
+    LEAST_TRUSTED; kept is perplexity <= threshold.  The quantile is the one of
+    QUANTILES that maximises the share of unseen trusted documents kept plus the share of documents with
+    quality 0 rejected, in the language, or in all if it has fewer than LEAST_POOR of these.  Without any of
+    these it is QUANTILE.
 
     Rows without id are left out; rows that repeat an id are one document.  A null or empty text has no
-    perplexity and is not kept.  Without trusted documents everything with text is kept.  Repeated or
+    perplexity and is not kept.  Without trusted documents everything with text is kept; if none of them
+    is unseen, the threshold is that of the seen ones.  An id with labels of both kinds is trusted.  Repeated or
     null labels are harmless.  Extra columns are ignored.  An empty table gives no rows.
     """
     texts = identified(docs)
-    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    known = known.groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    trusted = known.where("good").where(~unseen()).select("doc_id")
     named = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min(F.col("lang").cast("string")).alias("lang")
     )
     scored = stored(named.join(perplexities(texts, trusted), "doc_id", "left"), "perplexities")
-    good = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null")
-    own = good.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
-    any_language = good.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
-    bound = own.where(F.col("rows") >= LEAST_TRUSTED).select(F.col("lang").alias("of"), "own")
+    rated = scored.join(known, "doc_id").where("perplexity is not null")
+    rated = stored(rated.select("doc_id", "lang", "perplexity", "good"), "rated")
+    judges = rated.where(unseen() | ~F.col("good"))
+    overall = _limits(judges).first()
+    if not overall["good"]:
+        overall = _limits(rated).first()
+    number = overall["chosen"] if overall["chosen"] is not None else QUANTILES.index(QUANTILE)
+    own = _limits(judges, "lang").where(F.col("good") >= LEAST_TRUSTED)
+    limit = F.element_at("limits", F.when(F.col("poor") >= LEAST_POOR, F.col("chosen")).otherwise(F.lit(number)) + 1)
+    any_language = overall["limits"][number] if overall["limits"] else None
+    bound = own.select(F.col("lang").alias("of"), limit.alias("own"))
     limited = scored.join(bound, F.col("lang").eqNullSafe(F.col("of")), "left")
     threshold = F.coalesce("own", F.lit(any_language).cast("double"), F.lit(float("inf")))
     return limited.select(

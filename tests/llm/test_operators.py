@@ -174,6 +174,15 @@ def test_quality_rejects_noise_and_keeps_prose(spark, documents):
     assert got[0].n == len(good[0][1]) + 1
 
 
+def test_quality_is_not_bound_by_odd_trusted_rows(spark, documents):
+    good = [(i, prose(i, 80)) for i in range(400)] + [(400 + i, "#$%! ~^& " * 20) for i in range(4)]
+    bad = [(1000 + i, " ".join([w.capitalize()] * 60)) for i, w in enumerate(prose(3, 40).split())]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad[:20]], "doc_id long, quality int, toxic int")
+    got = by_id(quality.classify_quality(documents(*good, *bad), labels))
+    assert not any(got[i].kept for i, _ in bad)
+    assert sum(got[i].kept for i, _ in good) >= 380
+
+
 def test_toxicity_tolerates_gaps(spark, documents):
     def text(i):
         return prose(i, 30) + (" you dreadful nincompoop " if i % 4 == 0 else " you cheerful fellow ") + prose(i + 500, 30)
