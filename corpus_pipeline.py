@@ -12,8 +12,6 @@ from jobsieve.llm.common import read_table, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-REPEATED_BYTES = 200  # of a passage that is cut from all documents but the first; fewer are left alone
-
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``gone``; rows without id stay."""
@@ -32,8 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that documents with smaller ids hold are cut."""
-    return suffix_dedup.shorten_repeats(docs, REPEATED_BYTES)
+    """Strings of 50 bytes that documents with smaller ids hold are cut."""
+    return suffix_dedup.shorten_repeats(docs, span=50)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,6 +101,15 @@ def test_suffix_dedup_equals_brute_force(spark, documents, batch):
     assert cut[1].text == "" and cut[3].text == texts[3] and cut[0].n_chars == len(texts[0])
 
 
+def test_pipeline_cuts_short_repeats(spark, documents):
+    import corpus_pipeline
+
+    passage = " ".join("the of and to in is it on".split()[k * k % 8] + chr(97 + k // 26) + chr(97 + k % 26) for k in range(30))
+    assert 50 < len(passage) < 200
+    got = by_id(corpus_pipeline.suffix_array_dedup(spark, documents((1, "A" + passage), (2, "B" + passage), (3, passage[:49])), ""))
+    assert [got[i].text for i in (1, 2, 3)] == ["A" + passage, "B", passage[:49]]
+
+
 def test_shards_are_even_whole_and_gapless(spark, documents):
     rows = [(i, prose(i % 300, 20 + i % 50)) for i in range(900)] + [(1000 + i, "hot " * 40) for i in range(500)]
     got = sharding.shard_by_bytes(documents(*rows)).collect()
