@@ -1,6 +1,7 @@
-"""License scans: set-similarity join of text blocks (lines) with license templates.
+"""License scans: set-similarity join of text blocks with license templates.
 
-A template is found in a block when the block holds at least CONTAINED percent of the template's
+Blocks are lines and, as sentences wrap, all runs of words across lines that are WINDOW times as long as
+a template.  Only the runs around a template's rarest words are looked at.  A template is found in a block when the block holds at least CONTAINED percent of the template's
 distinct words.  All words of the templates are put in order of their frequency in the corpus,
 rarest first.  A block that holds enough of a template must hold one of the template's first
 |T| - needed + 1 words (prefix filter), have at least as many words as needed (length filter), and
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from jobsieve.llm.common import WORD, ascii_lower, stored
 
 CONTAINED = 80  # percent of a template's distinct words
+WINDOW = 1.5  # words of a run across lines, for each word of the template
 
 # Phrases whose places are counted, with their labels.
 BASE = {
@@ -55,6 +57,10 @@ def template_words(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(WORD, lowered)))
 
 
+def window(text: str) -> int:
+    return math.ceil(WINDOW * len(re.findall(WORD, text.lower())))
+
+
 def needed(size: int) -> int:
     return math.ceil(size * CONTAINED / 100)
 
@@ -85,22 +91,23 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
     Words are of the text with A-Z lower-cased.  n_base counts all places of the BASE phrases, which may
     span lines; first_word and last_word are the least and greatest start of one, else null.  labels adds
-    the labels of the templates that a line holds to CONTAINED percent.  score is the greatest containment
-    found in a line, 1 where a base phrase stands, else 0.
+    the labels of the templates that a line, or WINDOW times the template's words in a row across lines, holds to
+    CONTAINED percent.  score is the greatest containment found, 1 where a base phrase stands, else 0.
 
     Rows without id and repeated rows are scanned like any other.  A null text is empty: no words, no
     labels, score 0.  Lines without words match nothing.  Extra columns are ignored.  An empty table
     gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sets = [(label, template_words(text)) for label, text in templates]
-    order = _order(docs, sorted({w for _, words in sets for w in words}))
+    sets = [(label, template_words(text), window(text)) for label, text in templates]
+    widest = max((width for _, _, width in sets), default=1)
+    order = _order(docs, sorted({w for _, words, _ in sets for w in words}))
     rank = {w: k for k, w in enumerate(order)}
     index = []
-    for number, (label, words) in enumerate(sets):
+    for number, (label, words, width) in enumerate(sets):
         least = needed(len(words))
         for place, word in enumerate(sorted(words, key=rank.get)[: len(words) - least + 1]):
-            index.append((word, number, label, sorted(words, key=rank.get), place, least))
+            index.append((word, number, label, sorted(words, key=rank.get), place, least, width))
     prefix = sorted({row[0] for row in index})
     base_words = sorted({phrase.split(" ")[0] for phrase in BASE})
 
@@ -110,14 +117,19 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         F.size(F.regexp_extract_all("text", F.lit(f"({_IN_WORD}+)"), F.lit(1))).cast("long").alias("n_words"),
         F.when(F.col("text").rlike(_holds(base_words)), _words(lowered)).otherwise(F.array().cast("array<string>")).alias("words"),
         F.when(F.col("text").rlike(_holds(prefix)), F.filter(F.split("text", "\n"), lambda b: b.rlike(_holds(prefix)))).alias("blocks"),
+        F.when(F.col("text").contains("\n") & F.col("text").rlike(_holds(prefix)), _words(lowered)).alias("all_words"),
     )
+    rare = ", ".join(f"'{w}'" for w in prefix)
+    around = f"struct(element_at(all_words, i) as word, least(i, {widest}) as at, slice(all_words, greatest(i - {widest - 1}, 1), least(i, {widest}) + {widest - 1}) as words)"
+    rare_at = f"filter(sequence(1, greatest(size(all_words), 1)), i -> get(all_words, i - 1) in ({rare}))"
+    scanned = scanned.withColumn("runs", F.expr(f"if(all_words is null, null, transform({rare_at}, i -> {around}))"))
     for k, phrase in enumerate(BASE):
         scanned = scanned.withColumn(f"at{k}", F.expr(_places(phrase)))
     named = [F.when(F.size(f"at{k}") > 0, F.lit(label)) for k, label in enumerate(BASE.values())]
     starts = F.concat(*[F.col(f"at{k}") for k in range(len(BASE))])
     scanned = stored(
         scanned.select(
-            "row", "doc_id", "n_words", "blocks", F.size(starts).cast("long").alias("n_base"),
+            "row", "doc_id", "n_words", "blocks", "runs", F.size(starts).cast("long").alias("n_base"),
             F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
             F.array_compact(F.array(*named)).alias("base"),
         ),
@@ -130,7 +142,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         .withColumn("line_words", F.array_distinct(_words(ascii_lower(F.col("line")))))
         .select("row", "block", F.size("line_words").alias("n"), F.array_intersect(vocabulary, "line_words").alias("known"))
     )
-    schema = "word string, template int, label string, words array<string>, place int, least int"
+    schema = "word string, template int, label string, words array<string>, place int, least int, width int"
     lookup = docs.sparkSession.createDataFrame(index, schema)
     candidates = (
         blocks.select("row", "block", "n", "known", F.posexplode("known").alias("own_place", "word"))
@@ -139,8 +151,17 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         .where(1 + F.least(F.size("words") - F.col("place") - 1, F.size("known") - F.col("own_place") - 1) >= F.col("least"))
     )
     held = F.size(F.array_intersect("words", "known"))
+    in_lines = candidates.where(held >= F.col("least")).select("row", "label", (held / F.size("words")).alias("held"))
+    runs = scanned.where("runs is not null").select("row", F.explode("runs").alias("run")).selectExpr("row", "run.word", "run.at", "run.words as own")
+    starts = "sequence(greatest(at - width + 1, 1), at)"  # of the runs that hold the rare word
+    across = (
+        runs.join(F.broadcast(lookup), "word")  # the fixed templates
+        .where(F.size(F.array_intersect("words", "own")) >= F.col("least"))
+        .withColumn("most", F.expr(f"array_max(transform({starts}, s -> size(array_intersect(words, slice(own, s, width)))))"))
+        .where("most >= least").select("row", "label", (F.col("most") / F.size("words")).alias("held"))
+    )
     found = (
-        candidates.where(held >= F.col("least")).select("row", "label", (held / F.size("words")).alias("held"))
+        in_lines.unionByName(across)
         .groupBy("row").agg(F.collect_set("label").alias("more"), F.max("held").alias("held"))
     )
     none = F.array().cast("array<string>")

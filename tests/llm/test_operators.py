@@ -224,6 +224,19 @@ def test_license_places_and_templates(spark, documents):
     assert (got[2].n_words, got[2].n_base, got[2].first_word, got[2].labels, got[2].score) == (2, 0, None, "", 0)
 
 
+def test_wrapped_licenses_are_found(spark, documents):
+    wrapped = {
+        "bsd": "x\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted.",
+        "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.",
+        "gpl-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License,\nversion 2.",
+        "unlicense": "\n".join("This is free and unencumbered software released into the public domain.".split()),
+    }
+    far = "Redistribution and use in source and binary forms\n" + prose(1, 40) + "\nwith or without modification, are permitted"
+    got = by_id(licenses.scan_licenses(documents(*enumerate([*wrapped.values(), far, far.replace("\n", "\n\n")]))))
+    assert [label in got[i].labels.split(",") and got[i].score == 1 for i, label in enumerate(wrapped)] == [True] * 4
+    assert got[4].labels == got[5].labels == ""
+
+
 def test_warc_records_are_linked(spark):
     html = '<html lang="en"><head><title>A &amp; B</title><script>x()</script></head><body><p>Hi<br>there <a href="/x">you</a></p><!-- no --></body></html>'
     pages = spark.createDataFrame([(1, "https://e.com/", html), (2, None, None)], "page_id long, url string, html string")
