@@ -187,12 +187,13 @@ def _alike(string: str, landmark: str) -> float:
     return float(similarities([string], [landmark])[0, 0])
 
 
-def _monotone(margin: np.ndarray, toxic: np.ndarray) -> tuple[list[float], list[float]]:
-    """Points of a rising curve from margins to the share of toxic rows (pooled neighbours, a few rows at least)."""
+def _monotone(margin: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[list[float], list[float]]:
+    """Points of a rising curve from margins to the weighted share of toxic rows (pooled neighbours, a few rows at least)."""
     order = np.argsort(margin, kind="stable")
     blocks: list[list[float]] = []
     for part in np.array_split(order, max(1, len(order) // 10)):
-        blocks.append([margin[part].mean(), toxic[part].sum(), len(part)])
+        own = weight[part]
+        blocks.append([np.average(margin[part], weights=own), own[toxic[part]].sum(), own.sum()])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             at, hits, rows = blocks.pop()
             a, b, c = blocks[-1]
@@ -203,11 +204,14 @@ def _monotone(margin: np.ndarray, toxic: np.ndarray) -> tuple[list[float], list[
 class Machine:
     """Landmarks, weights and the calibration of a fitted machine."""
 
-    def __init__(self, landmarks: list[str], features: np.ndarray, toxic: np.ndarray):
+    def __init__(self, landmarks: list[str], features: np.ndarray, toxic: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)):
+        """``stands_for``: how many labelled rows one clean and one toxic row stand for."""
         self.landmarks = landmarks
+        share = np.where(toxic, stands_for[1], stands_for[0])
+        share = share / share.mean() if len(share) else share
         self.whiten = np.zeros((3 * len(landmarks), 3 * len(landmarks)))
         self.weights = np.zeros(3 * len(landmarks) + 1)
-        self.steps = [0.0], [float((toxic.sum() + 0.5) / (len(toxic) + 1))]
+        self.steps = [0.0], [float((share[toxic].sum() + 0.5) / (len(toxic) + 1))]
         if not landmarks or toxic.all() or not toxic.any():
             return
         among = similarities(landmarks, landmarks).astype(float)
@@ -224,7 +228,7 @@ class Machine:
             if np.allclose(new, self.weights, atol=1e-9):
                 break
             self.weights = new
-        self.steps = _monotone(x @ self.weights, toxic)
+        self.steps = _monotone(x @ self.weights, toxic, share)
 
     def state(self) -> dict:
         """What scoring needs, as plain values."""
@@ -243,11 +247,17 @@ def held_out():
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
-    """A machine fitted on at most TOXIC_ROWS and CLEAN_ROWS labelled rows that are not held out."""
+    """A machine fitted on at most TOXIC_ROWS and CLEAN_ROWS labelled rows that are not held out.
+
+    Its scores are for the mix of classes among all of these labelled rows, however many were drawn.
+    """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(~held_out())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") >= 0.5).alias("toxic"))
     )
+    known = stored(known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"), "known")
+    rows = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    stands_for = tuple(max(1.0, rows.get(t, 0) / n) for t, n in ((False, CLEAN_ROWS), (True, TOXIC_ROWS)))
     turn = F.xxhash64("doc_id", F.lit("toxicity"))
     drawn = [known.where(F.col("toxic") == t).orderBy(turn, "doc_id").limit(n) for t, n in ((True, TOXIC_ROWS), (False, CLEAN_ROWS))]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -263,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
 
     table = train.mapInArrow(run, "toxic boolean, features array<float>").toArrow()  # a few numbers per fitted row
     features = np.array(table.column("features").to_pylist(), np.float32).reshape(len(table), 3 * len(landmarks))
-    return Machine(landmarks, features, table.column("toxic").to_numpy().astype(bool))
+    return Machine(landmarks, features, table.column("toxic").to_numpy().astype(bool), stands_for)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

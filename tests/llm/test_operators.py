@@ -204,6 +204,17 @@ def test_toxicity_tolerates_gaps(spark, documents):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
 
 
+def test_toxicity_scores_keep_their_meaning_when_rows_are_drawn(spark, documents, monkeypatch):
+    # one text in three with the word is toxic, and no text without it
+    rows = [(i, prose(1, 20) + (" you dreadful nincompoop " if i % 10 < 3 else " ") + prose(i + 5000, 3) + f" {i}") for i in range(1800)]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", 100)
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", 200)
+    got = by_id(toxicity.score_toxicity(documents(*rows), labels))
+    said = [got[i].score for i, _ in rows if i % 10 < 3]
+    assert 0.2 < sum(said) / len(said) < 0.48
+
+
 def test_leaks_are_found_with_edits(spark, documents):
     item = prose(77, 40)
     words = item.split()
