@@ -10,16 +10,24 @@ from jobsieve.session import new_path
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"  # letters, digits and non-ASCII characters, in text with A-Z lower-cased
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the folder that all executors share, and read back.
 
     This cuts the lineage: what follows survives lost executors without computing ``df`` again.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` wrote and that nothing will read again."""
+    context = table.sparkSession.sparkContext
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -170,3 +170,33 @@ WITH RECURSIVE d AS (
 )
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.c AS component_id, k.c = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) AS k ON k.a = d.doc_id"""
+
+
+def centroid_sql(k: int = 40, rounds: int = 5, dims: int = 64, scale: int = 256, seed: int = 2) -> str:
+    """Every distance to every centroid in every round, from the components themselves."""
+    steps = [
+        f"""kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "part AS (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM kept)",
+        f"""first AS (SELECT r, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS k FROM kept
+            QUALIFY row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) <= {k})""",
+        "c0 AS (SELECT k, j, x AS c FROM first JOIN part USING (r))",
+    ]
+    for n in range(rounds + 1):
+        steps += [
+            f"far{n} AS (SELECT r, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM part JOIN c{n} USING (j) GROUP BY r, k)",
+            f"at{n} AS (SELECT r, min(d * {k} + k) AS best FROM far{n} GROUP BY r)",
+            f"own{n} AS (SELECT r, best % {k} AS k, best // {k} AS d FROM at{n})",
+        ]
+        if n < rounds:
+            steps += [
+                f"sum{n} AS (SELECT k, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM part JOIN own{n} USING (r) GROUP BY k, j)",
+                f"""c{n + 1} AS (SELECT c.k, c.j, CASE WHEN s IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c
+                    FROM c{n} c LEFT JOIN sum{n} m ON c.k = m.k AND c.j = m.j)""",
+            ]
+    return f"""WITH {', '.join(steps)},
+        hashed AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY j)) AS h FROM c{rounds} GROUP BY k),
+        size AS (SELECT k, CAST(sum(d) AS BIGINT) AS s FROM own{rounds} GROUP BY k)
+        SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, s AS cluster_inertia,
+            CAST((SELECT sum(s) FROM size) AS BIGINT) AS inertia, h AS centroid_sha256
+        FROM own{rounds} JOIN kept USING (r) JOIN hashed USING (k) JOIN size USING (k)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobsieve.llm import decontaminate, fingerprints, licenses, neardup, oracle, packing, quality, sharding, suffix_dedup, toxicity, warc
+from jobsieve.llm import centroids, decontaminate, fingerprints, licenses, neardup, oracle, packing, quality, sharding, suffix_dedup, toxicity, warc
 from jobsieve.llm.common import read_table
 
 
@@ -61,6 +61,15 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of 64 components in 40 clusters after 5 rounds."""
+    assigned, clusters = centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+    hashed = clusters.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256))
+    return assigned.join(F.broadcast(hashed.drop("centroid", "n")), "cluster").select(  # at most 40 rows
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -72,6 +81,7 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 ORACLE = {
     "op1_benchmark_decontamination": oracle.leak_sql(),
@@ -79,4 +89,5 @@ ORACLE = {
     "op3_license_scan": oracle.license_sql(),
     "op6_document_fingerprints": oracle.fingerprint_sql(),
     "op8_minhash_near_dedup": oracle.near_sql(),
+    "op12_centroid_clustering": oracle.centroid_sql(),
 }
