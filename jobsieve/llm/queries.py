@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobsieve.llm import centroids, decontaminate, fingerprints, licenses, neardup, oracle, packing, quality, sharding, suffix_dedup, toxicity, warc
+from jobsieve.llm import alignment, centroids, decontaminate, fingerprints, licenses, neardup, oracle, packing, quality, sharding, suffix_dedup, toxicity, warc
 from jobsieve.llm.common import read_table
 
 
@@ -70,6 +70,12 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two public tokenizers aligned in all documents."""
+    ranks, pieces = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokenizers(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, pieces)[0]
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -82,6 +88,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 ORACLE = {
     "op1_benchmark_decontamination": oracle.leak_sql(),
