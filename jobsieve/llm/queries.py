@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobsieve.llm import alignment, centroids, decontaminate, fingerprints, licenses, neardup, oracle, packing, quality, sharding, suffix_dedup, toxicity, warc
+from jobsieve.llm import alignment, centroids, decontaminate, fingerprints, langid, licenses, neardup, oracle, packing, quality, sharding, suffix_dedup, toxicity, warc
 from jobsieve.llm.common import read_table
 
 
@@ -61,6 +61,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from two thirds of them."""
+    return langid.identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings of 64 components in 40 clusters after 5 rounds."""
     assigned, clusters = centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_language_id": op11_language_id,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
