@@ -22,7 +22,6 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsieve.llm.common import identified
-from jobsieve.operators.spread import lookup_join
 
 BUCKETS = 1 << 16  # rows of the embedding matrix
 SPAN = 4  # letters of the longest subword
@@ -200,7 +199,8 @@ def train(labelled: DataFrame) -> Model:
     found = {r["lang"]: r["n"] for r in counts.collect()}  # one row per language
     total, quota = sum(found.values()), TRAIN_ROWS / max(1, len(found))
     placed = labelled.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
-    drawn = lookup_join(placed, counts, ["lang"], "inner").where(F.col("place") / (1 << 40) * F.col("n") < quota)
+    sizes = labelled.sparkSession.createDataFrame(list(found.items()), "lang string, n long")  # as many rows as the driver holds
+    drawn = placed.join(F.broadcast(sizes), "lang").where(F.col("place") / (1 << 40) * F.col("n") < quota)
     examples = drawn.select("lang", "place", "text").mapInArrow(_examples, "lang string, place long, bags binary").toArrow()
     return _fit(examples, {lang: n / total for lang, n in found.items()})
 
