@@ -22,7 +22,7 @@ from jobsieve.plans import views
 from jobsieve.plans.curation import curate, flag_run
 from jobsieve.session import new_path
 from jobsieve.sources import extract, feeds, links
-from jobsieve.streaming import stream
+from jobsieve.streaming import deltas, stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -981,17 +981,14 @@ _STREAM_FILES = 8  # files of each
 # --- streaming -----------------------------------------------------------------------
 
 
-def _order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders table as a stream of micro-batches that arrive in key order, some files each."""
+def _order_stream(spark: SparkSession, sf_dir: str, backwards: bool = False) -> DataFrame:
+    """The orders table as a stream of micro-batches, equal ranges of the key, some files each."""
     orders = views.table(spark, sf_dir, "orders")
     folder = new_path(spark, "orders-feed")
-    shares = [k / _STREAM_BATCHES for k in range(1, _STREAM_BATCHES)]
-    cuts = orders.agg(F.percentile_approx("o_orderkey", shares)).first()[0] or []
-    bounds = [None, *cuts, None]
-    for low, high in zip(bounds, bounds[1:]):
-        part = orders if low is None else orders.filter(F.col("o_orderkey") > low)
-        part = part if high is None else part.filter(F.col("o_orderkey") <= high)
-        part.repartition(_STREAM_FILES).write.mode("append").parquet(folder)
+    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    number = F.expr(f"(o_orderkey - {low or 0}) * {_STREAM_BATCHES} div {(high or 0) - (low or 0) + 1}")
+    for k in sorted(range(_STREAM_BATCHES), reverse=backwards):
+        orders.where(number == k).repartition(_STREAM_FILES).write.mode("append").parquet(folder)
     return stream.stream_ingest(spark, folder, orders.schema, _STREAM_FILES, "parquet")
 
 
@@ -1011,6 +1008,7 @@ def _stream_postings(df: DataFrame) -> DataFrame:
         F.lit("N/A").alias("location"),
         F.lit("N/A").alias("posted_by"),
         F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")).alias("company_slug"),
+        F.expr("o_orderkey div 20").alias("page"),
     )
 
 
@@ -1037,21 +1035,21 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_dedupe")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stream.stream_dedupe(_stream_postings(_order_stream(spark, sf_dir)))
-    return _drain(rows.select("dedupe_key", "company_name", "job_role"), "dedupe")
+    """First arrivals, although the latest arrive first."""
+    path = new_path(spark, "dedupe")
+    firsts = stream.stream_dedupe(_stream_postings(_order_stream(spark, sf_dir, backwards=True)))
+    writer = firsts.writeStream.outputMode("update").foreachBatch(stream.emitted_batch(f"{path}/rows"))
+    writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.settled(spark.read.schema(firsts.schema.add("batch", "long")).parquet(f"{path}/rows"))
+    return rows.select("dedupe_key", "ingest_pos", "company_name", "job_role", "number_of_people")
 
 
 @query("stream_upsert")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "stream-store")
-    run = stream.stream_upsert(
-        _stream_postings(_order_stream(spark, sf_dir)),
-        path,
-        f"{path}/checkpoint",
-        now=lambda batch_id: AS_OF,
-    )
-    run.awaitTermination()
-    rows = _store_view(store.read_snapshot(spark, path, stream.latest_version(spark, path)))
+    postings = _stream_postings(_order_stream(spark, sf_dir))
+    stream.stream_upsert(postings, path, f"{path}/checkpoint", now=lambda batch_id: AS_OF).awaitTermination()
+    rows = _store_view(deltas.read_store(spark, path))
     return rows.select(
         "fingerprint", "company_name", "job_role", "number_of_people", "published_at",
         "scrape_count", "first_seen_at",
@@ -1060,20 +1058,14 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_progress")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The run log of the stream, one row per micro-batch, added up."""
+    """The run log after each micro-batch, over a store that an earlier run has filled with finished orders."""
     path = new_path(spark, "progress")
-    run = (
-        _stream_postings(_order_stream(spark, sf_dir))
-        .writeStream.foreachBatch(stream.progress_batch(path))
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    return stream.progress_log(spark, path).agg(
-        F.sum("jobs_discovered").alias("jobs_discovered"),
-        F.sum("missing_employee_counts").alias("missing_employee_counts"),
-    )
+    finished = _stream_postings(views.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"))
+    stream.upsert_batch(path, lambda batch_id: AS_OF, run_id="earlier")(finished, 0)
+    postings, run_id = _stream_postings(_order_stream(spark, sf_dir)), f"{path}/checkpoint"
+    stream.stream_progress(postings, path, run_id, lambda batch_id: AS_OF, page="page").awaitTermination()
+    line = F.transform("recent_jobs", lambda j: F.concat_ws("|", j.ingest_pos, j.company_name, j.job_role, j.number_of_people, j.is_new))
+    return stream.progress_log(spark, path, run_id).withColumn("recent_jobs", F.array_join(line, ";"))
 
 
 @query("profile_refresh")
@@ -1094,5 +1086,4 @@ def profile_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
         now=lambda batch_id: AS_OF,
     )
     run.awaitTermination()
-    rows = spark.read.schema(schema.PROFILES).parquet(f"{path}/v={stream.latest_version(spark, path)}")
-    return rows.select("company_slug", "company_name", "employee_count")
+    return stream.latest_profiles(spark, path).select("company_slug", "company_name", "employee_count")

@@ -974,11 +974,15 @@ def oracle_queries() -> dict[str, str]:
     stream = (
         "WITH s AS (SELECT o_orderkey AS ingest_pos, 'Customer ' || CAST(o_custkey AS VARCHAR) AS company_name, "
         "'role ' || o_orderpriority AS job_role, CASE WHEN o_orderstatus = 'F' THEN '1 - 10 employees' ELSE 'N/A' END "
-        f"AS number_of_people, o_orderdate, o_custkey FROM orders), k AS (SELECT *, {key('company_name')} || '::' || "
+        "AS number_of_people, o_orderdate, o_custkey, o_orderstatus, o_orderkey // 20 AS page, (o_orderkey - low) * 3 // (high - low + 1) AS batch "
+        f"FROM orders, (SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders)), k AS (SELECT *, {key('company_name')} || '::' || "
         f"{key('job_role')} AS dedupe_key FROM s) "
     )
     sql["stream_ingest"] = stream + "SELECT ingest_pos, company_name, job_role, number_of_people FROM s"
-    sql["stream_dedupe"] = stream + "SELECT DISTINCT dedupe_key, company_name, job_role FROM k"
+    sql["stream_dedupe"] = stream + (
+        "SELECT dedupe_key, ingest_pos, company_name, job_role, number_of_people FROM k "
+        "QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY ingest_pos) = 1"
+    )
     clean_role = clean_label("job_role")
     no_url = "CAST(NULL AS VARCHAR)"
     sql["stream_upsert"] = stream + (
@@ -988,8 +992,23 @@ def oracle_queries() -> dict[str, str]:
         f"company_name, {clean_role} AS job_role, number_of_people, {stamp('d')} AS published_at, CAST(1 AS BIGINT) AS scrape_count, "
         f"{q(views.AS_OF)} AS first_seen_at FROM f"
     )
+    seen_at = fingerprint("company_name", clean_role, no_url)
     sql["stream_progress"] = stream + (
-        "SELECT count(*) AS jobs_discovered, count(*) FILTER (number_of_people = 'N/A') AS missing_employee_counts FROM s"
+        f", p AS (SELECT *, {seen_at} AS fp, {key('company_name')} AS company, {clean_role} AS role FROM k), held AS (SELECT DISTINCT fp FROM p "
+        "WHERE o_orderstatus = 'F'), f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY ingest_pos) = 1), "
+        "n AS (SELECT *, fp NOT IN (SELECT fp FROM held) AND row_number() OVER (PARTITION BY fp ORDER BY ingest_pos) = 1 AS is_new, "
+        "row_number() OVER (PARTITION BY company ORDER BY ingest_pos) = 1 AS first_of_company FROM f), "
+        "pages AS (SELECT page, min(batch) AS batch FROM s GROUP BY page), steps AS (SELECT DISTINCT batch FROM s) "
+        "SELECT batch, (SELECT count(*) FROM pages WHERE pages.batch <= steps.batch) AS pages_processed, "
+        "(SELECT count(*) FROM s WHERE s.batch <= steps.batch) AS jobs_discovered, "
+        "(SELECT count(*) FROM n WHERE n.batch <= steps.batch) AS jobs_processed, "
+        "(SELECT count(*) FROM n WHERE n.batch <= steps.batch AND first_of_company) AS companies_discovered, "
+        "(SELECT count(*) FROM s WHERE s.batch <= steps.batch) - (SELECT count(*) FROM n WHERE n.batch <= steps.batch) AS duplicates_removed, "
+        "(SELECT count(*) FROM n WHERE n.batch <= steps.batch AND number_of_people = 'N/A') AS missing_employee_counts, "
+        "(SELECT count(*) FROM n WHERE n.batch <= steps.batch AND is_new) AS new_jobs_added, "
+        "(SELECT count(*) FROM n WHERE n.batch <= steps.batch AND NOT is_new) AS existing_jobs_seen, "
+        "(SELECT string_agg(t, ';' ORDER BY ingest_pos) FROM (SELECT ingest_pos, ingest_pos || '|' || company_name || '|' || role || '|' "
+        "|| number_of_people || '|' || is_new AS t FROM n WHERE n.batch <= steps.batch ORDER BY ingest_pos DESC LIMIT 25)) AS recent_jobs FROM steps"
     )
     sql["profile_refresh"] = stream + (
         "SELECT DISTINCT 'customer-' || CAST(o_custkey AS VARCHAR) AS company_slug, company_name, CASE WHEN c_nationkey > 4 "
