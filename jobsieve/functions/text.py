@@ -70,14 +70,26 @@ def unescape_sql(x: str) -> str:
     return bind(x, "t", f"CASE WHEN contains(t, '&') THEN {decoded} ELSE t END")
 
 
+def _escaped(chars: str) -> str:
+    """A SQL string literal of control and space characters."""
+    return "'" + "".join(f"\\u{ord(c):04x}" for c in chars) + "'"
+
+
+# the characters of Unicode's White_Space property, and the control characters that cleaning drops
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_CONTROLS = "".join(chr(c) for c in (*range(9), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F))
+_OTHER_SPACES = "".join(c for c in _SPACES if c != " " and c not in _CONTROLS)
+
+
 def strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, {literal(r'(?U)^\s+|\s+$')}, '')"
+    return f"btrim({x}, {_escaped(_SPACES)})"
 
 
 def clean_text_sql(x: str) -> str:
-    controls = literal(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
-    plain = f"regexp_replace({unescape_sql(f"coalesce({x}, '')")}, {controls}, '')"
-    return f"trim(regexp_replace({plain}, {literal(r'(?U)\s+')}, ' '))"
+    # one pass turns every white space into a blank and drops control characters
+    blank = f"translate({unescape_sql(f"coalesce({x}, '')")}, {_escaped(_OTHER_SPACES + _CONTROLS)}, '{' ' * len(_OTHER_SPACES)}')"
+    single = bind(blank, "b", "CASE WHEN contains(b, '  ') THEN regexp_replace(b, '  +', ' ') ELSE b END")
+    return f"trim({single})"
 
 
 def label_sql(clean: str) -> str:
@@ -126,7 +138,7 @@ def normalize_key(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space on both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def format_count(c: Column) -> Column:
