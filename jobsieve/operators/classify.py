@@ -21,8 +21,8 @@ from jobsieve.operators.rules import (
 )
 
 
-def keyword_match(df: DataFrame, rules: Iterable[KeywordRule] | None = None) -> DataFrame:
-    """`keyword_match`: one row per posting and keyword whose terms occur in the role.
+def keyword_hits(df: DataFrame, rules: Iterable[KeywordRule] | None = None) -> DataFrame:
+    """Add _hits: the keywords whose terms occur in the role, as an array in the order of the rules.
 
     The rules become one array of tests per row, so there is no join at all.
     """
@@ -34,8 +34,12 @@ def keyword_match(df: DataFrame, rules: Iterable[KeywordRule] | None = None) ->
         f"{r.keyword_pos}, 'keyword', {text(r.keyword)}) END"
         for r in rules
     )
-    matched = lowered.withColumn("_hit", F.explode(F.expr(f"array_compact(array({hits}))")))
-    return matched.select(*df.columns, "_hit.*")
+    return lowered.withColumn("_hits", F.expr(f"array_compact(array({hits}))")).drop("_lower")
+
+
+def keyword_match(df: DataFrame, rules: Iterable[KeywordRule] | None = None) -> DataFrame:
+    """`keyword_match`: one row per posting and keyword whose terms occur in the role."""
+    return keyword_hits(df, rules).select(*df.columns, F.inline("_hits"))
 
 
 def classify_role(c: Column, rules: Iterable[RoleRule] | None = None) -> Column:

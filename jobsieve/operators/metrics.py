@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsieve import fixed
 from jobsieve.functions.dates import date_tab, is_new_today
-from jobsieve.functions.headcount import size_bucket, size_under_100
+from jobsieve.functions.headcount import size_bucket, size_eligible, size_under_100
 from jobsieve.functions.text import normalize_key
-from jobsieve.operators.classify import eligible, keyword_match
+from jobsieve.operators.classify import eligible, keyword_hits
+from jobsieve.operators.dedupe import with_dedupe_key
+from jobsieve.operators.enrich import with_headcount
+from jobsieve.operators.filters import with_validity
 from jobsieve.operators.rules import KeywordRule, default_keyword_rules, rules_frame
 
 
-
 def _count() -> object:
     return F.count(F.lit(1))
 
@@ -34,76 +36,74 @@ def store_stats(store: DataFrame, as_of) -> DataFrame:
     )
 
 
-def run_stats(flagged: DataFrame) -> DataFrame:
-    """`run_stats`: the counters of one run, from rows with is_duplicate, is_eligible,
-    is_valid and is_new flags.
+def run_stats(rows: DataFrame, order: str = "ingest_pos") -> DataFrame:
+    """`run_stats`: the counters of one run, from its raw rows with cleaned names and is_new.
 
+    One scan and one shuffle: postings and pages are grouped by their keys together, each posting key keeps its
+    first arrival and the number of its rows, and only first arrivals meet the rules for size and names.
     Missing headcounts are counted once, after the size gate, for every source.
     """
-    kept = ~F.col("is_duplicate")
-    sized = kept & F.col("is_eligible")
+    keyed = with_dedupe_key(rows)
+    value = F.struct("company_name", "job_role", "employee_count_raw", "is_new")
+    entries = F.array(
+        F.struct(F.lit(True).alias("posting"), F.col("dedupe_key").alias("key"), F.col(order).alias("at"), value.alias("value")),
+        F.struct(F.lit(False).alias("posting"), F.col("page_url").alias("key"), F.lit(None).alias("at"), F.lit(None).alias("value")),
+    )
+    grouped = keyed.select(F.inline(entries)).groupBy("posting", "key").agg(_count().alias("n"), F.min_by("value", "at").alias("first"))
+    firsts = with_headcount(grouped.select("posting", "key", "n", "first.*"))
+    staged = with_validity(firsts.withColumn("is_eligible", size_eligible(F.col("number_of_people"))))
+    posting = F.col("posting")
+    sized = posting & F.col("is_eligible")
     processed = sized & F.col("is_valid")
     missing = F.trim("number_of_people").isin(*fixed.SIZE_MISSING_STAT)
+    flagged = staged.select(
+        "posting", "key", "n", "is_new", processed.alias("processed"), (sized & missing).alias("missing"),
+        F.when(processed, normalize_key(F.col("company_name"))).alias("company"),
+    )
     return flagged.agg(
-        F.count_distinct("page_url").alias("pages_processed"),
-        _count().alias("jobs_discovered"),
-        F.count_if(processed).alias("jobs_processed"),
-        F.count_distinct(F.when(processed, normalize_key(F.col("company_name")))).alias(
-            "companies_discovered"
-        ),
-        F.count_if("is_duplicate").alias("duplicates_removed"),
-        F.count_if(sized & missing).alias("missing_employee_counts"),
-        F.count_if(processed & F.col("is_new")).alias("new_jobs_added"),
-        F.count_if(processed & ~F.col("is_new")).alias("existing_jobs_seen"),
+        F.count_if(~posting & F.col("key").isNotNull()).alias("pages_processed"),
+        F.coalesce(F.sum(F.when(posting, F.col("n"))), F.lit(0)).alias("jobs_discovered"),
+        F.count_if("processed").alias("jobs_processed"),
+        F.count_distinct("company").alias("companies_discovered"),
+        F.coalesce(F.sum(F.when(posting, F.col("n") - 1)), F.lit(0)).alias("duplicates_removed"),
+        F.count_if("missing").alias("missing_employee_counts"),
+        F.count_if(F.col("processed") & F.col("is_new")).alias("new_jobs_added"),
+        F.count_if(F.col("processed") & ~F.col("is_new")).alias("existing_jobs_seen"),
     )
 
 
+def _first_flag(df: DataFrame, flag: str, order: str) -> Column:
+    """The 0/1 flag of the row with the smallest order; packed into one long where the order is an integer."""
+    if df.schema[order].dataType.typeName() in ("long", "integer", "short", "byte"):
+        return F.pmod(F.min(F.col(order) * 2 + F.col(flag)), F.lit(2))
+    return F.min_by(flag, order)
+
+
 def category_counts(
     df: DataFrame, rules: Iterable[KeywordRule] | None = None, order: str = "ingest_pos"
 ) -> DataFrame:
     """Total and under-100 postings per keyword and per category (null keyword).
 
-    Both levels come from one scan with grouping sets: per keyword every posting
-    counts, per category each (lower company, lower role) counts once and its
-    first match decides the size.
+    Per keyword every posting counts, per category each (lower company, lower role) counts once and
+    its first arrival decides the size.  Postings are added up by that pair first; the rules look at the role
+    only, so each pair is matched once, and what is left to add up is one row per pair and hit.
     """
     small = size_under_100(F.col("number_of_people")).cast("long")
-    narrow = (
-        keyword_match(eligible(df), rules)
-        .withColumn("_small", small)
-        .select(
-            "category_id",
-            "keyword_pos",
-            "keyword",
-            F.lower("company_name").alias("_company"),
-            F.lower("job_role").alias("_role"),
-            F.struct(F.col("keyword_pos").alias("_pos"), F.col(order).alias("_order")).alias(
-                "_rank"
-            ),
-            "_small",
-        )
+    narrow = eligible(df).select(
+        F.lower("company_name").alias("_company"), F.lower("job_role").alias("job_role"), small.alias("_small"), order
     )
-    by_keyword = [F.col("category_id"), F.col("keyword_pos"), F.col("keyword")]
-    by_posting = [F.col("category_id"), F.col("_company"), F.col("_role")]
-    once = narrow.groupingSets(
-        [by_keyword, by_posting],
-        "category_id",
-        "keyword_pos",
-        "keyword",
-        "_company",
-        "_role",
-    ).agg(
-        F.grouping("keyword").alias("_per_posting"),
-        _count().alias("_n"),
-        F.sum("_small").alias("_n_small"),
-        F.min_by("_small", "_rank").alias("_first_small"),
+    pairs = narrow.groupBy("_company", "job_role").agg(
+        _count().alias("_n"), F.sum("_small").alias("_n_small"), _first_flag(narrow, "_small", order).alias("_first")
     )
-    per_posting = F.col("_per_posting") == 1
-    return once.groupBy("category_id", "keyword_pos", "keyword").agg(
-        F.sum(F.when(per_posting, 1).otherwise(F.col("_n"))).alias("total_jobs"),
-        F.sum(F.when(per_posting, F.col("_first_small")).otherwise(F.col("_n_small"))).alias(
-            "under_100_jobs"
-        ),
+    hits = keyword_hits(pairs.select("job_role", "_n", "_n_small", "_first"), rules)
+    keyword = F.transform("_hits", lambda h: F.struct(h["category_id"], h["keyword_pos"], h["keyword"], F.col("_n").alias("n"), F.col("_n_small").alias("small")))
+    whole = F.transform(
+        F.array_distinct(F.transform("_hits", lambda h: h["category_id"])),
+        lambda c: F.struct(c.alias("category_id"), F.lit(None).cast("int").alias("keyword_pos"), F.lit(None).cast("string").alias("keyword"),
+                           F.lit(1).cast("long").alias("n"), F.col("_first").alias("small")),
+    )
+    return hits.select(F.inline(F.concat(keyword, whole))).groupBy("category_id", "keyword_pos", "keyword").agg(
+        F.sum("n").alias("total_jobs"), F.sum("small").alias("under_100_jobs")
     )
 
 

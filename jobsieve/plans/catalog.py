@@ -19,7 +19,7 @@ from jobsieve.operators import (
     topk,
 )
 from jobsieve.plans import views
-from jobsieve.plans.curation import curate, flag_run
+from jobsieve.plans.curation import curate
 from jobsieve.session import new_path
 from jobsieve.sources import extract, feeds, links
 from jobsieve.streaming import deltas, stream
@@ -214,7 +214,7 @@ def valid_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("run_stats")
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.run_stats(flag_run(views.raw_postings(spark, sf_dir)))
+    return metrics.run_stats(dedupe.with_clean_names(views.raw_postings(spark, sf_dir)))
 
 
 @query("curated_postings")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from jobsieve.functions.headcount import size_eligible
-from jobsieve.operators.dedupe import dedupe_postings, mark_duplicates, with_clean_names
+from jobsieve.operators.dedupe import dedupe_postings, with_clean_names
 from jobsieve.operators.enrich import company_size_once, with_headcount
-from jobsieve.operators.filters import valid_record, with_validity
+from jobsieve.operators.filters import valid_record
 from jobsieve.sources.extract import follow_detail
 
 
@@ -22,10 +22,3 @@ def curate(raw: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     if pages is not None:
         rows = company_size_once(follow_detail(rows, pages), pages)
     return valid_record(rows.filter(size_eligible(F.col("number_of_people"))))
-
-
-def flag_run(raw: DataFrame) -> DataFrame:
-    """Every raw row with is_duplicate, is_eligible and is_valid, for `run_stats`."""
-    rows = with_headcount(mark_duplicates(with_clean_names(raw)))
-    sized = rows.withColumn("is_eligible", size_eligible(F.col("number_of_people")))
-    return with_validity(sized)
