@@ -76,13 +76,13 @@ def _escaped(chars: str) -> str:
 
 
 # the characters of Unicode's White_Space property, and the control characters that cleaning drops
-_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _CONTROLS = "".join(chr(c) for c in (*range(9), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F))
-_OTHER_SPACES = "".join(c for c in _SPACES if c != " " and c not in _CONTROLS)
+_OTHER_SPACES = "".join(c for c in SPACES if c != " " and c not in _CONTROLS)
 
 
 def strip_sql(x: str) -> str:
-    return f"btrim({x}, {_escaped(_SPACES)})"
+    return f"btrim({x}, {_escaped(SPACES)})"
 
 
 def clean_text_sql(x: str) -> str:
@@ -138,7 +138,7 @@ def normalize_key(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space on both ends."""
-    return F.btrim(c, F.lit(_SPACES))
+    return F.btrim(c, F.lit(SPACES))
 
 
 def format_count(c: Column) -> Column:

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from functools import reduce
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from jobsieve import fixed
 from jobsieve.functions.headcount import parse_headcount
 from jobsieve.functions.labels import metadata_segments, split_compound
-from jobsieve.functions.let import bind, let, texts
+from jobsieve.functions.let import let
 from jobsieve.functions.predicates import (
     is_location,
     noise_sql,
@@ -23,30 +18,15 @@ from jobsieve.functions.predicates import (
 from jobsieve.functions.text import clean_company, clean_label_sql, clean_role, clean_text_sql
 from jobsieve.functions.urls import in_scope, normalize_url
 from jobsieve.operators.spread import first_by
-from jobsieve.operators.topk import union_tiers
-from jobsieve.sources.markup import (
-    attr,
-    attr_sql,
-    first,
-    first_sql,
-    has_any,
-    has_any_sql,
-    has_attr,
-    has_word,
-    has_word_sql,
-    inside,
-    inside_sql,
-    page_elements,
-    raw_text,
-    raw_text_sql,
-    resolve_url,
-    selects_sql,
-    stripped_text,
-    stripped_text_sql,
-)
+from jobsieve.sources import parts
+from jobsieve.sources.markup import resolve_url
+from jobsieve.sources.parts import page_parts
 
-_JSON_LD = r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
-_NEXT_DATA = r"(?is)<script\b[^>]*\bid\s*=\s*[\"']?__NEXT_DATA__[\"']?[^>]*>(.*?)</script>"
+_KINDS = {
+    parts.JSON_LD: "json_ld", parts.HYDRATION: "hydration", parts.CARDS: "dom_card", parts.TABLES: "table",
+    parts.DETAIL: "detail_page",
+}
+_RECORD = ("ingest_pos", "page_id", "company_name", "job_role", "employee_count_raw", "job_url", "company_url", "page_url", "source_type")
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -54,28 +34,7 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
 
 
-def _position(tier: int, *indexes: Column) -> Column:
-    """Arrival order: page, tier, element."""
-    parts = [F.col("page_id").alias("page_id"), F.lit(tier).alias("tier")]
-    parts += [c.cast("long").alias(f"at{i}") for i, c in enumerate(indexes)]
-    parts += [F.lit(0).cast("long").alias(f"at{i}") for i in range(len(indexes), 2)]
-    return F.struct(*parts).alias("ingest_pos")
-
-
-def _record(df: DataFrame, tier: int, kind: str, indexes, values: dict[str, Column]) -> DataFrame:
-    """The raw posting columns in their fixed order."""
-    names = ("company_name", "job_role", "employee_count_raw", "job_url", "company_url")
-    none = F.lit(None).cast("string")
-    return df.select(
-        _position(tier, *indexes),
-        "page_id",
-        *[values.get(n, none).alias(n) for n in names],
-        F.col("url").alias("page_url"),
-        F.lit(kind).alias("source_type"),
-    )
-
-
-# --- tier 1: JSON-LD -------------------------------------------------------
+# --- JSON-LD -----------------------------------------------------------------
 
 
 def _members(v: Column) -> Column:
@@ -103,59 +62,32 @@ def _is_container(v: Column) -> Column:
     )
 
 
-def _open_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The items of scripts whose lists and @graphs are nested more than three deep."""
-    names = ["page_id", "url", "script", "item_no", "body"]
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-    for batch in batches:
-        rows = []
-        for page_id, url, script, body in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            try:
-                stack, item_no = [json.loads(body.strip())], 0
-            except (ValueError, RecursionError):
-                continue
-            while stack:
-                top = stack.pop()
-                graph = top.get("@graph") if isinstance(top, dict) else top
-                if isinstance(graph, list):
-                    stack.extend(reversed(graph))
-                else:
-                    rows.append((page_id, url, script, item_no, json.dumps(top, ensure_ascii=False)))
-                    item_no += 1
-        columns = list(zip(*rows)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+def _opened(body: Column) -> Column:
+    """All items of a script: its lists and @graphs are opened until none is left.
 
+    A level of nesting costs a bracket, so there are at most as many steps as brackets; a step
+    that finds nothing to open only looks.
+    """
+    def open_once(items: Column) -> Column:
+        return F.when(F.exists(items, _is_container), F.flatten(F.transform(items, _members))).otherwise(items)
 
-def extract_jsonld(pages: DataFrame) -> DataFrame:
-    """`extract_jsonld`: JobPosting items of the page's JSON-LD scripts.
+    level = F.array(F.try_parse_json(F.trim(body)))
+    brackets = F.length(body) - F.length(F.translate(body, "[", ""))
+    deeper = F.aggregate(F.sequence(F.lit(1), F.greatest(brackets, F.lit(1))), level, lambda items, _: open_once(items))
+    return F.filter(deeper, lambda v: v.isNotNull())
 
-    Lists and @graph are opened to any depth; bad JSON is skipped.
-    """
-    with_data = pages.filter(F.contains("html", F.lit("ld+json")))
-    scripts = with_data.select(
-        "page_id",
-        "url",
-        F.posexplode(F.regexp_extract_all("html", F.lit(_JSON_LD), 1)).alias("script", "body"),
-    )
-    level1 = _members(F.try_parse_json(F.trim("body")))
-    opened = F.flatten(F.transform(level1, lambda v: F.flatten(F.transform(_members(v), _members))))
-    parsed = scripts.withColumn("opened", opened)
-    nested = F.exists("opened", _is_container)
-    items = parsed.filter(~F.coalesce(nested, F.lit(False))).select(
-        "page_id", "url", "script", F.posexplode("opened").alias("item_no", "item")
-    )
-    deeper = parsed.filter(nested).select("page_id", "url", "script", "body").mapInArrow(
-        _open_all, "page_id bigint, url string, script int, item_no int, body string"
-    )
-    items = items.union(
-        deeper.select("page_id", "url", "script", "item_no", F.try_parse_json("body").alias("item"))
-    )
+
+def _with_items(rows: DataFrame) -> DataFrame:
+    """One row per item of a script; rows of other tiers stay as they are."""
+    script = F.col("tier") == parts.JSON_LD
+    items = F.when(script, _opened(F.col("body"))).otherwise(F.array(F.lit(None).cast("variant")))
+    opened = rows.select("*", F.posexplode(items).alias("item_no", "item")).drop("body")
     item = F.col("item")
     kinds = F.coalesce(
         F.array_join(F.try_variant_get(item, "$['@type']", "array<string>"), " "),
         _string(item, "$['@type']"),
     )
-    jobs = items.filter(F.contains(F.lower(kinds), F.lit("jobposting"))).withColumns(
+    jobs = opened.filter(~script | F.contains(F.lower(kinds), F.lit("jobposting"))).withColumns(
         {
             "org": F.try_variant_get(item, "$.hiringOrganization", "variant"),
             "people": F.try_variant_get(item, "$.hiringOrganization.numberOfEmployees", "variant"),
@@ -170,371 +102,161 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
         _kind(people).startswith("OBJECT"),
         F.coalesce(F.try_variant_get(people, "$.value", "string"), F.lit("")),
     ).otherwise(F.try_variant_get(people, "$", "string"))
-    found = _record(
-        jobs,
-        1,
-        "json_ld",
-        [F.col("script"), F.col("item_no")],
-        {
-            "company_name": company,
-            "job_role": F.coalesce(_string(item, "$.title"), _string(item, "$.name")),
-            "employee_count_raw": size,
-            "job_url": F.coalesce(_string(item, "$.url"), F.nullif("url", F.lit(""))),
-            "company_url": F.coalesce(_string(org, "$.sameAs"), _string(org, "$.url")),
-        },
+    read = {
+        "company": company,
+        "role": F.coalesce(_string(item, "$.title"), _string(item, "$.name")),
+        "size": size,
+        "job_url": F.coalesce(_string(item, "$.url"), F.nullif("url", F.lit(""))),
+        "company_url": F.coalesce(_string(org, "$.sameAs"), _string(org, "$.url")),
+        "at1": F.col("item_no").cast("long"),
+    }
+    none = F.lit(None).cast("string")
+    named = jobs.withColumns({"job_url": none, "company_url": none})
+    return named.withColumns({name: F.when(script, value).otherwise(F.col(name)) for name, value in read.items()}).drop(
+        "item", "item_no", "org", "people"
     )
-    return found.filter(F.col("job_role").isNotNull() & F.col("company_name").isNotNull())
-
-
-# --- tier 2: hydration state ----------------------------------------------
-
-
-def _dicts(node) -> Iterator[dict]:
-    """Every dict of a JSON tree in document order, without recursion."""
-    stack = [node]
-    while stack:
-        top = stack.pop()
-        if isinstance(top, dict):
-            yield top
-            stack.extend(reversed(list(top.values())))
-        elif isinstance(top, list):
-            stack.extend(reversed(top))
-
-
-def _hydration_hit(node: dict) -> tuple | None:
-    by_key = {k.lower(): v for k, v in reversed(list(node.items()))}
-
-    def pick(keys):
-        return next((k for k in keys if k in by_key), None)
-
-    role = by_key.get(pick(fixed.HYDRATION_ROLE_KEYS))
-    company = by_key.get(pick(fixed.HYDRATION_COMPANY_KEYS))
-    if isinstance(company, dict):
-        company = company.get("name") or company.get("title")
-    if not (isinstance(role, str) and isinstance(company, str) and role and company):
-        return None
-    size_key = pick(fixed.HYDRATION_SIZE_KEYS)
-    size = None if size_key is None else str(by_key[size_key] or "")
-    return company, role, size
-
-
-def _hydrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "url", "item_no", "company", "role", "size"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-    for batch in batches:
-        hits = []
-        for page_id, url, body in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            try:
-                tree = json.loads(body.strip())
-            except (ValueError, RecursionError):  # no JSON, or nested beyond what a parser reads
-                continue
-            for item_no, node in enumerate(_dicts(tree)):
-                hit = _hydration_hit(node)
-                if hit:
-                    hits.append((page_id, url, item_no, *hit))
-        columns = list(zip(*hits)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], names=names
-        )
 
 
-def extract_hydration(pages: DataFrame) -> DataFrame:
-    """`extract_hydration`: dicts of the embedded state that name a role and a company.
-
-    The tree has no fixed depth, so a small Arrow helper walks it.
-    """
-    states = pages.filter(F.contains("html", F.lit("__NEXT_DATA__"))).select(
-        "page_id", "url", F.regexp_extract("html", _NEXT_DATA, 1).alias("body")
-    )
-    hits = states.filter(F.col("body") != "").mapInArrow(
-        _hydrate,
-        "page_id bigint, url string, item_no bigint, company string, role string, size string",
-    )
-    return _record(
-        hits,
-        2,
-        "hydration",
-        [F.col("item_no")],
-        {
-            "company_name": F.col("company"),
-            "job_role": F.col("role"),
-            "employee_count_raw": F.col("size"),
-        },
-    )
-
+# --- cards -------------------------------------------------------------------
 
-# --- tier 3: repeated cards -------------------------------------------------
 
+def _with_cards(rows: DataFrame) -> DataFrame:
+    """Company, role, size and links of cards, from the texts of their elements; other tiers stay."""
+    card = F.col("tier") == parts.CARDS
+    read = rows.withColumn("split", F.when(card, split_compound(F.col("compound"))))
+    read = read.withColumn("own_role", F.when(card, F.coalesce("split.role", clean_role(F.col("role")))))
+    role = F.col("own_role")
 
-def _card_elements_sql(els: str) -> str:
-    """Elements of the first selector that hits at least twice."""
-    hits = ", ".join(
-        bind(
-            f"filter(tags, e -> {selects_sql('e', tag, tests)})",
-            "f",
-            "CASE WHEN size(f) >= 2 THEN f END",
+    # company candidates in order of trust; one expression checks them all
+    def candidate(text: Column, differs: bool, quiet: bool) -> Column:
+        return F.struct(
+            F.coalesce(text, F.lit("")).alias("text"), F.lit(differs).alias("differs"), F.lit(quiet).alias("quiet"), role.alias("role")
         )
-        for tag, tests in fixed.CARD_SELECTORS
-    )
-    return bind(f"filter({els}, e -> NOT startswith(e.tag, '#'))", "tags", f"coalesce({hits})")
 
+    named = F.array(
+        candidate(F.col("company"), False, False), candidate(F.col("company_link"), False, False), candidate(F.col("meta_inner"), True, False)
+    )
+    segments = F.transform(metadata_segments(F.coalesce("meta", F.lit(""))), lambda s: candidate(s, True, True))
+    spans = F.transform("others", lambda s: candidate(s, True, False))
+    # the rules use one-letter names of their own; k is not among them
+    labelled = (
+        f"k -> named_struct('text', {clean_label_sql('k.text')}, 'differs', k.differs, "
+        "'quiet', k.quiet, 'role', k.role)"
+    )
+    usable = (
+        f"k -> {valid_company_sql('k.text')} AND NOT (k.differs AND k.text <=> k.role) "
+        f"AND NOT (k.quiet AND {noise_sql(clean_text_sql('k.text'))})"
+    )
+    cleaned = F.call_function("transform", F.concat(named, segments, spans), F.expr(labelled))
+    best = F.get(F.call_function("filter", cleaned, F.expr(usable)), F.lit(0))["text"]
+    found = read.withColumn("own_company", F.when(card, F.coalesce("split.company", best)))
+    kept = found.filter(~card | (F.coalesce(role, F.lit("")) != "") | F.col("own_company").isNotNull())
+    badge = F.when((F.col("size") != "") & ~is_location(F.col("size")), F.col("size"))
 
-def _is_link(e: Column, paths=()) -> Column:
-    link = (e["tag"] == "a") & has_attr(e, "href")
-    return link & has_any(attr(e, "href"), paths) if paths else link
+    def href(name: str) -> Column:
+        return F.when(F.col(name) != "", resolve_url(F.col("url"), F.col(name)))
 
+    values = {
+        "company": F.coalesce("own_company", F.lit("")), "role": F.coalesce(role, F.lit("")), "size": F.coalesce(badge, "mention"),
+        "job_url": href("link"), "company_url": href("company_href"),
+    }
+    return kept.withColumns({name: F.when(card, value).otherwise(F.col(name)) for name, value in values.items()})
 
-def _valid(candidate: Column, role: Column | None = None) -> Column:
-    """The cleaned candidate when it is a valid company other than the role."""
-    def keep(c: Column) -> Column:
-        ok = valid_company(c)
-        return F.when(ok if role is None else ok & ~c.eqNullSafe(role), c)
 
-    return let(clean_company(candidate), keep)
+# --- records of all tiers ------------------------------------------------------
 
 
-def _candidate_sql(text: str, differs: bool, quiet: bool) -> str:
-    """A company candidate: must it differ from the role, must it be no noise."""
-    return (
-        f"named_struct('text', coalesce({text}, ''), 'differs', {str(differs).lower()}, "
-        f"'quiet', {str(quiet).lower()})"
-    )
+def _valid(candidate: Column) -> Column:
+    """The cleaned candidate when it is a valid company."""
+    return let(clean_company(candidate), lambda c: F.when(valid_company(c), c))
 
 
-def _link_sql(paths=()) -> str:
-    """Test of an element e: a link, optionally to one of the paths."""
-    target = f" AND {has_any_sql(attr_sql('e', 'href'), paths)}" if paths else ""
-    return f"(e.tag = 'a' AND map_contains_key(e.attrs, 'href'){target})"
+def _with_detail(rows: DataFrame) -> DataFrame:
+    """Company and role of detail pages, which both have to be valid; other tiers stay."""
+    detail = F.col("tier") == parts.DETAIL
+    values = {
+        "company": _valid(F.col("company")),
+        "role": let(clean_role(F.col("role")), lambda r: F.when(valid_role(r), r)),
+        "job_url": F.col("url"),
+    }
+    return rows.withColumns({name: F.when(detail, value).otherwise(F.col(name)) for name, value in values.items()})
 
 
-def _class_sql(classes, *more: str) -> str:
-    """Test of an element e: its class contains one of the words, or another test holds."""
-    tests = " OR ".join([has_any_sql(attr_sql("e", "class"), classes), *more])
-    return f"(NOT startswith(e.tag, '#') AND ({tests}))"
+def _records(rows: DataFrame, *tiers: int) -> DataFrame:
+    """Raw postings from the page parts of some tiers; at most one pass over each part."""
+    none = F.lit(None).cast("string")
+    if parts.JSON_LD in tiers:
+        rows = _with_items(rows)
+    else:
+        rows = rows.withColumns({"job_url": none, "company_url": none})
+    if parts.CARDS in tiers:
+        rows = _with_cards(rows)
+    if parts.DETAIL in tiers:
+        rows = _with_detail(rows)
+    tier = F.col("tier")
+    whole = tier.isin(parts.CARDS, parts.HYDRATION) | ((F.col("role") != "") & (F.col("company") != ""))
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair]), tier)
+    position = F.struct("page_id", "tier", "at0", "at1")
+    return rows.filter(whole).select(
+        position.alias("ingest_pos"), "page_id", F.col("company").alias("company_name"), F.col("role").alias("job_role"),
+        F.col("size").alias("employee_count_raw"), "job_url", "company_url", F.col("url").alias("page_url"), kind.alias("source_type"),
+    )
 
 
-def extract_cards(pages: DataFrame) -> DataFrame:
-    """`extract_cards`: fields of the repeated job cards of a page."""
-    return cards_of(page_elements(pages))
+def _one_tier(pages: DataFrame, tier: int) -> DataFrame:
+    return _records(page_parts(pages, tier), tier)
 
 
-def cards_of(elements: DataFrame) -> DataFrame:
-    """`extract_cards` on pages that are already tokenised."""
-    cards = elements.select(
-        "page_id", "url", "els", F.posexplode(F.expr(_card_elements_sql("els"))).alias("card_no", "card")
-    ).select(
-        "page_id", "url", "card_no", "card", F.expr(inside_sql("els", "card")).alias("nodes")
-    )
-    start = "(card.at + 1)"
-    data_id = attr_sql("e", "data-testid")
-
-    def nodes_of(e: str) -> str:
-        return inside_sql("nodes", e, start)
-
-    def text_of(e: str) -> str:
-        return f"CASE WHEN {e} IS NOT NULL THEN {stripped_text_sql(nodes_of(e))} END"
-
-    def find(test: str) -> str:
-        return first_sql("nodes", test)
-
-    role_tags = f"e.tag IN ({texts(fixed.ROLE_TITLE_TAGS)})"
-    role_href = has_any_sql(f"lower({attr_sql('e', 'href')})", fixed.ROLE_LINK_PATHS)
-    hiring = f"{attr_sql('e', 'itemprop')} = 'hiringOrganization'"
-    job_name = has_word_sql(attr_sql("e", "class"), fixed.COMPOUND_CLASS_WORDS[0])
-    places = {
-        "role_el": f"coalesce({find(role_tags)}, "
-        f"{find(_class_sql(fixed.ROLE_CLASSES, has_any_sql(data_id, ('title',))))}, "
-        f"{find(f'{_link_sql()} AND {role_href}')})",
-        "compound_el": find(_class_sql(fixed.COMPOUND_CLASSES, job_name)),
-        "company_el": find(
-            _class_sql(fixed.COMPANY_CLASSES, has_any_sql(data_id, ("company",)), hiring)
-        ),
-        "company_name_link": find(_link_sql(fixed.COMPANY_NAME_LINK_PATHS)),
-        "company_link": find(_link_sql(fixed.COMPANY_LINK_PATHS)),
-        "meta_el": find(_class_sql(fixed.META_CLASSES)),
-        "size_el": find(_class_sql(fixed.HEADCOUNT_CLASSES)),
-        "job_el": find(_link_sql(fixed.JOB_LINK_PATHS)),
-        "any_link": find(_link_sql()),
-    }
-    found = cards.withColumns({name: F.expr(sql) for name, sql in places.items()})
-    header = F.expr(
-        f"CASE WHEN compound_el IS NOT NULL THEN {raw_text_sql(nodes_of('compound_el'))} END"
-    )
-    meta_inner = first_sql(nodes_of("meta_el"), f"e.tag IN ({texts(fixed.META_INNER_TAGS)})")
-    mentions = (
-        "e.tag IN ('span', 'div', 'p') AND "
-        f"contains(lower({raw_text_sql(nodes_of('e'))}), 'employee') AND "
-        f"length({stripped_text_sql(nodes_of('e'))}) < {fixed.HEADCOUNT_TEXT_LIMIT}"
-    )
-    read = found.withColumns(
-        {
-            "compound": split_compound(header),
-            "role": clean_role(F.expr(text_of("role_el"))),
-            "meta_inner": F.expr(meta_inner),
-            "meta_text": F.expr(text_of("meta_el")),
-            "badge": F.expr(text_of("size_el")),
-            "mention": F.expr(bind(find(mentions), "m", text_of("m"))),
-            "link": F.expr(
-                f"coalesce(job_el, CASE WHEN role_el.tag <> 'a' THEN "
-                f"{first_sql(nodes_of('role_el'), _link_sql())} END, any_link)"
-            ),
-        }
-    ).withColumn("role", F.coalesce("compound.role", "role"))
-    role = F.col("role")
+def extract_jsonld(pages: DataFrame) -> DataFrame:
+    """`extract_jsonld`: JobPosting items of the page's JSON-LD scripts.
 
-    # company candidates in order of trust; one expression checks them all
-    classes = f"lower({attr_sql('e', 'class')})"
-    secondary = (
-        f"e.tag IN ('span', 'div') AND NOT {has_any_sql(classes, fixed.SECONDARY_SKIP_CLASSES)} "
-        f"AND {has_any_sql(classes, fixed.SECONDARY_CLASSES)}"
-    )
-    named = F.expr(
-        f"array({_candidate_sql(text_of('company_el'), False, False)}, "
-        f"{_candidate_sql(text_of('company_name_link'), False, False)}, "
-        f"{_candidate_sql(text_of('meta_inner'), True, False)})"
-    )
-    segments = F.call_function(
-        "transform",
-        metadata_segments(F.coalesce("meta_text", F.lit(""))),
-        F.expr(f"s -> {_candidate_sql('s', True, True)}"),
-    )
-    spans = F.expr(
-        f"transform(filter(nodes, e -> {secondary}), e -> {_candidate_sql(text_of('e'), True, False)})"
-    )
-    # the rules use one-letter names of their own; k is not among them
-    labelled = (
-        f"k -> named_struct('text', {clean_label_sql('k.text')}, 'differs', k.differs, "
-        "'quiet', k.quiet, 'role', k.role)"
-    )
-    usable = (
-        f"k -> {valid_company_sql('k.text')} AND NOT (k.differs AND k.text <=> k.role) "
-        f"AND NOT (k.quiet AND {noise_sql(clean_text_sql('k.text'))})"
-    )
-    with_role = F.transform(
-        F.concat(named, segments, spans),
-        lambda c: F.struct(
-            c["text"].alias("text"), c["differs"].alias("differs"), c["quiet"].alias("quiet"),
-            role.alias("role"),
-        ),
+    Lists and @graph are opened as deep as the JSON reader goes, 1,000 levels; other JSON is skipped.
+    """
+    scripts = F.regexp_extract_all("html", F.lit(parts.JSON_LD_SCRIPT), 1)
+    found = pages.filter(F.contains("html", F.lit("ld+json"))).select("page_id", "url", F.posexplode(scripts).alias("at0", "body"))
+    none = F.lit(None).cast("string")
+    rows = found.select(
+        "page_id", "url", F.lit(parts.JSON_LD).alias("tier"), F.col("at0").cast("long").alias("at0"), F.lit(0).cast("long").alias("at1"), "body",
+        none.alias("company"), none.alias("role"), none.alias("size"),
     )
-    cleaned = F.call_function("transform", with_role, F.expr(labelled))
-    best = F.get(F.call_function("filter", cleaned, F.expr(usable)), F.lit(0))["text"]
-    company = F.coalesce("compound.company", best)
-    size = F.when((F.col("badge") != "") & ~is_location(F.col("badge")), F.col("badge"))
-
-    none = F.lit("")
-    resolved = read.withColumns(
-        {"company": company, "size": F.coalesce(size, "mention")}
-    ).filter((F.coalesce(role, none) != "") | F.col("company").isNotNull())
+    return _records(rows, parts.JSON_LD)
 
-    def href(name: str) -> Column:
-        return F.when(
-            attr(F.col(name), "href") != "", resolve_url(F.col("url"), attr(F.col(name), "href"))
-        )
 
-    return _record(
-        resolved,
-        3,
-        "dom_card",
-        [F.col("card_no")],
-        {
-            "company_name": F.coalesce("company", none),
-            "job_role": F.coalesce(role, none),
-            "employee_count_raw": F.col("size"),
-            "job_url": href("link"),
-            "company_url": href("company_link"),
-        },
-    )
+def extract_hydration(pages: DataFrame) -> DataFrame:
+    """`extract_hydration`: dicts of the embedded state that name a role and a company, at any depth."""
+    return _one_tier(pages.filter(F.contains("html", F.lit("__NEXT_DATA__"))), parts.HYDRATION)
 
 
-# --- tier 4: tables ----------------------------------------------------------
+def extract_cards(pages: DataFrame) -> DataFrame:
+    """`extract_cards`: fields of the repeated job cards of a page."""
+    return _one_tier(pages, parts.CARDS)
 
 
 def extract_tables(pages: DataFrame) -> DataFrame:
     """`extract_tables`: rows of tables whose header names a role and a company column."""
-    return tables_of(page_elements(pages.filter(F.contains(F.lower("html"), F.lit("<th")))))
-
-
-def tables_of(elements: DataFrame) -> DataFrame:
-    """`extract_tables` on pages that are already tokenised."""
-    tables = elements.select(
-        "page_id",
-        "url",
-        "els",
-        F.posexplode(F.filter("els", lambda e: e["tag"] == "table")).alias("table_no", "table"),
-    ).select(
-        "page_id", "url", "table_no", "table", inside(F.col("els"), F.col("table")).alias("nodes")
-    )
-    nodes, start = F.col("nodes"), F.col("table.at") + 1
-
-    def cell_text(e: Column) -> Column:
-        return raw_text(inside(nodes, e, start))
-
-    headers = F.transform(
-        F.filter(nodes, lambda e: e["tag"] == "th"),
-        lambda e: F.lower(F.regexp_replace(cell_text(e), r"(?U)^\s+|\s+$", "")),
-    )
+    return _one_tier(pages.filter(F.contains(F.lower("html"), F.lit("<th"))), parts.TABLES)
 
-    def column_of(words) -> Column:
-        tested = F.transform("headers", lambda h: has_any(h, words))
-        return F.nullif(F.array_position(tested, True), F.lit(0)).cast("int") - 1
-
-    columned = tables.withColumn("headers", headers).withColumns(
-        {
-            "role_at": column_of(fixed.TABLE_ROLE_WORDS),
-            "company_at": column_of(fixed.TABLE_COMPANY_WORDS),
-            "size_at": column_of(fixed.TABLE_SIZE_WORDS),
-        }
-    )
-    usable = columned.filter("role_at is not null and company_at is not null")
-    rows = usable.withColumn("rows", F.filter(nodes, lambda e: e["tag"] == "tr"))
-    body = rows.select(
-        "*", F.posexplode(F.slice("rows", F.lit(2), F.greatest(F.lit(0), F.size("rows") - 1))).alias("row_no", "row")
-    )
-    cells = F.transform(
-        F.filter(inside(nodes, F.col("row"), start), lambda e: e["tag"].isin("td", "th")),
-        lambda e: F.regexp_replace(cell_text(e), r"(?U)^\s+|\s+$", ""),
-    )
-    picked = body.withColumn("cells", cells).select(
-        "page_id",
-        "url",
-        "table_no",
-        "row_no",
-        F.get("cells", "role_at").alias("role"),
-        F.get("cells", "company_at").alias("company"),
-        F.get("cells", "size_at").alias("size"),
-    )
-    filled = picked.filter((F.col("role") != "") & (F.col("company") != ""))
-    return _record(
-        filled,
-        4,
-        "table",
-        [F.col("table_no"), F.col("row_no")],
-        {
-            "company_name": F.col("company"),
-            "job_role": F.col("role"),
-            "employee_count_raw": F.col("size"),
-        },
-    )
 
+def _tiered(rows: DataFrame) -> DataFrame:
+    """Records of JSON-LD, hydration and cards; those of tables only on pages without any other.
 
-def _tiers(pages: DataFrame) -> DataFrame:
-    return union_tiers(extract_jsonld(pages), extract_hydration(pages), extract_cards(pages))
+    What is shuffled by page is the records, not the pages.
+    """
+    found = _records(rows, parts.JSON_LD, parts.CARDS)
+    others = F.count_if(F.col("source_type") != "table").over(Window.partitionBy("page_id"))
+    counted = found.withColumn("_others", others)
+    return counted.filter((F.col("source_type") != "table") | (F.col("_others") == 0)).drop("_others")
 
 
 def extract_tiered(pages: DataFrame) -> DataFrame:
     """`extract_tiered`: JSON-LD, hydration and cards; tables only for pages without any.
 
-    Only pages that hold a table header are checked for other tiers.
+    Each page is parsed once, in one Arrow function.
     """
-    found = _tiers(pages)
-    with_table = pages.filter(F.contains(F.lower("html"), F.lit("<th")))
-    covered = _tiers(with_table).select("page_id").distinct()
-    tables = extract_tables(with_table.join(covered, "page_id", "left_anti"))
-    return found.unionByName(tables.select(*found.columns))
+    return _tiered(page_parts(pages, parts.JSON_LD, parts.HYDRATION, parts.CARDS, parts.TABLES))
 
 
-# --- tier 5: detail pages ----------------------------------------------------
+# --- detail pages ----------------------------------------------------------------
 
 
 def extract_detail(pages: DataFrame) -> DataFrame:
@@ -543,59 +265,9 @@ def extract_detail(pages: DataFrame) -> DataFrame:
     The first JSON-LD item with valid names wins; else the h1 and a company
     element, which both have to be valid.
     """
-    structured = extract_jsonld(pages).filter(
-        valid_company(F.col("company_name")) & valid_role(F.col("job_role"))
-    )
-    from_data = first_by(structured, ["page_id"])
-
-    els = F.col("els")
-
-    def by_class(classes, *more) -> Column:
-        def test(e: Column) -> Column:
-            tests = [has_any(attr(e, "class"), classes), *[m(e) for m in more]]
-            return ~e["tag"].startswith("#") & reduce(lambda a, b: a | b, tests)
-
-        return first(els, test)
-
-    def in_topline(e: Column) -> Column:
-        bars = F.filter(els, lambda t: has_word(attr(t, "class"), "topline"))
-        return e["tag"].isin("strong", "b") & F.exists(
-            bars, lambda t: (t["at"] < e["at"]) & (e["at"] <= t["last"])
-        )
-
-    found = page_elements(pages).withColumns(
-        {
-            "h1": first(els, lambda e: e["tag"] == "h1"),
-            "company_el": F.coalesce(
-                by_class(("company-name",), in_topline),
-                by_class(
-                    ("company", "employer"), lambda e: attr(e, "itemprop") == "hiringOrganization"
-                ),
-                first(els, lambda e: _is_link(e, ("/company/", "/employer/"))),
-            ),
-            "size_el": by_class(fixed.HEADCOUNT_CLASSES),
-        }
-    )
-
-    def text_of(name: str) -> Column:
-        e = F.col(name)
-        return F.when(e.isNotNull(), stripped_text(inside(els, e)))
-
-    role = let(clean_role(text_of("h1")), lambda r: F.when(valid_role(r), r))
-    from_dom = _record(
-        found,
-        5,
-        "detail_page",
-        [],
-        {
-            "company_name": _valid(text_of("company_el")),
-            "job_role": role,
-            "employee_count_raw": text_of("size_el"),
-            "job_url": F.col("url"),
-        },
-    ).filter("company_name is not null and job_role is not null")
-    rest = from_dom.join(from_data.select("page_id"), "page_id", "left_anti")
-    return from_data.unionByName(rest.select(*from_data.columns))
+    found = _records(page_parts(pages, parts.JSON_LD, parts.DETAIL), parts.JSON_LD, parts.DETAIL)
+    valid = (F.col("source_type") == "detail_page") | (valid_company(F.col("company_name")) & valid_role(F.col("job_role")))
+    return first_by(found.filter(valid), ["page_id"])
 
 
 def follow_detail(raw: DataFrame, pages: DataFrame, base: Column | None = None) -> DataFrame:

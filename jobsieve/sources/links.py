@@ -11,49 +11,10 @@ from jobsieve.functions.urls import host_of, in_scope, query_pairs
 from jobsieve.operators.spread import first_by
 from jobsieve.session import ready_for_checkpoint
 from jobsieve.sources.extract import extract_tiered
-from jobsieve.sources.markup import (
-    attr,
-    first,
-    has_attr,
-    has_word,
-    inside,
-    page_elements,
-    raw_text,
-    resolve_url,
-)
-
-_NEXT_WORD = r"(?iU)\bnext\b"
-_NEXT_TEXT = "(?iU)" + fixed.NEXT_TEXT_PATTERN
-_ROUNDS_PER_CHECKPOINT = 5
-
-
-def _says_next(els: Column, e: Column) -> Column:
-    return strip(raw_text(inside(els, e))).rlike(_NEXT_TEXT)
-
+from jobsieve.sources.markup import resolve_url
+from jobsieve.sources.parts import LINKS, page_parts
 
-def _script_button(els: Column, e: Column) -> Column:
-    """An active element that turns the page by script."""
-    classes = F.lower(attr(e, "class"))
-    off = (
-        has_word(classes, "hidden")
-        | has_word(classes, "disabled")
-        | has_attr(e, "disabled")
-        | (attr(e, "aria-disabled") == "true")
-    )
-    acts = (
-        has_attr(e, "ng-click")
-        | has_attr(e, "onclick")
-        | has_attr(e, "data-page")
-        | has_attr(e, "data-action")
-    )
-    parent = F.get(els, e["parent"])
-    in_block = F.contains(attr(parent, "class"), F.lit("pagination"))
-    return (
-        e["tag"].isin("li", "span", "button", "a", "div")
-        & ~off
-        & (acts | F.coalesce(in_block, F.lit(False)))
-        & _says_next(els, e)
-    )
+_ROUNDS_PER_CHECKPOINT = 5
 
 
 def _following_page(url: Column) -> Column:
@@ -108,32 +69,17 @@ def next_candidates(pages: DataFrame) -> DataFrame:
     Order: rel=next, aria-label, link text, script button.  Link texts inside
     pagination blocks are link texts already, so they need no rule of their own.
     """
-    els, url = F.col("els"), F.col("url")
-    rel = first(
-        els, lambda e: e["tag"].isin("link", "a") & attr(e, "rel").rlike(_NEXT_WORD)
-    )
-    label = first(
-        els,
-        lambda e: (e["tag"] == "a")
-        & has_attr(e, "href")
-        & attr(e, "aria-label").rlike(_NEXT_WORD),
-    )
-    texts = F.filter(
-        els, lambda e: (e["tag"] == "a") & has_attr(e, "href") & _says_next(els, e)
-    )
-    button = first(els, lambda e: _script_button(els, e))
-    links = F.filter(
-        F.concat(F.array(rel, label), texts),
-        lambda e: e.isNotNull() & (attr(e, "href") != ""),
-    )
-    found = page_elements(pages).select(
+    return _candidates(page_parts(pages, LINKS))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    url = F.col("url")
+    found = rows.select(
         "page_id",
         "url",
         F.concat(
-            F.transform(links, lambda e: resolve_url(url, attr(e, "href"))),
-            F.when(button.isNotNull(), F.array(_following_page(url))).otherwise(
-                F.array().cast("array<string>")
-            ),
+            F.transform("others", lambda h: resolve_url(url, h)),
+            F.when(F.col("button"), F.array(_following_page(url))).otherwise(F.array().cast("array<string>")),
         ).alias("candidates"),
     )
     valid = F.filter("candidates", lambda c: _valid_next(c, F.col("url")))
@@ -217,10 +163,8 @@ def _advance(
         F.when(here, F.array_append("visits", visit)).otherwise(F.col("visits")).alias("visits"),
     )
     seen = F.transform("visits", lambda v: v["url"])
-    target = first(
-        F.coalesce("candidates", F.array().cast("array<string>")),
-        lambda c: ~F.array_contains(seen, c),
-    )
+    unseen = F.filter(F.coalesce("candidates", F.array().cast("array<string>")), lambda c: ~F.array_contains(seen, c))
+    target = F.get(unseen, F.lit(0))
     goes_on = F.col("empty") < max_empty
     if max_records is not None:
         goes_on = goes_on & (F.col("records") < max_records)

@@ -1,23 +1,14 @@
-"""HTML pages as element arrays.
-
-One small Python helper tokenises a page; every selection rule is a Spark
-expression over the element array.
-"""
+"""HTML pages as rows of elements, and links resolved against their page."""
 
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator
-from functools import reduce
 from html.parser import HTMLParser
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
-from jobsieve import schema
 from jobsieve.functions.let import let
-from jobsieve.functions.let import text as literal
-from jobsieve.functions.text import strip, strip_sql
+from jobsieve.functions.text import strip
 
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -32,10 +23,9 @@ _CLOSES = {
     "option": ("option",),
 }
 _SCOPES = frozenset(("table", "ul", "ol", "select", "body", "article", "div", "section"))
-_PAGES_PER_BATCH = 64
 
 
-class _Tokens(HTMLParser):
+class Tokens(HTMLParser):
     """Collects [tag, parent, last, attrs, text] rows in document order."""
 
     def __init__(self) -> None:
@@ -76,133 +66,13 @@ class _Tokens(HTMLParser):
         inside = self.rows[self.open[-1]][0] if self.open else ""
         self._add("#raw" if inside in ("script", "style", "template") else "#text", None, data)
 
-    def tokens(self, html: str) -> list[dict]:
+    def read(self, html: str) -> list[list]:
         """The element rows; of markup that the parser gives up on, those read so far."""
         with contextlib.suppress(AssertionError):
             self.feed(html)
             self.close()
         self._close(0)
-        return [
-            {"at": at, "last": last, "parent": parent, "tag": tag, "attrs": attrs, "text": text}
-            for at, (tag, parent, last, attrs, text) in enumerate(self.rows)
-        ]
-
-
-_ELEMENTS_TYPE = pa.list_(
-    pa.struct(
-        [
-            ("at", pa.int32()),
-            ("last", pa.int32()),
-            ("parent", pa.int32()),
-            ("tag", pa.string()),
-            ("attrs", pa.map_(pa.string(), pa.string())),
-            ("text", pa.string()),
-        ]
-    )
-)
-
-
-def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, _PAGES_PER_BATCH):
-            part = batch.slice(start, _PAGES_PER_BATCH)
-            trees = [_Tokens().tokens(h or "") for h in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), pa.array(trees, _ELEMENTS_TYPE)],
-                names=["page_id", "url", "els"],
-            )
-
-
-def page_elements(pages: DataFrame) -> DataFrame:
-    """(page_id, url, els): the element array of each page, text nodes included."""
-    narrow = pages.select("page_id", "url", "html")
-    return narrow.mapInArrow(
-        _tokenise, f"page_id bigint, url string, els {schema.ELEMENTS}"
-    )
-
-
-def attr(e: Column, name: str) -> Column:
-    return F.coalesce(F.try_element_at(e["attrs"], F.lit(name)), F.lit(""))
-
-
-def has_attr(e: Column, name: str) -> Column:
-    return F.coalesce(F.map_contains_key(e["attrs"], name), F.lit(False))
-
-
-def has_any(value: Column, parts) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(value, F.lit(p)) for p in parts])
-
-
-def has_word(value: Column, word: str) -> Column:
-    return F.array_contains(F.split(value, r"\s+"), word)
-
-
-# The same tests as SQL text, for plans that search a page many times.
-
-
-def attr_sql(e: str, name: str) -> str:
-    return f"coalesce(try_element_at({e}.attrs, {literal(name)}), '')"
-
-
-def has_any_sql(value: str, parts) -> str:
-    return "(" + " OR ".join(f"contains({value}, {literal(p)})" for p in parts) + ")"
-
-
-def has_word_sql(value: str, word: str) -> str:
-    return f"array_contains(split({value}, {literal(chr(92) + 's+')}), {literal(word)})"
-
-
-def first_sql(nodes: str, test: str) -> str:
-    """The first node e that passes the test."""
-    return f"get(filter({nodes}, e -> {test}), 0)"
-
-
-def inside_sql(nodes: str, e: str, start: str = "0") -> str:
-    """Descendants of e, where nodes starts at element number ``start``."""
-    return f"slice({nodes}, {e}.at - {start} + 2, {e}.last - {e}.at)"
-
-
-def stripped_text_sql(nodes: str) -> str:
-    """Joined text of the nodes, each piece trimmed."""
-    texts = f"filter({nodes}, n -> n.tag = '#text')"
-    return f"array_join(transform({texts}, n -> {strip_sql('n.text')}), '')"
-
-
-def raw_text_sql(nodes: str) -> str:
-    """Joined text of the nodes as written."""
-    return f"array_join(transform(filter({nodes}, n -> n.tag = '#text'), n -> n.text), '')"
-
-
-def selects_sql(e: str, tag: str | None, tests) -> str:
-    """One card selector: tag and attribute tests."""
-    conditions = [f"NOT startswith({e}.tag, '#')" if tag is None else f"{e}.tag = {literal(tag)}"]
-    for name, test, text in tests:
-        value = attr_sql(e, name)
-        conditions.append(
-            has_word_sql(value, text) if test == "word" else has_any_sql(value, (text,))
-        )
-    return " AND ".join(conditions)
-
-
-def inside(nodes: Column, e: Column, offset: Column | int = 0) -> Column:
-    """Descendants of e, where nodes starts at element number ``offset``."""
-    return F.slice(nodes, e["at"] - offset + 2, e["last"] - e["at"])
-
-
-def first(nodes: Column, test) -> Column:
-    return F.get(F.filter(nodes, lambda e: test(e)), F.lit(0))
-
-
-def stripped_text(nodes: Column) -> Column:
-    """Joined text of the nodes, each piece trimmed."""
-    texts = F.filter(nodes, lambda n: n["tag"] == "#text")
-    return F.array_join(F.transform(texts, lambda n: strip(n["text"])), "")
-
-
-def raw_text(nodes: Column) -> Column:
-    """Joined text of the nodes as written."""
-    texts = F.filter(nodes, lambda n: n["tag"] == "#text")
-    return F.array_join(F.transform(texts, lambda n: n["text"]), "")
+        return self.rows
 
 
 def resolve_url(base: Column, href: Column) -> Column:
