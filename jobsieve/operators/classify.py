@@ -22,24 +22,29 @@ from jobsieve.operators.rules import (
 
 
 def keyword_hits(df: DataFrame, rules: Iterable[KeywordRule] | None = None) -> DataFrame:
-    """Add _hits: the keywords whose terms occur in the role, as an array in the order of the rules.
+    """One row per posting and keyword whose terms occur in the role, with _hit; its lead marks the first of a category.
 
     The rules become one array of tests per row, so there is no join at all.
     """
     rules = default_keyword_rules() if rules is None else list(rules)
-    lowered = df.withColumn("_lower", F.lower("job_role"))
-    hits = ", ".join(
-        f"CASE WHEN {any_term_sql('_lower', r.terms)} THEN named_struct('category_id', "
-        f"{text(r.category_id)}, 'category_name', {text(r.category_name)}, 'keyword_pos', "
-        f"{r.keyword_pos}, 'keyword', {text(r.keyword)}) END"
-        for r in rules
+    by_category: dict[str, list[str]] = {}
+    for r in rules:
+        by_category.setdefault(r.category_id, []).append(
+            f"CASE WHEN {any_term_sql('_lower', r.terms)} THEN named_struct('category_id', "
+            f"{text(r.category_id)}, 'category_name', {text(r.category_name)}, 'keyword_pos', "
+            f"{r.keyword_pos}, 'keyword', {text(r.keyword)}) END"
+        )
+    marked = ", ".join(
+        f"transform(array_compact(array({', '.join(tests)})), (h, i) -> named_struct('hit', h, 'lead', i = 0))"
+        for tests in by_category.values()
     )
-    return lowered.withColumn("_hits", F.expr(f"array_compact(array({hits}))")).drop("_lower")
+    lowered = df.withColumn("_lower", F.lower("job_role"))
+    return lowered.withColumn("_hit", F.explode(F.expr(f"concat({marked})"))).drop("_lower")
 
 
 def keyword_match(df: DataFrame, rules: Iterable[KeywordRule] | None = None) -> DataFrame:
     """`keyword_match`: one row per posting and keyword whose terms occur in the role."""
-    return keyword_hits(df, rules).select(*df.columns, F.inline("_hits"))
+    return keyword_hits(df, rules).select(*df.columns, "_hit.hit.*")
 
 
 def classify_role(c: Column, rules: Iterable[RoleRule] | None = None) -> Column:

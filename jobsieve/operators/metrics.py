@@ -86,7 +86,7 @@ def category_counts(
 
     Per keyword every posting counts, per category each (lower company, lower role) counts once and
     its first arrival decides the size.  Postings are added up by that pair first; the rules look at the role
-    only, so each pair is matched once, and what is left to add up is one row per pair and hit.
+    only, so each pair is matched once, and what is left to add up is one row per pair and keyword.
     """
     small = size_under_100(F.col("number_of_people")).cast("long")
     narrow = eligible(df).select(
@@ -96,14 +96,18 @@ def category_counts(
         _count().alias("_n"), F.sum("_small").alias("_n_small"), _first_flag(narrow, "_small", order).alias("_first")
     )
     hits = keyword_hits(pairs.select("job_role", "_n", "_n_small", "_first"), rules)
-    keyword = F.transform("_hits", lambda h: F.struct(h["category_id"], h["keyword_pos"], h["keyword"], F.col("_n").alias("n"), F.col("_n_small").alias("small")))
-    whole = F.transform(
-        F.array_distinct(F.transform("_hits", lambda h: h["category_id"])),
-        lambda c: F.struct(c.alias("category_id"), F.lit(None).cast("int").alias("keyword_pos"), F.lit(None).cast("string").alias("keyword"),
-                           F.lit(1).cast("long").alias("n"), F.col("_first").alias("small")),
+    lead = F.col("_hit.lead")
+    per_keyword = hits.groupBy("_hit.hit.category_id", "_hit.hit.keyword_pos", "_hit.hit.keyword").agg(
+        F.sum("_n").alias("total_jobs"), F.sum("_n_small").alias("under_100_jobs"),
+        F.count_if(lead).alias("_pairs"), F.sum(F.when(lead, F.col("_first")).otherwise(0)).alias("_pairs_small"),
     )
-    return hits.select(F.inline(F.concat(keyword, whole))).groupBy("category_id", "keyword_pos", "keyword").agg(
-        F.sum("n").alias("total_jobs"), F.sum("small").alias("under_100_jobs")
+    # one row per keyword is left; a pair leads once in each category that it hits
+    both = F.array(
+        F.struct("keyword_pos", "keyword", "total_jobs", "under_100_jobs"),
+        F.struct(F.lit(None).alias("keyword_pos"), F.lit(None).alias("keyword"), F.col("_pairs").alias("total_jobs"), F.col("_pairs_small").alias("under_100_jobs")),
+    )
+    return per_keyword.select("category_id", F.inline(both)).groupBy("category_id", "keyword_pos", "keyword").agg(
+        F.sum("total_jobs").alias("total_jobs"), F.sum("under_100_jobs").alias("under_100_jobs")
     )
 
 
