@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from jobsieve.session import ready_for_checkpoint
 
@@ -13,12 +14,37 @@ LOOKUP_WAYS = 16  # sub-groups per key when a lookup table is too large to broad
 
 def fits_broadcast(df: DataFrame) -> bool:
     """True when Catalyst's size estimate is within the session's broadcast limit."""
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 < size <= broadcast_limit(df.sparkSession)
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """The session's broadcast limit in bytes; negative when broadcasts are off."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower().rstrip("b")
     scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    text = limit.lower().rstrip("b")
-    allowed = int(text[:-1]) * scale[text[-1]] if text[-1:] in scale else int(text)
-    return 0 < size <= allowed
+    return int(limit[:-1]) * scale[limit[-1]] if limit[-1:] in scale else int(limit)
+
+
+def measured(df: DataFrame) -> tuple[DataFrame, bool]:
+    """``df`` checkpointed, and whether its counted bytes are within the broadcast limit."""
+    ready_for_checkpoint(df.sparkSession)
+    kept = df.checkpoint()
+    width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(c), F.lit(0)) + 8 if t == "string" else F.lit(16) for c, t in df.dtypes])
+    size = kept.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return kept, size <= broadcast_limit(df.sparkSession)
+
+
+def many_join(facts: DataFrame, rules: DataFrame, on: str, small: bool) -> DataFrame:
+    """Inner join of facts with any number of rules per key.
+
+    ``small`` rules are broadcast (see `measured`).  Else each key is split into LOOKUP_WAYS sub-groups by a
+    hash of the whole fact row, so a hot key spreads.
+    """
+    if small:
+        return facts.join(F.broadcast(rules), on)
+    salted = facts.withColumn("_way", F.pmod(F.xxhash64(*facts.columns), F.lit(LOOKUP_WAYS)))
+    ways = F.sequence(F.lit(0).cast("long"), F.lit(LOOKUP_WAYS - 1).cast("long"))
+    return salted.join(rules.withColumn("_way", F.explode(ways)), [on, "_way"]).drop("_way")
 
 
 def lookup_join(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from jobsieve import fixed
 from jobsieve.functions.dates import stamp
@@ -47,17 +47,36 @@ def recent_tail(df: DataFrame, n: int = fixed.RECENT_ROWS) -> DataFrame:
     return df.orderBy(F.desc("ingest_pos")).limit(n)
 
 
+def _bounds(df: DataFrame, order: Column, *positions: int) -> list[Column | None]:
+    """The ingest_pos at each position of an order, as literals; null where there are fewer rows.
+
+    Only the positions themselves are sorted, over all tasks, and two values come back.
+    """
+    placed = with_position(df.select("ingest_pos"), [order], name="_position")
+    found = {r["_position"]: r["ingest_pos"] for r in placed.filter(F.col("_position").isin(*positions)).collect()}
+    kind = df.schema["ingest_pos"].dataType
+
+    def literal(value) -> Column:
+        if not isinstance(kind, T.StructType):
+            return F.lit(value).cast(kind)
+        return F.struct(*[F.lit(value[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields])
+
+    return [literal(found[p]) if p in found else None for p in positions]
+
+
 def position_slice(df: DataFrame, offset: int, limit: int) -> DataFrame:
     """Rows offset+1 .. offset+limit in arrival order.
 
-    Small windows use top-k; beyond TOP_ROWS the rows are numbered in parallel,
-    because a large LIMIT would gather them in one task.
+    Small windows use top-k.  A large LIMIT would gather its rows in one task; there the
+    arrival positions at both ends are looked up, and the rows between them are filtered.
     """
     if offset + limit <= TOP_ROWS:
         return df.orderBy("ingest_pos").offset(offset).limit(limit)
-    placed = with_position(df, ["ingest_pos"], name="_position")
-    inside = (F.col("_position") > offset) & (F.col("_position") <= offset + limit)
-    return placed.filter(inside).drop("_position")
+    first, last = _bounds(df, F.asc("ingest_pos"), offset + 1, offset + limit)
+    if first is None or limit == 0:
+        return df.limit(0)
+    rows = df.filter(F.col("ingest_pos") >= first)
+    return rows if last is None else rows.filter(F.col("ingest_pos") <= last)
 
 
 def cap_records(df: DataFrame, n: int) -> DataFrame:
@@ -66,8 +85,12 @@ def cap_records(df: DataFrame, n: int) -> DataFrame:
 
 
 def sync_limit(df: DataFrame, n: int) -> DataFrame:
-    """`sync_limit`: the n newest records, newest first."""
-    return df.orderBy(F.desc("ingest_pos")).limit(n)
+    """`sync_limit`: the n newest records, newest first; a large n is selected and sorted by many tasks."""
+    newest = F.desc("ingest_pos")
+    if n <= TOP_ROWS:
+        return df.orderBy(newest).limit(n)
+    (last,) = _bounds(df, newest, n)
+    return (df if last is None else df.filter(F.col("ingest_pos") >= last)).orderBy(newest)
 
 
 def feed_offset_slice(
@@ -112,8 +135,13 @@ def early_stop_prefix(
 
 
 def application_rownum(apps: DataFrame, tie: Sequence[str] = ("contact",)) -> DataFrame:
-    """`application_rownum`: 1-based number per role category in order of application."""
-    return with_position(apps, ["applied_at", *tie], by=["role_category"], name="row_number")
+    """`application_rownum`: 1-based number per role category in order of application.
+
+    Applications of the same time and tie are told apart by all their columns, so that numbers do not change
+    between runs.
+    """
+    rest = [c for c in apps.columns if c not in ("applied_at", "role_category", *tie)]
+    return with_position(apps, ["applied_at", *tie, *rest], by=["role_category"], name="row_number")
 
 
 def batch_100(

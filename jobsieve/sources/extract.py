@@ -17,7 +17,8 @@ from jobsieve.functions.predicates import (
 )
 from jobsieve.functions.text import clean_company, clean_label_sql, clean_role, clean_text_sql
 from jobsieve.functions.urls import in_scope, normalize_url
-from jobsieve.operators.spread import first_by
+from jobsieve.operators.spread import first_by, lookup_join, measured
+from jobsieve.session import ready_for_checkpoint
 from jobsieve.sources import parts
 from jobsieve.sources.markup import resolve_url
 from jobsieve.sources.parts import page_parts
@@ -26,7 +27,7 @@ _KINDS = {
     parts.JSON_LD: "json_ld", parts.HYDRATION: "hydration", parts.CARDS: "dom_card", parts.TABLES: "table",
     parts.DETAIL: "detail_page",
 }
-_RECORD = ("ingest_pos", "page_id", "company_name", "job_role", "employee_count_raw", "job_url", "company_url", "page_url", "source_type")
+TIERS = (parts.JSON_LD, parts.HYDRATION, parts.CARDS, parts.TABLES)
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -237,7 +238,7 @@ def extract_tables(pages: DataFrame) -> DataFrame:
     return _one_tier(pages.filter(F.contains(F.lower("html"), F.lit("<th"))), parts.TABLES)
 
 
-def _tiered(rows: DataFrame) -> DataFrame:
+def tiered(rows: DataFrame) -> DataFrame:
     """Records of JSON-LD, hydration and cards; those of tables only on pages without any other.
 
     What is shuffled by page is the records, not the pages.
@@ -253,7 +254,7 @@ def extract_tiered(pages: DataFrame) -> DataFrame:
 
     Each page is parsed once, in one Arrow function.
     """
-    return _tiered(page_parts(pages, parts.JSON_LD, parts.HYDRATION, parts.CARDS, parts.TABLES))
+    return tiered(page_parts(pages, *TIERS))
 
 
 # --- detail pages ----------------------------------------------------------------
@@ -270,19 +271,33 @@ def extract_detail(pages: DataFrame) -> DataFrame:
     return first_by(found.filter(valid), ["page_id"])
 
 
+def wanted_pages(pages: DataFrame, keys: DataFrame) -> DataFrame:
+    """The first page of each key of ``keys`` (a _key per row, distinct), with that _key.
+
+    If the keys' hashes are few enough for a broadcast, by their counted size, pages that no key names are left
+    where they are read; what is shuffled is about the wanted pages.
+    """
+    named = pages.withColumn("_key", normalize_url(F.col("url")))
+    hashes, small = measured(keys.select(F.xxhash64("_key").alias("_hash")).distinct())
+    if small:
+        named = named.withColumn("_hash", F.xxhash64("_key")).join(F.broadcast(hashes), "_hash", "left_semi").drop("_hash")
+    return first_by(named.join(keys, "_key", "left_semi"), ["_key"], "page_id")
+
+
 def follow_detail(raw: DataFrame, pages: DataFrame, base: Column | None = None) -> DataFrame:
     """`follow_detail`: complete invalid rows from their detail page.
 
     Company and role are replaced; the headcount only while it is N/A.  Only
-    pages that such a row points to are parsed.
+    pages that such a row points to are parsed.  The rows are checkpointed once they are tested; only
+    incomplete ones meet the lookup, where a URL that many rows share is split.
     """
+    ready_for_checkpoint(raw.sparkSession)
     site = F.col("page_url") if base is None else base
     incomplete = ~valid_company(F.col("company_name")) | ~valid_role(F.col("job_role"))
     follow = incomplete & (F.col("job_url") != "") & in_scope(F.col("job_url"), site)
-    keyed = raw.withColumn("_key", F.when(follow, normalize_url(F.col("job_url"))))
-    wanted = keyed.filter(F.col("_key").isNotNull()).select("_key").distinct()
-    targets = pages.withColumn("_key", normalize_url(F.col("url"))).join(wanted, "_key", "left_semi")
-    unique = first_by(targets, ["_key"], "page_id")
+    keyed = raw.withColumn("_key", F.when(follow, normalize_url(F.col("job_url")))).checkpoint()
+    lacking = keyed.filter(F.col("_key").isNotNull())
+    unique = wanted_pages(pages, lacking.select("_key").distinct())
     details = extract_detail(unique).select(
         normalize_url(F.col("page_url")).alias("_key"),
         clean_company(F.col("company_name")).alias("_company"),
@@ -290,8 +305,7 @@ def follow_detail(raw: DataFrame, pages: DataFrame, base: Column | None = None)
         F.col("company_url").alias("_company_url"),
         parse_headcount(F.col("employee_count_raw")).alias("_size"),
     )
-    # only incomplete rows meet the lookup; the others keep their partition
-    joined = keyed.filter(F.col("_key").isNotNull()).join(details, "_key", "left")
+    joined = lookup_join(lacking, details, ["_key"])
     na = fixed.NOT_AVAILABLE
     completed = joined.withColumns(
         {

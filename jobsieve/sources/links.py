@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsieve import fixed
 from jobsieve.functions.let import let
 from jobsieve.functions.text import strip
 from jobsieve.functions.urls import host_of, in_scope, query_pairs
-from jobsieve.operators.spread import first_by
+from jobsieve.operators.spread import first_by, lookup_join
 from jobsieve.session import ready_for_checkpoint
-from jobsieve.sources.extract import extract_tiered
+from jobsieve.sources.extract import TIERS, tiered
 from jobsieve.sources.markup import resolve_url
 from jobsieve.sources.parts import LINKS, page_parts
 
-_ROUNDS_PER_CHECKPOINT = 5
 
 
 def _following_page(url: Column) -> Column:
@@ -111,14 +112,16 @@ def traverse_pages(
     ``max_empty`` pages in a row without records.  Returns (start_url, page_no,
     url, records).
 
-    Every page is parsed once.  All chains advance together, one join per
-    round; a chain carries its visited pages, which max_pages bounds.  The state
-    is checkpointed every few rounds, so a lost executor repeats little.
+    Every page is parsed once.  The chains that go on advance together, one lookup per
+    round in which a page that many of them share is split; those that have ended leave the loop.
+    A chain carries its visited pages, which max_pages bounds.  Every round is checkpointed, so a lost executor
+    repeats one.
     """
     ready_for_checkpoint(pages.sparkSession)
-    records = extract_tiered(pages).groupBy("page_id").agg(F.count(F.lit(1)).alias("records"))
+    rows = page_parts(pages, LINKS, *TIERS).checkpoint()
+    records = tiered(rows.filter(F.col("tier") != LINKS)).groupBy("page_id").agg(F.count(F.lit(1)).alias("records"))
     steps = (
-        next_candidates(pages)
+        _candidates(rows.filter(F.col("tier") == LINKS))
         .join(records, "page_id", "left")
         .select(
             "page_id",
@@ -129,19 +132,21 @@ def traverse_pages(
     )
     steps = first_by(steps, ["at_url"], "page_id").drop("page_id").checkpoint()
 
-    chains = start_urls.select(
+    going = start_urls.select(
         F.col("url").alias("start_url"),
         F.col("url").alias("at_url"),
         F.lit(0).cast("long").alias("records"),
         F.lit(0).alias("empty"),
         F.array().cast("array<struct<url:string,records:bigint>>").alias("visits"),
     ).distinct()
-    for round_no in range(1, max_pages + 1):
-        chains = _advance(chains, steps, max_records, max_empty)
-        if round_no % _ROUNDS_PER_CHECKPOINT == 0 or round_no == max_pages:
-            chains = chains.checkpoint()
-            if chains.filter(F.col("at_url").isNotNull()).isEmpty():
-                break
+    ended = []
+    for _ in range(max_pages):
+        moved = _advance(going, steps, max_records, max_empty).checkpoint()
+        ended.append(moved.filter(F.col("at_url").isNull()))
+        going = moved.filter(F.col("at_url").isNotNull())
+        if going.isEmpty():
+            break
+    chains = reduce(DataFrame.union, ended, going)
     visits = chains.select("start_url", F.posexplode("visits").alias("page_no", "visit"))
     return visits.select("start_url", F.col("page_no") + 1, "visit.url", "visit.records").toDF(
         "start_url", "page_no", "url", "records"
@@ -154,7 +159,7 @@ def _advance(
     """Visit the current page of every active chain and choose the next one."""
     visit = F.struct(F.col("at_url").alias("url"), F.col("found").alias("records"))
     here = F.col("found").isNotNull()
-    visited = chains.join(steps, "at_url", "left").select(
+    visited = lookup_join(chains, steps, ["at_url"]).select(
         "start_url",
         "at_url",
         "candidates",

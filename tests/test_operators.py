@@ -1,5 +1,6 @@
 """Operators on small tables: order, repeats, hot keys, plans."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobsieve import schema
@@ -188,3 +189,46 @@ def test_tabs_and_export_rows(spark):
     }
     assert route.posting_row(rows).filter("status = 'NEW'").count() == 1
     assert route.export_name(rows, "instahyre.com").first()[0] == "Instahyre_Jobs_Master_3"
+
+
+@pytest.fixture(params=["10485760", "-1"])
+def broadcasts(spark, request):
+    """Once with the usual broadcast limit, once without broadcasts."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield request.param
+    spark.conf.set(name, before)
+
+
+def test_large_slices_equal_small_ones(spark, monkeypatch):
+    rows = spark.range(500).selectExpr("struct(id div 7 AS a, id % 7 AS b) AS ingest_pos", "id").repartition(6)
+    cases = [(0, 10), (100, 250), (490, 100), (600, 5), (3, 0)]
+    small = [[r.id for r in topk.position_slice(rows, a, n).orderBy("id").collect()] for a, n in cases]
+    newest = [[r.id for r in topk.sync_limit(rows, n).collect()] for n in (250, 499, 500, 900)]
+    monkeypatch.setattr(topk, "TOP_ROWS", 0)
+    assert [[r.id for r in topk.position_slice(rows, a, n).orderBy("id").collect()] for a, n in cases] == small
+    assert [[r.id for r in topk.sync_limit(rows, n).collect()] for n in (250, 499, 500, 900)] == newest
+    assert small[1] == list(range(100, 350)) and newest[0] == list(range(499, 249, -1))
+
+
+def test_backfill_with_a_piece_that_most_urls_hold(spark, broadcasts):
+    urls = [(i, f"Firm {i}", f"https://e.com/companies/zzz-{i % 9}/jobs/{i}" if i % 3 else f"https://e.com/companies/ab{i}/x", "s", "N/A") for i in range(90)]
+    store = spark.createDataFrame(urls, "ingest_pos long, company_name string, job_url string, source_website string, number_of_people string")
+    sizes = [(f"zzz-{k}", f"N{k}", f"{k + 1} employees", k) for k in range(9)] + [("ab3", "x", "77 employees", 50), ("q", "y", "5 employees", 60), ("", "z", "6 employees", 70), ("none", "Firm 6", "8 employees", 80)]
+    profiles = spark.createDataFrame(sizes, "company_slug string, company_name string, employee_count string, profile_pos long")
+    got = {r.ingest_pos: r.number_of_people for r in enrich.backfill_headcount(store, profiles, "s").collect()}
+
+    def plain(name, url):
+        fit = [(pos, n) for slug, company, n, pos in sizes if company == name or (slug and slug in url.lower())]
+        return max(fit)[1] if fit else "N/A"
+
+    assert got == {i: plain(name, url) for i, name, url, _, _ in urls}
+
+
+def test_application_numbers_do_not_change_on_ties(spark):
+    rows = [("Eng", "2026-01-01", "same", f"n{i % 3}", str(i)) for i in range(30)]
+    apps = spark.createDataFrame(rows, "role_category string, applied_at string, contact string, name string, url string")
+    one = {r.url: r.row_number for r in topk.application_rownum(apps).collect()}
+    two = {r.url: r.row_number for r in topk.application_rownum(apps.repartition(7, "name")).collect()}
+    assert one == two and sorted(one.values()) == list(range(1, 31))

@@ -197,3 +197,49 @@ def test_long_links_are_not_cut(spark):
     df = spark.createDataFrame([("https://e.com/a/b?q=1", path)], "base string, href string")
     out = df.select(markup.resolve_url(F.col("base"), F.col("href")).alias("u")).first().u
     assert out == "https://e.com" + path
+
+
+def test_chains_that_share_a_page(spark, monkeypatch):
+    """A third of the chains go through one page; those that end leave the loop."""
+    html = [(f"https://e.com/l?page={n}", f'<a rel="next" href="{"hub" if n % 3 == 0 else f"end{n}"}">x</a>') for n in range(30)]
+    html += [("https://e.com/hub", '<a rel="next" href="hub2">x</a>'), ("https://e.com/hub2", "")]
+    df = pages(spark, *html)
+    sizes = []
+    advance = links._advance
+
+    def counted(chains, *rest):
+        sizes.append(chains.count())
+        return advance(chains, *rest)
+
+    monkeypatch.setattr(links, "_advance", counted)
+    rows = links.traverse_pages(df, df.filter("page_id < 30").select("url"), max_pages=9).collect()
+    found = {}
+    for r in sorted(rows, key=lambda r: r.page_no):
+        found.setdefault(r.start_url, []).append(r.url.rsplit("/", 1)[1])
+    assert found == {u: [u.rsplit("/", 1)[1]] + (["hub", "hub2"] if n % 3 == 0 else []) for n, (u, _) in enumerate(html[:30])}
+    assert sizes == [30, 30, 10]
+
+
+def test_wanted_pages_without_broadcasts(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    df = pages(spark, *[(f"https://e.com/{n % 4}?x={n}", str(n)) for n in range(12)])
+    keys = spark.createDataFrame([("https://e.com/1",), ("https://e.com/9",)], "_key string")
+    try:
+        for limit in (before, "-1"):
+            spark.conf.set(name, limit)
+            assert [(r.page_id, r._key) for r in extract.wanted_pages(df, keys).collect()] == [(1, "https://e.com/1")]
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_nested_json_ld(spark):
+    item = {"@type": "JobPosting", "title": "Deep", "hiringOrganization": "Below Inc"}
+    deep = item
+    for n in range(300):
+        deep = [deep] if n % 2 else {"@graph": [deep, {"@type": "Other"}]}
+    script = '<script type="application/ld+json">{}</script>'
+    df = pages(spark, ("https://e.com/a", script.format(json.dumps(deep)) + script.format("{oops")), ("https://e.com/b", script.format(json.dumps([item, [item]]))))
+    for rows in (extract.extract_jsonld(df), extract.extract_tiered(df)):
+        assert sorted((r.page_id, r.company_name, r.ingest_pos.at0, r.ingest_pos.at1) for r in rows.collect()) == [
+            (0, "Below Inc", 0, 0), (1, "Below Inc", 0, 0), (1, "Below Inc", 0, 1)]
