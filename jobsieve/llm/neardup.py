@@ -33,7 +33,7 @@ from jobsieve.llm.wordhash import shingle_sets
 SKETCH = 128  # retained values of a set
 BLOCK = 1024  # members of a group that one task compares with as many others
 
-_SET_FIELDS = "doc_id long, n_shingles long, set_id long"
+_SET_FIELDS = "doc_id long, text_id long, n_shingles long, set_id long"
 
 
 def _set_id(hashes: np.ndarray) -> int:
@@ -41,7 +41,7 @@ def _set_id(hashes: np.ndarray) -> int:
 
 
 def shingle_counts(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id): the size of each text's shingle set and a digest of it."""
+    """(doc_id, text_id, n_shingles, set_id): the size of each text's shingle set and a digest of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,8 +50,8 @@ def shingle_counts(docs: DataFrame, words: int) -> DataFrame:
                 sizes.append(len(own))
                 ids.append(_set_id(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())],
-                names=["doc_id", "n_shingles", "set_id"],
+                [batch.column("doc_id"), batch.column("text_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())],
+                names=["doc_id", "text_id", "n_shingles", "set_id"],
             )
 
     return docs.mapInArrow(run, _SET_FIELDS)
@@ -166,22 +166,17 @@ def _confirmed(words: int, threshold: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` that has an id.
+def _with_text_id(docs: DataFrame) -> DataFrame:
+    """Tells the texts of rows that repeat an id apart."""
+    return docs.withColumn("text_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
-    Words are runs of bytes that are not ASCII white space, A-Z lower-cased; a set holds the distinct
-    shingles of ``words`` words, or the whole sequence of a shorter text.  Two texts are linked when
-    100 * intersection >= ``threshold`` * union.  component_id is the smallest id reachable by links;
-    kept is true where it is the row's own.
 
-    Rows without id are left out, as nothing could point at them.  A null or empty text, or one
-    without words, has n_shingles 0, is linked with nothing and kept.  Rows that repeat an id appear as
-    often as given; equal texts are linked.  Extra columns are ignored.  An empty table gives no rows.
-    """
-    docs = identified(docs)
+def _placed(docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(doc_id, text_id, n_shingles, least) of identified rows: least is the first (doc_id, text_id) reachable, null without words."""
+    docs = _with_text_id(docs)
     sets = stored(shingle_counts(docs, words), "sets")
     filled = sets.where("n_shingles > 0")
-    classes = filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    classes = stored(filled.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_id")).alias("rep")), "classes")
     groups = stored(_groups(_retained(docs, words), threshold), "groups")
     sized = (
         groups.join(groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "leader")
@@ -189,8 +184,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     )
-    needed = groups.select("set_id").distinct().join(classes, "set_id")
-    texts = docs.join(needed, docs["doc_id"] == needed["rep"]).dropDuplicates(["set_id"]).select("set_id", "text")
+    needed = groups.select("set_id").distinct().join(classes, "set_id").select("set_id", "rep.doc_id", "rep.text_id")
+    texts = docs.join(needed, ["doc_id", "text_id"]).dropDuplicates(["set_id"]).select("set_id", "text")  # rows alike in id and text
     links = (
         sized.join(texts, "set_id")
         .groupBy("leader", "i", "j")
@@ -199,9 +194,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     roots = components(links)
     least = (
         roots.join(classes, roots["node"] == classes["set_id"])
-        .groupBy("root").agg(F.min("rep").alias("least"))
+        .groupBy("root").agg(F.min("rep").alias("first"))
     )
-    placed = roots.join(least, "root").select(F.col("node").alias("set_id"), "least")
-    named = classes.join(placed, "set_id", "left").select("set_id", F.coalesce("least", "rep").alias("component_id"))
-    whole = filled.join(named, "set_id").unionByName(sets.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
-    return whole.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    placed = roots.join(least, "root").select(F.col("node").alias("set_id"), "first")
+    named = classes.join(placed, "set_id", "left").select("set_id", F.coalesce("first", "rep").alias("least"))
+    return sets.join(named, "set_id", "left").select("doc_id", "text_id", "n_shingles", "least")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` that has an id.
+
+    Words are runs of bytes that are not ASCII white space, A-Z lower-cased; a set holds the distinct
+    shingles of ``words`` words, or the whole sequence of a shorter text.  Two texts are linked when
+    100 * intersection >= ``threshold`` * union.  component_id is the smallest id reachable by links;
+    kept is true where it is the row's own.
+
+    Rows without id are left out, as nothing could point at them.  A null or empty text, or one
+    without words, has n_shingles 0, is linked with nothing and kept.  Rows that repeat an id appear as
+    often as given, each with the links of its own text; equal texts are linked.  Extra columns are ignored.
+    An empty table gives no rows.
+    """
+    placed = _placed(identified(docs), words, threshold)
+    component = F.coalesce("least.doc_id", "doc_id")
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row with the smallest id stays, and one of rows alike.
+
+    Rows that repeat an id with another text are documents of their own.  Rows without id, and texts without words, stay.
+    """
+    placed = stored(_placed(identified(docs), words, threshold), "placed").where("least is not null")
+    gone = placed.where("doc_id != least.doc_id or text_id != least.text_id").select("doc_id", "text_id").distinct()
+    kept = _with_text_id(docs).join(gone, ["doc_id", "text_id"], "left_anti")
+    again = placed.groupBy("doc_id", "text_id").count().where("count > 1").select("doc_id", "text_id")
+    if not again.isEmpty():  # rows alike in id and text: one of them
+        same = kept.join(again, ["doc_id", "text_id"], "left_semi").dropDuplicates(["doc_id", "text_id"])
+        kept = kept.join(again, ["doc_id", "text_id"], "left_anti").unionByName(same)
+    return kept.select(*docs.columns)

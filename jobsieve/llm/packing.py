@@ -31,8 +31,8 @@ from jobsieve.llm.wordhash import ragged
 
 GROUP_TOKENS = 4 << 20  # tokens that one task packs
 GROUP_PIECES = 50_000  # pieces that one task packs
-KNOWN_WORDS = 500_000  # stems whose ids a worker remembers
-SLICE = 4 << 20  # bytes of text that are tokenised together
+KNOWN_WORDS = 200_000  # stems whose ids a worker remembers
+SLICE = 1 << 20  # bytes of text that are tokenised together
 
 _KNOWN: dict[str, dict[str, list[int]]] = {}
 

@@ -16,21 +16,22 @@ low-quality one that stays.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from jobsieve.llm.common import identified, stored
 from jobsieve.llm.wordhash import ragged
 
 SHARDS = 16
-WAYS = 8  # copies of the model in the join, among which a hot shard's counts are dealt
-CHUNK = 1 << 20  # characters that are counted together
+WAY_CHUNKS = 128  # chunks whose counts of a shard meet one copy of the model's shard
+CHUNK = 1 << 19  # characters that are counted together
+ROWS = 256  # rows that are turned into Python strings together
 QUANTILES = [round(0.9 + 0.005 * k, 3) for k in range(20)] + [0.999]  # of unseen trusted documents' perplexities, to choose from
 QUANTILE = 0.95  # without low-quality documents to choose by
 UNSEEN = 3  # one of so many trusted documents is kept from the model
@@ -50,15 +51,37 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     return pickle.loads(zstandard.decompress(data))
 
 
+def _small(values: np.ndarray) -> np.ndarray:
+    """The same numbers, none below 0, in as few bytes as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def _pack_counts(ids: np.ndarray, keys: np.ndarray, per: np.ndarray, number: np.ndarray, count: np.ndarray) -> bytes:
+    """Counts of one shard of a chunk; the ascending keys as steps."""
+    return _pack(ids, _small(np.diff(keys, prepend=0)), _small(per), _small(number), _small(count))
+
+
+def _unpack_counts(data: bytes) -> tuple[np.ndarray, ...]:
+    ids, steps, per, number, count = _unpack(data)
+    return ids, np.cumsum(steps.astype(np.int64)), per.astype(np.int64), number.astype(np.int64), count.astype(np.int64)
+
+
 def _shard_of(keys: np.ndarray) -> np.ndarray:
     middle = (keys >> 21) & _LETTER
     return (middle * 2654435761 >> 8) % SHARDS
 
 
-def _segments(ids: list[int], texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, ROWS):
+            part = batch.slice(begin, ROWS)
+            yield from zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)
+
+
+def _segments(rows: Iterator[tuple[int, str]]) -> Iterator[tuple[list[int], list[str]]]:
     """Chunks of texts with their ids; long texts are cut, with the two characters before."""
     owners, parts, size = [], [], 0
-    for doc, text in zip(ids, texts, strict=True):
+    for doc, text in rows:
         for at in range(0, len(text), CHUNK):
             before = text[at - 2 : at] if at else 2 * BEGIN
             owners.append(doc)
@@ -73,31 +96,30 @@ def _segments(ids: list[int], texts: list[str]) -> Iterator[tuple[list[int], lis
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per chunk and shard: packed (ids, trigrams, documents per trigram, document numbers, counts)."""
-    for batch in batches:
-        for owners, parts in _segments(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            letters = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-            sizes = np.array([len(p) for p in parts], np.int64)
-            starts = np.cumsum(sizes) - sizes
-            at = ragged(starts, sizes - 2)
-            keys, code = np.unique(letters[at] << 42 | letters[at + 1] << 21 | letters[at + 2], return_inverse=True)
-            pair, count = np.unique(code * len(parts) + np.repeat(np.arange(len(parts)), sizes - 2), return_counts=True)
-            key_of, number = pair // len(parts), (pair % len(parts)).astype(np.uint32)
-            ids = np.array(owners, np.int64)
-            chunk = int.from_bytes(hashlib.blake2b(ids.tobytes() + letters[:64].tobytes(), digest_size=8).digest(), "little", signed=True)
-            shard, rows = _shard_of(keys), []
-            for s in np.unique(shard).tolist():
-                own = shard[key_of] == s
-                mine = np.flatnonzero(shard == s)
-                per = np.bincount(key_of[own], minlength=len(keys))[mine].astype(np.uint32)
-                rows.append((s, _pack(ids, keys[mine], per, number[own], count[own].astype(np.uint32))))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
-                    pa.array([r[1] for r in rows], pa.binary()),
-                    pa.array([owners if k == 0 else [] for k in range(len(rows))], pa.list_(pa.int64())),
-                ],
-                names=["chunk", "shard", "counts", "docs"],
-            )
+    task = TaskContext.get().partitionId() << 32  # chunks are unique, and the same when the task runs again
+    for number_of_chunk, (owners, parts) in enumerate(_segments(_texts(batches))):
+        letters = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        at = ragged(starts, sizes - 2)
+        keys, code = np.unique(letters[at] << 42 | letters[at + 1] << 21 | letters[at + 2], return_inverse=True)
+        pair, count = np.unique(code * len(parts) + np.repeat(np.arange(len(parts)), sizes - 2), return_counts=True)
+        key_of, number = pair // len(parts), pair % len(parts)
+        ids = np.array(owners, np.int64)
+        shard, rows = _shard_of(keys), []
+        for s in np.unique(shard).tolist():
+            own = shard[key_of] == s
+            mine = np.flatnonzero(shard == s)
+            per = np.bincount(key_of[own], minlength=len(keys))[mine]
+            rows.append((s, _pack_counts(ids, keys[mine], per, number[own], count[own])))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([task + number_of_chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
+                pa.array([r[1] for r in rows], pa.binary()),
+                pa.array([owners if k == 0 else [] for k in range(len(rows))], pa.list_(pa.int64())),
+            ],
+            names=["chunk", "shard", "counts", "docs"],
+        )
 
 
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +135,7 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for data, trusted in zip(batch.column("counts").to_pylist(), batch.column("trusted").to_pylist(), strict=True):
-            ids, keys, per, number, count = _unpack(data)
+            ids, keys, per, number, count = _unpack_counts(data)
             good = np.isin(ids, np.array(trusted, np.int64))[number]
             total = np.bincount(np.repeat(np.arange(len(keys)), per)[good], weights=count[good], minlength=len(keys))
             seen = total > 0
@@ -179,7 +201,7 @@ def _scored(unigrams: tuple[np.ndarray, np.ndarray, float]):
         empty = np.zeros(0, np.int64)
         for batch in batches:
             for data, model in zip(batch.column("counts").to_pylist(), batch.column("model").to_pylist(), strict=True):
-                ids, keys, per, number, count = _unpack(data)
+                ids, keys, per, number, count = _unpack_counts(data)
                 seen, p3, contexts, c_freed, pairs, p2, middles, m_freed = _unpack(model) if model else (empty,) * 8
                 one = _lookup(letters, singles, keys & _LETTER, unseen)
                 two = _lookup(pairs, p2, keys & _PAIR, -1.0)
@@ -200,7 +222,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     counts = stored(docs.where("text != ''").mapInArrow(_counts, "chunk long, shard int, counts binary, docs array<long>"), "counts")
     members = counts.select("chunk", F.explode("docs").alias("doc_id"))
     masks = members.join(trusted, "doc_id", "left_semi").groupBy("chunk").agg(F.collect_set("doc_id").alias("trusted"))  # ids of one chunk
-    training = counts.select("chunk", "counts", "shard").join(masks, "chunk").select("counts", "trusted").mapInArrow(_trained, "key long, n long")
+    # both joins of the counts are shuffled at every size, so that the plan does not change with the input
+    training = counts.select("chunk", "counts", "shard").join(masks.hint("merge"), "chunk").select("counts", "trusted").mapInArrow(_trained, "key long, n long")
     trigrams = stored(training.groupBy("key").agg(F.sum("n").alias("n")), "trigrams")
     pairs = stored(trigrams.groupBy(F.expr(f"key & {_PAIR}").alias("pair")).count(), "pairs")
     d2, d3 = _discounts(pairs, "count"), _discounts(trigrams, "n")
@@ -212,9 +235,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     shard = F.expr(f"cast(shiftright(((key >> 21) & {_LETTER}) * 2654435761, 8) % {SHARDS} as int)")
     model = trigrams.withColumn("shard", shard).groupBy("shard").applyInArrow(_model_shard(unigrams, d2, d3), "shard int, model binary")
-    ways = F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1)))
-    spread = counts.select("shard", F.pmod("chunk", F.lit(WAYS)).cast("int").alias("way"), "counts")
-    met = spread.join(model.select("shard", ways.alias("way"), "model"), ["shard", "way"], "left")
+    ways = max(1, -(-counts.select("chunk").distinct().count() // WAY_CHUNKS))
+    every = F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))
+    spread = counts.select("shard", F.pmod(F.xxhash64("chunk"), F.lit(ways)).cast("int").alias("way"), "counts")
+    met = spread.join(model.select("shard", every.alias("way"), "model").hint("merge"), ["shard", "way"], "left")
     sums = met.select("counts", "model").mapInArrow(_scored(unigrams), "doc_id long, logp double, n long")
     return sums.groupBy("doc_id").agg(F.sum("n").alias("n"), F.exp(-F.sum("logp") / F.sum("n")).alias("perplexity"))
 

@@ -29,7 +29,7 @@ from jobsieve.llm.common import identified, stored
 from jobsieve.llm.wordhash import ragged, rolling_hashes, text_bytes
 
 GRAM = 16  # bytes of a sample
-PIECE = 1 << 20  # places that are looked at together
+PIECE = 1 << 19  # places that are looked at together
 FILTER_BITS = 1 << 26  # of a filter: 8 MB, whatever the input; a full filter only lets more rows travel
 PACK = 4096  # a packed run is start * PACK + length
 WHOLE = -1  # the run of a document that goes as a whole
@@ -212,7 +212,7 @@ def _sorted_buckets(span: int):
 def _kept_parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
     """(removed bytes, maximal removed runs, remaining bytes) of each text of a batch with its packed runs."""
     raw, offsets = text_bytes(batch.column("text"))
-    for k, packed in enumerate(batch.column("runs").to_pylist()):
+    for k, packed in enumerate(batch.column("_repeated_runs").to_pylist()):
         text = raw[offsets[k] : offsets[k + 1]]
         if not packed:
             yield 0, 0, text.tobytes()
@@ -240,7 +240,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = pa.array([kept.decode("utf-8", "ignore") for _, _, kept in _kept_parts(batch)], pa.string())
-        yield batch.drop_columns(["runs"]).set_column(batch.schema.get_field_index("text"), "text", texts)
+        yield batch.drop_columns(["_repeated_runs"]).set_column(batch.schema.get_field_index("text"), "text", texts)
 
 
 def _repeated_runs(docs: DataFrame, span: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _repeated_runs(docs: DataFrame, span: int) -> DataFrame:
     )
     copies = digests.where(F.col("n_bytes") >= span).join(first, "digest").where("doc_id > first")
     runs = found.union(copies.select("doc_id", F.lit(WHOLE).cast("long").alias("run")))
-    return runs.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("run").alias("runs"))  # bounded by the document's own length
+    return runs.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("run").alias("_repeated_runs"))  # bounded by the document's own length
 
 
 def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
@@ -277,7 +277,7 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
     """
     runs = _repeated_runs(docs, span)
     rows = identified(docs)
-    joined = rows.join(runs, rows["doc_id"] == runs["id"], "left").select("doc_id", "text", "runs")
+    joined = rows.join(runs, rows["doc_id"] == runs["id"], "left").select("doc_id", "text", "_repeated_runs")
     return joined.mapInArrow(_measured, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -286,7 +286,7 @@ def shorten_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
 
     All rows and columns stay; n_chars, if there is one, is counted anew.  Rows without id keep their text.
     """
-    runs = _repeated_runs(docs, span).withColumnRenamed("id", "_id")
-    joined = docs.join(runs, docs["doc_id"] == F.col("_id"), "left").drop("_id")
+    runs = _repeated_runs(docs, span).withColumnRenamed("id", "_repeated_id")
+    joined = docs.join(runs, docs["doc_id"] == F.col("_repeated_id"), "left").drop("_repeated_id")
     cut = joined.mapInArrow(_shortened, docs.schema)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cut

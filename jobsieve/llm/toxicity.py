@@ -32,8 +32,8 @@ TOXIC_LANDMARKS = 24
 PLAIN_LANDMARKS = 8
 TELLING = 2.0  # log odds of a landmark at least; common words differ by the lengths of texts
 LEAST = 0.1  # feature values below are zero
-KNOWN_STRINGS = 500_000  # strings whose features a worker remembers
-SLICE = 4 << 20  # bytes of text that are looked at together
+KNOWN_STRINGS = 200_000  # strings whose features a worker remembers
+SLICE = 1 << 20  # bytes of text that are looked at together
 
 _KNOWN: dict[bytes, dict[str, np.ndarray | None]] = {}
 
