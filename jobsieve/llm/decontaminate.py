@@ -88,13 +88,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
         return texts.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start_word long, n_words long")
     starts = stored(starts.distinct(), "windows")
 
-    windows = (
-        texts.join(starts, "doc_id").withColumn("w", _words(F.col("text"))).drop("text")
-        .withColumn("start", F.greatest(F.least(F.col("start"), F.size("w") - F.col("length")), F.lit(0)))
-        .select("doc_id", "start", "length", "k", F.expr("slice(w, start + 1, length)").alias("w"))
-        .select("doc_id", "start", "length", F.size("w").alias("n_words"), _shingles("w", "k").alias("shingles"))
-        .withColumn("print", simhash("shingles"))
+    # each step is stored, or its expressions would be computed again in every place that names them
+    worded = texts.join(starts, "doc_id").withColumn("w", _words(F.col("text"))).drop("text")
+    cut = stored(
+        worded.withColumn("start", F.greatest(F.least(F.col("start"), F.size("w") - F.col("length")), F.lit(0)))
+        .select("doc_id", "start", "length", "k", F.expr("slice(w, start + 1, length)").alias("w")).distinct(),
+        "window-words",
     )
+    shingled = stored(cut.select("doc_id", "start", "length", F.size("w").alias("n_words"), _shingles("w", "k").alias("shingles")), "window-shingles")
+    windows = stored(shingled.withColumn("print", F.coalesce(simhash("shingles"), F.lit(0))), "window-prints")
     block = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
     near = [m for m in range(1 << BITS) if bin(m).count("1") <= NEAR]
     masks = f"array({','.join(map(str, near))})"
