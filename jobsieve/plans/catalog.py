@@ -910,6 +910,37 @@ def extract_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "company_name", "job_role", "source_type")
 
 
+@query("extract_stored_pages")
+def extract_stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages, whole, with job cards in their bodies."""
+    rows = extract.extract_tiered(views.stored_pages(spark, sf_dir))
+    return rows.select("page_id", "company_name", "job_role", "employee_count_raw", "source_type")
+
+
+@query("curated_with_pages")
+def curated_with_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run with pages: rows without a usable company completed from detail pages, others sized from company pages."""
+    parts = views.table(spark, sf_dir, "part")
+    lacking = F.col("p_size") > 25
+    number = (F.col("p_partkey") % 40).cast("string")
+    raw = parts.select(
+        F.when(lacking, F.lit("Remote")).otherwise(F.concat(F.lit("Known "), number, F.lit(" Corp"))).alias("company_name"),
+        F.concat(F.lit("Role "), "p_name").alias("job_role"),
+        F.lit(None).cast("string").alias("employee_count_raw"),
+        F.concat(F.expr(views.PART_URL), F.lit("/?ref=1")).alias("job_url"),
+        F.concat(F.lit(f"{views.SITE}/company/"), number).alias("company_url"),
+        F.lit(views.SITE).alias("page_url"),
+        F.col("p_partkey").cast("long").alias("ingest_pos"),
+    )
+    company = F.expr(f"'{views.SITE}/company/' || CAST(s_suppkey AS string)")
+    size = F.expr("'<html><b>Team size:</b> <i>' || CAST(s_suppkey * 7 AS string) || '</i></html>'")
+    profiles = views.table(spark, sf_dir, "supplier").where("s_suppkey < 30").select(
+        (-F.col("s_suppkey")).cast("long").alias("page_id"), company.alias("url"), size.alias("html")
+    )
+    rows = curate(raw, views.part_pages(spark, sf_dir, views.DETAIL).unionByName(profiles))
+    return rows.select("ingest_pos", "company_name", "job_role", "number_of_people")
+
+
 @query("union_tiers")
 def union_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _mixed(spark, sf_dir)

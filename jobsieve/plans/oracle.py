@@ -945,6 +945,19 @@ def oracle_queries() -> dict[str, str]:
         "CASE WHEN p_size > 25 THEN p_name ELSE 'Role ' || p_name END AS job_role, CASE WHEN p_size > 25 THEN n.out ELSE 'N/A' END "
         f"AS number_of_people FROM part JOIN {sized('(SELECT p_partkey AS k, CAST(p_size AS VARCHAR) || ' + q(' people') + ' AS t FROM part)', 't', 'out')} n ON n.k = p_partkey"
     )
+    sql["extract_stored_pages"] = (
+        "SELECT page_id, CASE k WHEN 0 THEN 'Firm ' || page_id || ' Works' ELSE 'Union ' || page_id || ' Labs' END AS company_name, "
+        "CASE k WHEN 0 THEN 'Painter ' || page_id ELSE 'Welder' END AS job_role, CASE k WHEN 0 THEN (page_id % 90 + 2) || ' people' END AS employee_count_raw, "
+        "'dom_card' AS source_type FROM pages, (VALUES (0), (1)) t(k) WHERE contains(html, '</body>')"
+    )
+    made = (
+        f"SELECT p_partkey AS ingest_pos, CASE WHEN p_size > 25 THEN {_PART_COMPANY} ELSE 'Known ' || p_partkey % 40 || ' Corp' END AS company_name, "
+        "CASE WHEN p_size > 25 THEN p_name ELSE 'Role ' || p_name END AS job_role, CASE WHEN p_size > 25 THEN p_size || ' people' "
+        "WHEN s_suppkey IS NOT NULL THEN 'Team size: ' || s_suppkey * 7 END AS t FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 40 AND s_suppkey < 30"
+    )
+    sql["curated_with_pages"] = (
+        f"SELECT ingest_pos, company_name, job_role, number_of_people FROM {sized(f'({made})', 't')} WHERE {eligible('number_of_people')} AND {VALID}"
+    )
     people = "CAST(s_suppkey % 300 AS VARCHAR)"
     sql["company_size_once"] = with_more(
         f"page_sizes AS (SELECT * FROM {sized('(SELECT ' + q('https://jobs.example.com/company/') + ' || ' + views.SLUG + ' AS u, ' + q('Team size:  ') + ' || ' + people + ' AS t FROM supplier WHERE s_suppkey % 4 <> 1)', 't', 'size')})",

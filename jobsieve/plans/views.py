@@ -266,6 +266,18 @@ def part_pages(spark: SparkSession, sf_dir: str, html: str) -> DataFrame:
 MIXED = f"""CASE p_partkey % 5 WHEN 0 THEN {JSON_LD} WHEN 1 THEN {HYDRATION} WHEN 2 THEN {CARDS}
     WHEN 3 THEN {TABLES} ELSE {CARDS} || {TABLES} END"""
 
+# the given pages, with two job cards at the end of each body
+STORED_CARDS = """'<div><article class="job-card"><h3><a href="/job/' || CAST(page_id AS string) || '">Painter ' || CAST(page_id AS string)
+    || '</a></h3><span class="company-name">Firm ' || CAST(page_id AS string) || ' Works</span><span class="team-size">'
+    || CAST(page_id % 90 + 2 AS string) || ' people</span></article><article class="job-card"><h3>Welder</h3><div class="meta">Union '
+    || CAST(page_id AS string) || ' Labs &middot; Full-time</div></article></div>'"""
+
+
+def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embedded = F.concat(F.expr(STORED_CARDS), F.lit("</body>"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("</body>"), embedded).alias("html"))
+
+
 # chains of ten list pages; every page links to the following one
 CHAIN_URL = "'https://board.example.com/list?page=' || CAST(p_partkey AS string)"
 CHAIN = """CASE WHEN p_partkey % 10 = 9 THEN '<html><body><p>end</p></body></html>'
