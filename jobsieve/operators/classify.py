@@ -19,6 +19,8 @@ from jobsieve.operators.rules import (
     default_keyword_rules,
     default_role_rules,
 )
+from jobsieve.operators.spread import many_join, measured
+from jobsieve.operators.substrings import substring_join
 
 
 def keyword_hits(df: DataFrame, rules: Iterable[KeywordRule] | None = None) -> DataFrame:
@@ -42,9 +44,22 @@ def keyword_hits(df: DataFrame, rules: Iterable[KeywordRule] | None = None) -> D
     return lowered.withColumn("_hit", F.explode(F.expr(f"concat({marked})"))).drop("_lower")
 
 
-def keyword_match(df: DataFrame, rules: Iterable[KeywordRule] | None = None) -> DataFrame:
-    """`keyword_match`: one row per posting and keyword whose terms occur in the role."""
-    return keyword_hits(df, rules).select(*df.columns, "_hit.hit.*")
+def keyword_match(df: DataFrame, rules: Iterable[KeywordRule] | DataFrame | None = None) -> DataFrame:
+    """`keyword_match`: one row per posting and keyword whose terms occur in the role.
+
+    Rules may also be a table of any size, (category_id, category_name, keyword_pos, keyword, term): then the
+    distinct roles meet the terms in a substring join, and the postings meet the hits of their role.  Blank terms
+    of a table match nothing.
+    """
+    if not isinstance(rules, DataFrame):
+        return keyword_hits(df, rules).select(*df.columns, "_hit.hit.*")
+    keyword = ["category_id", "category_name", "keyword_pos", "keyword"]
+    termed = rules.select(*keyword, F.lower(F.trim("term")).alias("pattern"))
+    roles = df.select(F.lower("job_role").alias("text")).filter("text is not null").distinct()
+    found = substring_join(roles, termed.select("pattern").distinct())
+    hits, small = measured(found.join(termed, "pattern").select("text", *keyword).distinct())
+    met = many_join(df.withColumn("text", F.lower("job_role")), hits, "text", small)
+    return met.select(*df.columns, *keyword)
 
 
 def classify_role(c: Column, rules: Iterable[RoleRule] | None = None) -> Column:

@@ -9,9 +9,8 @@ from jobsieve.functions.dates import age_label_fine, from_source, normalize_publ
 from jobsieve.functions.headcount import parse_headcount, profile_size_from_html
 from jobsieve.functions.text import normalize_key
 from jobsieve.functions.urls import company_slug, in_scope, normalize_url, slug_from_url
-from jobsieve.operators.spread import first_by, lookup_join, many_join, measured
-
-_GRAM = 3  # letters by which slugs are looked up; shorter slugs by all of theirs
+from jobsieve.operators.spread import first_by, lookup_join
+from jobsieve.operators.substrings import substring_join
 
 
 def scan_profiles(profiles: DataFrame) -> DataFrame:
@@ -120,44 +119,11 @@ def unsized_companies(store: DataFrame, source: str, n: int = fixed.BACKFILL_COM
     return top.select("company_name", "postings", slug.alias("company_slug"))
 
 
-def _pieces(length: Column) -> Column:
-    """Distinct pieces of ``length`` letters of the column text."""
-    count = F.length("text") - length + 1
-    return F.when(
-        count > 0,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring("text", i, length))
-        ),
-    )
-
-
 def _best_by_url(urls: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Latest profile whose slug occurs in the URL, for any number of slugs.
-
-    Each slug is looked up by its rarest three-letter piece (a shorter one by itself), an
-    equi-join, and then checked in full.  A URL's pieces meet the slugs' pieces where the URL is read, as long
-    as the counted size of those allows a broadcast: only counts per piece and matches are shuffled.  Beyond
-    that a piece is split over sub-groups, so one that half of the URLs hold spreads.
-    """
-    slug_pieces = (
-        sizes.filter(F.col("company_slug") != "")
-        .withColumn("text", F.col("company_slug"))
-        .withColumn("piece", F.explode(_pieces(F.least(F.length("text"), F.lit(_GRAM)))))
-        .drop("text")
-    )
-    lengths = F.array(*[F.lit(k) for k in range(1, _GRAM + 1)])
-    url_pieces = urls.withColumn("piece", F.explode(F.flatten(F.transform(lengths, lambda k: F.coalesce(_pieces(k), F.array().cast("array<string>"))))))
-    wanted, small = measured(slug_pieces.select("piece").distinct())
-    held = url_pieces.select("piece").join(F.broadcast(wanted) if small else wanted, "piece", "left_semi")
-    frequency = held.groupBy("piece").count()
-    rarest, small = measured(
-        slug_pieces.join(frequency, "piece")
-        .groupBy("company_slug", "profile_pos", "employee_count")
-        .agg(F.min_by("piece", F.struct("count", "piece")).alias("piece"))
-    )
-    met = many_join(url_pieces, rarest, "piece", small).filter(F.contains("text", F.col("company_slug")))
+    """Latest profile whose slug occurs in the URL, for any number of slugs."""
+    patterns = sizes.filter(F.col("company_slug") != "").withColumnRenamed("company_slug", "pattern")
     best = F.max(F.struct("profile_pos", "employee_count"))
-    return met.groupBy("text").agg(best.alias("_by_url"))
+    return substring_join(urls, patterns).groupBy("text").agg(best.alias("_by_url"))
 
 
 def backfill_headcount(store: DataFrame, profiles: DataFrame, source: str) -> DataFrame:

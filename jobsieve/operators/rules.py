@@ -48,6 +48,14 @@ def rules_frame(spark: SparkSession, rules: Iterable[KeywordRule]) -> DataFrame:
     )
 
 
+def terms_frame(spark: SparkSession, rules: Iterable[KeywordRule]) -> DataFrame:
+    """The rules as a table, one row per term."""
+    return spark.createDataFrame(
+        [(*r[:4], term) for r in rules for term in r.terms],
+        "category_id string, category_name string, keyword_pos int, keyword string, term string",
+    )
+
+
 def any_term_sql(lower: str, terms: Iterable[str]) -> str:
     """SQL test: the lower-case text contains one of the trimmed terms."""
     trimmed = sorted({t.strip().lower() for t in terms})

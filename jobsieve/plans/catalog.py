@@ -18,6 +18,7 @@ from jobsieve.operators import (
     store,
     topk,
 )
+from jobsieve.operators.rules import default_keyword_rules, terms_frame
 from jobsieve.plans import views
 from jobsieve.plans.curation import curate
 from jobsieve.session import new_path
@@ -610,6 +611,18 @@ def keyword_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_key", "category_id", "keyword_pos", "keyword")
 
 
+@query("keyword_match_table")
+def keyword_match_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as a table: the default ones, and one per nation, whose terms are the words of part names that start like it."""
+    nations = views.table(spark, sf_dir, "nation").select(
+        F.lit("nations").alias("category_id"), F.lit("Nations").alias("category_name"), F.col("n_nationkey").cast("int").alias("keyword_pos"),
+        F.col("n_name").alias("keyword"), F.concat(F.lit(" "), F.substring("n_name", 1, 2), F.lit(" ")).alias("term"),
+    )
+    table = terms_frame(spark, default_keyword_rules()).unionByName(nations)
+    rows = classify.keyword_match(views.postings(spark, sf_dir), table)
+    return rows.select("row_key", "category_id", "keyword_pos", "keyword")
+
+
 @query("distinct_in_category")
 def distinct_in_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedupe.distinct_in_category(classify.keyword_match(views.postings(spark, sf_dir)))

@@ -739,6 +739,10 @@ def oracle_queries() -> dict[str, str]:
     sql["keyword_match"] = with_more(RULES, TERMS, matches("postings")) + (
         "SELECT row_key, category_id, keyword_pos, keyword FROM matched"
     )
+    sql["keyword_match_table"] = sql["keyword_match"] + (
+        " UNION ALL SELECT row_key, 'nations' AS category_id, n_nationkey AS keyword_pos, n_name AS keyword FROM postings "
+        "JOIN nation ON contains(lower(job_role), lower(substr(n_name, 1, 2)))"
+    )
     sql["distinct_in_category"] = with_more(RULES, TERMS, matches("postings"), DISTINCT) + (
         "SELECT row_key, category_id, keyword, company_name, job_role FROM per_category"
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from jobsieve import schema
 from jobsieve.operators import classify, dedupe, enrich, filters, metrics, route, spread, store, topk
+from jobsieve.operators.rules import KeywordRule, terms_frame
 
 POSTING = (
     "ingest_pos bigint, company_name string, job_role string, number_of_people string, job_url string, "
@@ -232,3 +233,14 @@ def test_application_numbers_do_not_change_on_ties(spark):
     one = {r.url: r.row_number for r in topk.application_rownum(apps).collect()}
     two = {r.url: r.row_number for r in topk.application_rownum(apps.repartition(7, "name")).collect()}
     assert one == two and sorted(one.values()) == list(range(1, 31))
+
+
+def test_rule_tables_equal_rule_lists(spark, broadcasts):
+    rules = [KeywordRule("a", "A", 0, "Py", ("python", " Data ")), KeywordRule("a", "A", 1, "One", ("q",)), KeywordRule("b", "B", 0, "None", ("zzzz", "engineer"))]
+    rows = [posting(i, role=r) for i, r in enumerate(["Python Data Engineer", "QA", "python", None, "", "Cook"] + ["Data Engineer"] * 40)]
+    df = frame(spark, rows)
+    by_list = classify.keyword_match(df, rules)
+    by_table = classify.keyword_match(df, terms_frame(spark, rules))
+    assert by_list.columns == by_table.columns
+    assert sorted(map(repr, by_list.collect())) == sorted(map(repr, by_table.collect()))
+    assert by_list.count() == 2 + 1 + 1 + 80
