@@ -219,6 +219,13 @@ def snapshot_table(
     return name
 
 
-def read_snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """One version of the store."""
-    return spark.read.schema(schema.STORE).parquet(snapshot_path(path, version))
+def read_snapshot(spark: SparkSession, path: str, version: int, buckets: int = 0) -> DataFrame:
+    """One version of the store.
+
+    ``buckets`` says that it was written with so many: then it is read as a bucketed table, which this session's
+    catalog learns of if need be, and a merge by fingerprint does not shuffle it (with fewer buckets than
+    spark.sql.shuffle.partitions, Spark prefers a shuffle).
+    """
+    if not buckets:
+        return spark.read.schema(schema.STORE).parquet(snapshot_path(path, version))
+    return spark.table(snapshot_table(spark, path, version, buckets, T.StructType.fromDDL(schema.STORE)))

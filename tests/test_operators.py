@@ -90,6 +90,26 @@ def test_snapshot_versions_and_buckets(spark, tmp_path):
     assert "Exchange hashpartitioning" not in merged._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bucketed_snapshots_are_merged_without_a_shuffle_of_the_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = store.upsert_postings(frame(spark, [posting(i, f"Firm {i}") for i in range(50)]), spark.createDataFrame([], schema.STORE), "2026-03-10 00:00:00")[0]
+    store.write_snapshot(rows, path, 1, buckets=8)
+    held = store.read_snapshot(spark, path, 1, buckets=8)
+    assert sorted(map(repr, held.collect())) == sorted(map(repr, store.read_snapshot(spark, path, 1).collect()))
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        merged, _ = store.upsert_postings(frame(spark, [posting(60, "Firm 7")]), held, "2026-03-11 00:00:00")
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        scan = next(k for k, line in enumerate(plan.split("\n")) if "SelectedBucketsCount: 8 out of 8" in line)
+        above = [line for line in plan.split("\n")[:scan] if "Join" in line or "Exchange" in line]
+        assert "Join" in above[-1]  # nothing is exchanged between the scan and the join
+    finally:
+        spark.conf.set(limit, before)
+    assert merged.count() == 50
+
+
 def test_align_schema_adds_columns(spark):
     old = spark.createDataFrame([("f", 1773100800)], "fingerprint string, published_at bigint")
     row = store.align_schema(old).first()
