@@ -1,8 +1,8 @@
 """License scans: set-similarity join of text blocks with license templates.
 
 Blocks are lines and, as sentences wrap, all runs of words across lines that are WINDOW times as long as
-a template.  Only the runs around a template's rarest words are looked at.  A template is found in a block when the block holds at least CONTAINED percent of the template's
-distinct words.  All words of the templates are put in order of their frequency in the corpus,
+a template.  Only the runs around a template's rarest words are looked at.  A template is found in a block when the
+block holds at least CONTAINED percent of the template's distinct words, and all of its telling words.  All words of the templates are put in order of their frequency in the corpus,
 rarest first.  A block that holds enough of a template must hold one of the template's first
 |T| - needed + 1 words (prefix filter), have at least as many words as needed (length filter), and
 have enough words left behind the first common one (positional filter).  What passes is verified.
@@ -29,20 +29,20 @@ BASE = {
     "mit license": "mit",
 }
 
-# License sentences, with the label of each.
+# License sentences, with the label of each and the words that tell it from the others.
 TEMPLATES = (
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-2.0", "This program is free software; you can redistribute it under the GNU General Public License, version 2."),
-    ("lgpl", "This library is licensed under the GNU Lesser General Public License."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "3")),
+    ("gpl-2.0", "This program is free software; you can redistribute it under the GNU General Public License, version 2.", ("gnu", "2")),
+    ("lgpl", "This library is licensed under the GNU Lesser General Public License.", ("gnu", "lesser")),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache", "2")),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0.", ("cc", "by", "nc")),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("creative", "commons", "attribution")),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0.", ("cc", "by", "sa")),
+    ("mit", "Released under the MIT License.", ("mit", "license")),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", ("permission", "granted", "copy")),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted.", ("redistribution", "permitted")),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "2")),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered",)),
 )
 
 _IN_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # in any text
@@ -92,22 +92,22 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     Words are of the text with A-Z lower-cased.  n_base counts all places of the BASE phrases, which may
     span lines; first_word and last_word are the least and greatest start of one, else null.  labels adds
     the labels of the templates that a line, or WINDOW times the template's words in a row across lines, holds to
-    CONTAINED percent.  score is the greatest containment found, 1 where a base phrase stands, else 0.
+    CONTAINED percent, the telling words included.  score is the greatest containment found, 1 where a base phrase stands, else 0.
 
     Rows without id and repeated rows are scanned like any other.  A null text is empty: no words, no
     labels, score 0.  Lines without words match nothing.  Extra columns are ignored.  An empty table
     gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sets = [(label, template_words(text), window(text)) for label, text in templates]
-    widest = max((width for _, _, width in sets), default=1)
-    order = _order(docs, sorted({w for _, words, _ in sets for w in words}))
+    sets = [(label, template_words(text), window(text), list(telling)) for label, text, telling in templates]
+    widest = max((width for _, _, width, _ in sets), default=1)
+    order = _order(docs, sorted({w for _, words, _, _ in sets for w in words}))
     rank = {w: k for k, w in enumerate(order)}
     index = []
-    for number, (label, words, width) in enumerate(sets):
+    for number, (label, words, width, telling) in enumerate(sets):
         least = needed(len(words))
         for place, word in enumerate(sorted(words, key=rank.get)[: len(words) - least + 1]):
-            index.append((word, number, label, sorted(words, key=rank.get), place, least, width))
+            index.append((word, number, label, sorted(words, key=rank.get), place, least, width, telling))
     prefix = sorted({row[0] for row in index})
     base_words = sorted({phrase.split(" ")[0] for phrase in BASE})
 
@@ -142,7 +142,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         .withColumn("line_words", F.array_distinct(_words(ascii_lower(F.col("line")))))
         .select("row", "block", F.size("line_words").alias("n"), F.array_intersect(vocabulary, "line_words").alias("known"))
     )
-    schema = "word string, template int, label string, words array<string>, place int, least int, width int"
+    schema = "word string, template int, label string, words array<string>, place int, least int, width int, telling array<string>"
     lookup = docs.sparkSession.createDataFrame(index, schema)
     candidates = (
         blocks.select("row", "block", "n", "known", F.posexplode("known").alias("own_place", "word"))
@@ -151,13 +151,17 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         .where(1 + F.least(F.size("words") - F.col("place") - 1, F.size("known") - F.col("own_place") - 1) >= F.col("least"))
     )
     held = F.size(F.array_intersect("words", "known"))
-    in_lines = candidates.where(held >= F.col("least")).select("row", "label", (held / F.size("words")).alias("held"))
+    told = F.size(F.array_except("telling", "known")) == 0
+    in_lines = candidates.where((held >= F.col("least")) & told).select("row", "label", (held / F.size("words")).alias("held"))
     runs = scanned.where("runs is not null").select("row", F.explode("runs").alias("run")).selectExpr("row", "run.word", "run.at", "run.words as own")
     starts = "sequence(greatest(at - width + 1, 1), at)"  # of the runs that hold the rare word
     across = (
         runs.join(F.broadcast(lookup), "word")  # the fixed templates
-        .where(F.size(F.array_intersect("words", "own")) >= F.col("least"))
-        .withColumn("most", F.expr(f"array_max(transform({starts}, s -> size(array_intersect(words, slice(own, s, width)))))"))
+        .where(F.size(F.array_intersect("words", "own")) >= F.col("least")).where(F.size(F.array_except("telling", "own")) == 0)
+        .withColumn("most", F.expr(
+            f"array_max(transform(transform({starts}, s -> slice(own, s, width)), r -> "
+            "if(size(array_except(telling, r)) = 0, size(array_intersect(words, r)), 0)))"
+        ))
         .where("most >= least").select("row", "label", (F.col("most") / F.size("words")).alias("held"))
     )
     found = (

@@ -17,8 +17,8 @@ def license_sql() -> str:
         places.append(f"list_filter(range(0, greatest(len(w) - {len(words)} + 1, 0)), lambda i: {same})")
     labels = list(licenses.BASE.values())
     templates = ", ".join(
-        f"('{label}', {licenses.template_words(text)!r}, {licenses.needed(len(licenses.template_words(text)))})"
-        for label, text in licenses.TEMPLATES
+        f"('{label}', {licenses.template_words(text)!r}, {licenses.needed(len(licenses.template_words(text)))}, {licenses.window(text)}, {list(telling)!r})"
+        for label, text, telling in licenses.TEMPLATES
     )
     has = ", ".join(f"CASE WHEN len(at{k}) > 0 THEN '{label}' END" for k, label in enumerate(labels))
     every = " || ".join(f"at{k}" for k in range(len(labels)))
@@ -31,11 +31,16 @@ WITH d AS (
   SELECT r, doc_id, len(w) AS n_words, {', '.join(f'{x} AS at{k}' for k, x in enumerate(places))} FROM w
 ), b AS (
   SELECT r, doc_id, n_words, {every} AS s, list_filter([{has}], lambda x: x IS NOT NULL) AS base FROM p
-), templates(label, words, least) AS (VALUES {templates}),
+), templates(label, words, least, width, telling) AS (VALUES {templates}),
 l AS (
   SELECT r, list_distinct(regexp_extract_all(line, '{pattern}')) AS lw FROM (SELECT r, unnest(string_split(lt, chr(10))) AS line FROM d)
 ), m AS (
-  SELECT r, label, len(list_intersect(words, lw)) AS held, len(words) AS size, least FROM l, templates
+  SELECT r, label, len(list_intersect(words, lw)) AS held, len(words) AS size, least FROM l JOIN templates ON list_has_all(lw, telling)
+  UNION ALL
+  SELECT r, label, len(list_intersect(words, run)), len(words), least FROM (
+    SELECT r, label, words, least, telling, unnest(list_transform(range(1, len(w) + 1), lambda s: list_distinct(w[s:s + width - 1]))) AS run
+    FROM w JOIN templates ON list_has_all(w, telling)
+  ) WHERE list_has_all(run, telling)
 ), f AS (
   SELECT r, list(DISTINCT label) AS more, max(held / size) AS held FROM m WHERE held >= least GROUP BY r
 )

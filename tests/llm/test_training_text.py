@@ -235,6 +235,20 @@ def test_license_places_and_templates(spark, documents):
     assert (got[2].n_words, got[2].n_base, got[2].first_word, got[2].labels, got[2].score) == (2, 0, None, "", 0)
 
 
+def test_templates_need_their_telling_words(spark, documents):
+    texts = {
+        "Licensed under CC BY 4.0": "cc-by",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl",
+        "It was released under the license of its author": "",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
+        "This library is licensed\nunder the GNU Lesser General Public License.": "lgpl",
+        "Released under\nthe MIT License.": "mit",
+    }
+    got = by_id(licenses.scan_licenses(documents(*enumerate(texts))))
+    assert [got[i].labels for i in range(len(texts))] == list(texts.values())
+
+
 def test_wrapped_licenses_are_found(spark, documents):
     wrapped = {
         "bsd": "x\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted.",
