@@ -44,37 +44,54 @@ def _with_places(items: str, digest: str, fields: str, cells: int) -> str:
     return f"transform({items}, x -> struct({fields}, {places}))"
 
 
-def sketch_text(digests: str, cells: int = BASE) -> Column:
-    """The cells of a sketch as text: count:digests:checks for each cell in turn.
+def sketch_cells(digests: str, cells: int = BASE) -> Column:
+    """The cells of a sketch, each (n, k, s): how many digests, their exclusive or, and that of their check sums.
 
     The digests are bound to ``ds`` first, or Catalyst might compute them again for every cell.
     """
     add = "struct(acc.n + 1 as n, acc.k ^ x.d as k, acc.s ^ x.s as s)"
     rows = [
         f"transform(sequence({k * cells}, {(k + 1) * cells - 1}), c -> aggregate(filter(ds, x -> x.p{k} = c), struct(0 as n, 0L as k, 0L as s), "
-        f"(acc, x) -> {add}, acc -> concat_ws(':', acc.n, acc.k, acc.s)))"
+        f"(acc, x) -> {add}))"
         for k in range(3)
     ]
     items = _with_places(digests, "x", f"x as d, {_CHECK.format('x')} as s", cells)
-    return F.expr(f"transform(array({items}), ds -> array_join(concat({', '.join(rows)}), ','))[0]")
+    return F.expr(f"transform(array({items}), ds -> concat({', '.join(rows)}))[0]")
 
 
-def _peeled(items: str, cells: int) -> str:
-    """How many digests peeling recovers from the signed items (d, n, s); null if it gets stuck."""
-    left = "z -> z.n != 0 or z.k != 0 or z.s != 0"
+def sketch_text(cells: str) -> Column:
+    """The cells as text: count:digests:checks for each in turn."""
+    return F.expr(f"array_join(transform({cells}, z -> concat_ws(':', z.n, z.k, z.s)), ',')")
+
+
+_LEFT = "z -> z.n != 0 or z.k != 0 or z.s != 0"
+
+
+def _subtracted(left: str, right: str) -> str:
+    """The cells that are left when one sketch is taken from another, with their numbers."""
+    less = f"zip_with({left}, {right}, (x, y) -> struct(x.n - y.n as n, x.k ^ y.k as k, x.s ^ y.s as s))"
+    return f"filter(transform({less}, (z, i) -> struct(i as c, z.n as n, z.k as k, z.s as s)), {_LEFT})"
+
+
+def _sketched(items: str, cells: int) -> str:
+    """The cells that are left of a larger sketch of the signed items (d, n, s) of two documents."""
     sums = [
         f"transform(array_distinct(transform(ds, x -> x.p{k})), c -> aggregate(filter(ds, x -> x.p{k} = c), struct(c as c, 0 as n, 0L as k, 0L as s), "
         f"(acc, x) -> struct(acc.c as c, acc.n + x.n as n, acc.k ^ x.d as k, acc.s ^ x.s as s)))"
         for k in range(3)
     ]
     placed = _with_places(items, "x.d", "x.d as d, x.n as n, x.s as s", cells)
-    begin = f"filter(transform(array({placed}), ds -> concat({', '.join(sums)}))[0], {left})"
+    return f"filter(transform(array({placed}), ds -> concat({', '.join(sums)}))[0], {_LEFT})"
+
+
+def _peeled(begin: str, cells: int) -> str:
+    """How many digests peeling recovers from the cells of a difference; null if it gets stuck."""
     places = ", ".join(_place("z.k", cells, k) for k in range(3))
     single = f"abs(z.n) = 1 and z.s = {_CHECK.format('z.k')}"
     singles = f"array_distinct(transform(filter({{0}}, z -> {single}), z -> struct(z.n as n, z.k as k, z.s as s, array({places}) as ps)))"
     without = (
         f"filter(transform(st.cells, z -> aggregate(filter(st.singles, p -> array_contains(p.ps, z.c)), z, "
-        f"(w, p) -> struct(w.c as c, w.n - p.n as n, w.k ^ p.k as k, w.s ^ p.s as s))), {left})"
+        f"(w, p) -> struct(w.c as c, w.n - p.n as n, w.k ^ p.k as k, w.s ^ p.s as s))), {_LEFT})"
     )
     state = "transform(array({0}), cs -> struct(cs as cells, " + singles.format("cs") + " as singles, cast({1} as int) as found))[0]"
     step = f"if(size(st.singles) = 0, st, {state.format(without, 'st.found + size(st.singles)')})"
@@ -125,28 +142,34 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
 
 
-def _likeness(left: str, right: str) -> Column:
+def _likeness(left: str, right: str, cells: tuple[str, str]) -> Column:
     signed = [f"transform({side}, d -> struct(d as d, {sign} as n, {_CHECK.format('d')} as s))" for side, sign in ((left, 1), (right, -1))]
     # the last way holds for digests that share all three places in every size
     exact = "size(filter(own, x -> not exists(own, y -> y.d = x.d and y.n != x.n)))"
-    found = f"coalesce({', '.join(_peeled('own', m) for m in SIZES)}, {exact})"
+    found = f"coalesce({', '.join(_peeled(_sketched('own', m), m) for m in SIZES)}, {exact})"
     parts = f"cast(greatest(1, least({MOST_PARTS}, ceil(size(its) / {PART}))) as int)"
     each = f"transform(array(filter(its, x -> pmod(x.d div 1009, {parts}) = part)), own -> {found})[0]"
-    total = f"aggregate(transform(sequence(0, {parts} - 1), part -> {each}), 0, (sum, n) -> sum + n)"
-    return F.expr(f"transform(array(concat({', '.join(signed)})), its -> if(size(its) = 0, 1.0D, 1 - {total} / size(its)))[0]")
+    larger = f"aggregate(transform(sequence(0, {parts} - 1), part -> {each}), 0, (sum, n) -> sum + n)"
+    total = f"coalesce({_peeled(_subtracted(*cells), BASE)}, transform(array(concat({', '.join(signed)})), its -> {larger})[0])"
+    both = f"(size({left}) + size({right}))"
+    return F.expr(f"if({both} = 0, 1.0D, 1 - {total} / {both})")
 
 
 def likeness(rows: DataFrame, keys: list[str], versions: dict[str, tuple[str, str]]) -> DataFrame:
-    """For each name in ``versions`` the likeness of two digest arrays: 1 - |difference| / (|a| + |b|); 1 if both are empty."""
-    return rows.select(*keys, *[_likeness(a, b).alias(n) for n, (a, b) in versions.items()])
+    """For each name in ``versions`` the likeness of two fingerprints: 1 - |difference| / (|a| + |b|); 1 if both are empty.
+
+    A version names two columns of digests; their base sketches are in the columns of that name with _cells.  These
+    are subtracted and peeled.  Where that gets stuck, both documents are sketched again, larger.
+    """
+    return rows.select(*keys, *[_likeness(a, b, (f"{a}_cells", f"{b}_cells")).alias(n) for n, (a, b) in versions.items()])
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row that has an id.
 
     The edited text has its last floor(n_chars / 2) characters replaced by the first as many (or all)
-    of the next document's, by ascending id.  A fingerprint is the digest of the base sketch; likeness
-    is the share of digests that peeling does not find to differ.
+    of the next document's, by ascending id.  A fingerprint is the base sketch as text, all its cells, see `sketch_text`; likeness
+    is the share of digests that peeling the difference of two sketches does not find to differ.
 
     Rows without id are left out.  A null text is empty; two empty texts have likeness 1.  Rows that
     repeat an id follow each other.  A single document is its own next one.  Extra columns are ignored.
@@ -159,6 +182,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("edited")).alias("cut"),
         paragraph_digests(F.col("next_text")).alias("next"),
     )
-    marked = texts.withColumn("fingerprint", F.sha2(sketch_text("own"), 256)).withColumn("edited_fingerprint", F.sha2(sketch_text("cut"), 256))
+    sketched = texts.select("*", *[sketch_cells(name).alias(f"{name}_cells") for name in ("own", "cut", "next")])
+    marked = sketched.select("*", sketch_text("own_cells").alias("fingerprint"), sketch_text("cut_cells").alias("edited_fingerprint"))
     keys = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
     return likeness(marked, keys, {"near_edited": ("own", "cut"), "near_next": ("own", "next")})

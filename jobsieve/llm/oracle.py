@@ -76,7 +76,7 @@ WITH o AS (
 ), g AS (
   SELECT r, v, c, count(*) AS n, bit_xor(d) AS d, bit_xor(k) AS k FROM c GROUP BY ALL
 ), f AS (
-  SELECT i.r, i.v, sha256(string_agg(concat_ws(':', coalesce(g.n, 0), coalesce(g.d, 0), coalesce(g.k, 0)), ',' ORDER BY i.c)) AS fp
+  SELECT i.r, i.v, string_agg(concat_ws(':', coalesce(g.n, 0), coalesce(g.d, 0), coalesce(g.k, 0)), ',' ORDER BY i.c) AS fp
   FROM (SELECT r, v, c FROM o, (VALUES ('own'), ('cut')) AS vs(v), range({3 * cells}) AS cs(c)) AS i LEFT JOIN g USING (r, v, c) GROUP BY i.r, i.v
 )
 SELECT doc_id, n AS n_chars, sha256(et) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,

@@ -163,8 +163,10 @@ def test_peeling_recovers_exact_differences(spark, documents):
     lines = [f"line {k} {prose(k, 4)}" for k in range(400)]
     texts = ["\n".join(lines), "\n".join(lines[:200] + ["new"] * 3 + lines[250:]), "", "a", "a"]
     df = documents(*enumerate(texts)).select("doc_id", fingerprints.paragraph_digests(F.col("text")).alias("own"))
+    df = df.withColumn("cells", fingerprints.sketch_cells("own"))
     pairs = df.alias("x").join(df.alias("y"), F.col("x.doc_id") < F.col("y.doc_id")).select(
-        F.col("x.doc_id").alias("i"), F.col("y.doc_id").alias("j"), F.col("x.own").alias("a"), F.col("y.own").alias("b")
+        F.col("x.doc_id").alias("i"), F.col("y.doc_id").alias("j"), F.col("x.own").alias("a"), F.col("y.own").alias("b"),
+        F.col("x.cells").alias("a_cells"), F.col("y.cells").alias("b_cells"),
     )
     got = {(r.i, r.j): r.near for r in fingerprints.likeness(pairs, ["i", "j"], {"near": ("a", "b")}).collect()}
     sets = [set(t.split("\n")) - {""} for t in texts]
