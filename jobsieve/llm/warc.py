@@ -99,10 +99,10 @@ def derive(source: DataFrame) -> DataFrame:
     )
 
 
-def warc_text(records: DataFrame) -> DataFrame:
-    """(page_id, record): the records as they stand in a WARC file."""
+def warc_text(records: DataFrame, at: str) -> DataFrame:
+    """(page_id, record): the records as they stand in a WARC file; ``at`` is the moment of the derivation, as 2026-01-31T12:00:00Z."""
     head = F.concat(
-        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.col("record_type"), F.lit(f"{CRLF}WARC-Record-ID: "), F.col("record_id"),
+        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.col("record_type"), F.lit(f"{CRLF}WARC-Date: {at}{CRLF}WARC-Record-ID: "), F.col("record_id"),
         F.lit(f"{CRLF}WARC-Refers-To: "), F.col("refers_to"), F.lit(f"{CRLF}WARC-Target-URI: "), F.col("target_uri"),
         F.lit(f"{CRLF}WARC-Block-Digest: "), F.col("block_digest"), F.lit(f"{CRLF}WARC-Payload-Digest: "), F.col("payload_digest"),
         F.lit(f"{CRLF}Content-Type: "), F.col("content_type"), F.lit(f"{CRLF}Content-Length: "), F.col("content_length").cast("string"),

@@ -274,8 +274,26 @@ def test_warc_records_are_linked(spark):
     assert text.content == "Hi\nthere you" and text.payload_digest == "sha1:" + hashlib.sha1(html.encode()).hexdigest()
     assert "title: A & B\r\nlanguage: en\r\n" in fields.content and "outlink: /x\r\n" in fields.content
     assert text.source_headers == fields.source_headers == source[1].headers and got[2, "conversion"].content == ""
-    record = warc.warc_text(warc.derive(warc.responses(pages))).first().record
-    assert record.startswith("WARC/1.1\r\nWARC-Type: ")
+    record = warc.warc_text(warc.derive(warc.responses(pages)), "2026-03-10T15:30:00Z").where("page_id = 1").first().record
+    head, body = record.split("\r\n\r\n", 1)
+    names = [line.split(": ")[0] for line in head.split("\r\n")]
+    assert names == ["WARC/1.1", "WARC-Type", "WARC-Date", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Block-Digest",
+                     "WARC-Payload-Digest", "Content-Type", "Content-Length"]
+    assert len(body.encode()) == int(head.rsplit(" ", 1)[1]) + 4 and "\r\nWARC-Date: 2026-03-10T15:30:00Z\r\n" in head
+
+
+def test_warc_records_of_awkward_pages(spark):
+    schema = "page_id long, url string, html string, headers string, payload string, content string, record_id string"
+    rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, "u", "x"), (3, None, None), (4, "", ""), (5, "u", "<b>" + "long " * 100_000)]
+    pages = spark.createDataFrame([(*r, None, None, None, "own") for r in rows], schema)
+    got = warc.derive(warc.responses(pages)).collect()
+    assert len(got) == 2 * len(rows)
+    assert len({r.record_id for r in got}) == 2 * (len(rows) - 1)  # equal responses give equal records
+    texts = {(r.page_id, r.content) for r in got if r.record_type == "conversion" and r.page_id != 5}
+    assert texts == {(1, "a"), (None, "x"), (3, ""), (4, "")}
+    long = next(r for r in got if r.page_id == 5 and r.record_type == "conversion")
+    assert long.content == ("long " * 100_000).strip() and long.content_length == len(long.content)
+    assert warc.derive(warc.responses(pages.where("false"))).collect() == []
 
 
 def calls(spark):
