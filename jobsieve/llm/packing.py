@@ -6,10 +6,10 @@ corpus needs, and each group is packed by one task.  A group holds about a thous
 sequences of the whole mix of lengths, so the groups together lose about one sequence in a
 thousand against one single search.
 
-In a group, best-fit decreasing makes the first sequences.  Then the emptiest one hands its
+In a group, best-fit decreasing makes the first sequences.  Then the sequences, emptiest first, hand their
 pieces over: by a move into a gap, by an exchange of one piece for a shorter one, or of two
-for one, or one for two.  Each step raises the sum of squared fills, which is bounded, so
-the search ends.
+for one, or one for two; all pairs are looked up in sorted sums.  Each step raises the sum of squared fills, which is bounded, so
+the search ends: when a pass over all sequences changes nothing, or no fewer can hold the tokens.
 """
 
 from __future__ import annotations
@@ -155,71 +155,100 @@ def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
 
 
 def improve(lengths: list[int], bins: list[list[int]], limit: int) -> list[list[int]]:
-    """Empty as many bins as moves and exchanges that raise the squared fill can."""
-    size = np.array(lengths, np.int64)
-    place = np.empty(len(size), np.int64)
-    for number, items in enumerate(bins):
-        place[items] = number
-    fill = np.bincount(place, weights=size, minlength=len(bins)).astype(np.int64)
-    fewest = -(-int(size.sum()) // limit)
-    alive = int((fill > 0).sum())
-
-    def shift(items, to: int) -> None:
-        for item in items:
-            fill[place[item]] -= size[item]
-            fill[to] += size[item]
-            place[item] = to
-
-    while alive > fewest:
-        target = int(np.where(fill > 0, fill, limit + 1).argmin())
-        own = np.flatnonzero(place == target)
-        own = own[np.argsort(-size[own], kind="stable")]
-        gap = np.where((fill > 0) & (np.arange(len(fill)) != target), limit - fill, -1)
-        others = np.flatnonzero((place != target) & (gap[place] > 0))
-        moved = _one_step(size, place, fill, gap, own, others, target)
-        if moved is None:
-            break
-        for items, to in moved:
-            shift(items, to)
-        alive -= int(fill[target] == 0)
-    final: dict[int, list[int]] = {}
-    for item, number in enumerate(place.tolist()):
-        final.setdefault(number, []).append(item)
-    return list(final.values())
-
-
-def _one_step(size, place, fill, gap, own, others, target):
-    """The best next step as [(items, to bin), ...], or None."""
-    for item in own:  # a move into the tightest gap
-        fits = np.flatnonzero(gap >= size[item])
-        if len(fits):
-            return [([item], int(fits[gap[fits].argmin()]))]
-    room, base = gap[place[others]], fill[place[others]] - fill[target]
-    best, step = 0, None
-    for k, item in enumerate(own):
-        choices = [([item], int(size[item]))] + [([item, b], int(size[item] + size[b])) for b in own[k + 1 : k + 9]]
-        for items, given in choices:  # one or two pieces for one shorter piece
-            more = given - size[others]
-            gain = np.where((more > 0) & (more <= room) & (base + more > 0), more, 0)
-            at = int(gain.argmax()) if len(gain) else 0
-            if len(gain) and gain[at] > best:
-                best, step = int(gain[at]), (items, [others[at]], int(place[others[at]]))
-    if step is None and len(others):  # one piece for two shorter ones of a bin
-        order = others[np.lexsort((size[others], place[others]))]
-        pair = place[order[1:]] == place[order[:-1]]
-        two = (size[order[1:]] + size[order[:-1]])[pair]
-        left, right = order[:-1][pair], order[1:][pair]
-        for item in own:
-            more = size[item] - two
-            bins = place[left]
-            gain = np.where((more > 0) & (more <= gap[bins]) & (fill[bins] - fill[target] + more > 0), more, 0)
-            if len(gain) and gain.max() > best:
-                at = int(gain.argmax())
-                best, step = int(gain[at]), ([item], [left[at], right[at]], int(bins[at]))
-    if step is None:
-        return None
-    given, taken, to = step
-    return [(taken, target), (given, to)]
+    """Empty as many bins as moves and exchanges that raise the squared fill can.
+
+    The bins hand their pieces over in turn, the emptiest first, until as few are left as the total length needs, or a
+    whole pass over all bins finds no step.
+    """
+    search = _Search(lengths, bins, limit)
+    fewest = -(-sum(lengths) // limit)
+    found = True
+    while found and search.used() > fewest:
+        found = False
+        for target in np.argsort(search.fill, kind="stable").tolist():
+            while search.fill[target] and search.step(target):
+                found = True
+            if found and not search.fill[target]:
+                break  # emptied: begin with the emptiest again
+    return [sorted(items) for items in search.held if items]
+
+
+class _Search:
+    """Bins and their pieces, with the steps that raise the sum of squared fills."""
+
+    def __init__(self, lengths: list[int], bins: list[list[int]], limit: int):
+        self.size, self.limit = np.array(lengths, np.int64), limit
+        self.held = [set(items) for items in bins]
+        self.place = np.empty(len(lengths), np.int64)
+        for number, items in enumerate(bins):
+            self.place[items] = number
+        self.fill = np.bincount(self.place, weights=self.size, minlength=len(bins)).astype(np.int64)
+        self.pairs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def used(self) -> int:
+        return int((self.fill > 0).sum())
+
+    def _swap(self, given: list[int], taken: list[int], target: int, to: int) -> bool:
+        for items, a, b in ((given, target, to), (taken, to, target)):
+            for item in items:
+                self.held[a].remove(item)
+                self.held[b].add(item)
+                self.place[item] = b
+                self.fill[a] -= self.size[item]
+                self.fill[b] += self.size[item]
+        self.pairs.pop(target, None)
+        self.pairs.pop(to, None)
+        return True
+
+    def _pairs(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of two pieces of a bin, each sum once and ascending, with such pieces."""
+        if number not in self.pairs:
+            items = np.array(sorted(self.held[number]), np.int64)
+            _, first, count = np.unique(self.size[items], return_index=True, return_counts=True)
+            twice = [np.flatnonzero(self.size[items] == self.size[items[k]])[1] for k in first[count > 1]]
+            some = items[np.sort(np.concatenate((first, np.array(twice, np.int64))))]  # two pieces of a length stand for all
+            left, right = np.triu_indices(len(some), 1)
+            sums, at = np.unique(self.size[some[left]] + self.size[some[right]], return_index=True)
+            self.pairs[number] = sums, some[left[at]], some[right[at]]
+        return self.pairs[number]
+
+    def step(self, target: int) -> bool:
+        """Take the best step that hands pieces of ``target`` over, if there is one."""
+        own = np.array(sorted(self.held[target], key=lambda i: (self.size[i], i)), np.int64)
+        gap = np.where((self.fill > 0) & (np.arange(len(self.fill)) != target), self.limit - self.fill, -1)
+        rise = self.fill - self.fill[target]  # a gain of more than -rise raises the squared fill
+        for item in own[::-1]:  # a move into the tightest gap
+            fits = np.flatnonzero((gap >= self.size[item]) & (rise + self.size[item] > 0))
+            if len(fits):
+                return self._swap([int(item)], [], target, int(fits[gap[fits].argmin()]))
+        sums, left, right = self._pairs(target)
+        given = np.concatenate((self.size[own], sums))  # one piece, or two
+        order = np.argsort(given, kind="stable")
+        others = np.flatnonzero(gap[self.place] > 0)
+        at, more = self._largest(given[order], self.size[others], gap[self.place[others]], rise[self.place[others]])
+        if len(others) and more.max() > 0:  # for one shorter piece
+            best = int(more.argmax())
+            k = int(order[at[best]])
+            items = [int(own[k])] if k < len(own) else [int(left[k - len(own)]), int(right[k - len(own)])]
+            return self._swap(items, [int(others[best])], target, int(self.place[others[best]]))
+        numbers = np.flatnonzero(gap > 0).tolist()
+        parts = [self._pairs(n) for n in numbers]
+        where = np.repeat(np.array(numbers, np.int64), [len(p[0]) for p in parts])
+        if not len(where):
+            return False
+        sums, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at, more = self._largest(self.size[own], sums, gap[where], rise[where])
+        if more.max() <= 0:
+            return False
+        best = int(more.argmax())  # one piece for two shorter ones
+        return self._swap([int(own[at[best]])], [int(left[best]), int(right[best])], target, int(where[best]))
+
+    @staticmethod
+    def _largest(given: np.ndarray, taken: np.ndarray, gap: np.ndarray, rise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For what would be taken, the place of the largest of the ascending ``given`` that fits instead, and the gain; 0 if none."""
+        at = np.searchsorted(given, taken + gap, side="right") - 1
+        more = np.where(at >= 0, given[np.maximum(at, 0)] - taken, 0)
+        return at, np.where((more > 0) & (rise + more > 0), more, 0)
 
 
 def _pack_group(limit: int):

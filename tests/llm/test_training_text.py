@@ -1,6 +1,7 @@
 """The operators against brute force on small tables, and on awkward and empty ones."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -159,6 +160,16 @@ def test_local_search_empties_bins():
     assert all(sum(lengths[i] for i in b) <= 10 for b in bins)
 
 
+def test_local_search_goes_on_past_stuck_bins():
+    rng = random.Random(7)
+    for low, high, n, share in ((900, 2200, 1500, 1.04), (300, 1500, 1500, 1.0), (1, 900, 1500, 1.0)):
+        lengths = [rng.randint(low, high) for _ in range(n)]
+        bins = packing.improve(lengths, packing.best_fit(lengths, 4096), 4096)
+        assert sorted(i for b in bins for i in b) == list(range(n))
+        assert all(sum(lengths[i] for i in b) <= 4096 for b in bins)
+        assert len(bins) <= share * -(-sum(lengths) // 4096) + 0.5
+
+
 def test_peeling_recovers_exact_differences(spark, documents):
     lines = [f"line {k} {prose(k, 4)}" for k in range(400)]
     texts = ["\n".join(lines), "\n".join(lines[:200] + ["new"] * 3 + lines[250:]), "", "a", "a"]
