@@ -26,7 +26,7 @@ _PART = (
     "number_of_people string, location string, posted_by string, job_url string, posted_date string, "
     "published_at string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, scrape_count bigint, bucket int"
 )
-_LOG = "run_id string, batch_id bigint, parts array<struct<name:string,level:int>>, version int"
+_LOG = "run_id string, batch_id bigint, parts array<struct<name:string,level:int>>, written array<string>, version int"
 _UPDATED = ("number_of_people", "location", "posted_by", "job_url", "posted_date", "published_at")
 
 
@@ -135,14 +135,34 @@ class Turn:
         """Write the batch as a part, fold full levels, and make the version the latest."""
         part = folded_part(batch, now)
         parts = [*self.before, self._write(part, 0)]
+        written = [parts[-1][0]]
         while len(parts) >= FAN and len({level for _, level in parts[-FAN:]}) == 1:
             level = parts[-1][1] + 1
             merged = _fold(_read_parts(self.spark, self.path, [name for name, _ in parts[-FAN:]]))
             parts = [*parts[:-FAN], self._write(merged, level)]
-        row = self.spark.createDataFrame([(self.run_id, self.batch_id, parts)], _LOG.rsplit(",", 1)[0])
+            written.append(parts[-1][0])
+        row = self.spark.createDataFrame([(self.run_id, self.batch_id, parts, written)], _LOG.rsplit(",", 1)[0])
         row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/version={self.version}")
 
     def _write(self, part: DataFrame, level: int) -> tuple[str, int]:
         name = f"v{self.version}-{level}"
         part.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/parts/{name}")
         return name, level
+
+
+def drop_unused(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete the parts that none of the last ``keep`` versions names; older versions can then no longer be read.
+
+    Call it between runs: a batch that is being written may still read the parts of the version before.
+    """
+    last = latest_version(spark, path)
+    rows = _log(spark, path)
+    held = rows.where(F.col("version") > last - keep).select(F.explode("parts.name").alias("name"))
+    done = rows.where(F.col("version") <= last).select(F.explode("written").alias("name"))
+    old = done.distinct().join(held.distinct(), "name", "left_anti")
+    names = sorted(r["name"] for r in old.collect())  # some for each batch
+    context = spark.sparkContext
+    for name in names:
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/parts/{name}")
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    return names

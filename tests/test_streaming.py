@@ -88,6 +88,17 @@ def test_store_equals_one_merge_after_the_other(spark, tmp_path, monkeypatch):
     assert deltas.read_store(spark, path, 3).agg({"scrape_count": "sum"}).first()[0] == 18
 
 
+def test_unused_parts_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(deltas, "FAN", 2)
+    path = str(tmp_path / "store")
+    for n in range(4):
+        deltas.Turn(spark, path, "x", n).add(spark.createDataFrame([row(n, f"Firm {n}"), row(9, "Firm 0")], ROW), now(n))
+    before = names(spark, path)
+    deltas.drop_unused(spark, path, keep=1)
+    assert names(spark, path) == before and before["Firm 0"][0] == 5
+    assert sorted(os.listdir(f"{path}/parts")) == sorted(name for name, _ in deltas._parts_of(spark, path, 4)) == ["v4-2"]
+
+
 def test_bytes_per_batch_follow_the_batch(spark, tmp_path):
     path = str(tmp_path / "store")
 
