@@ -42,18 +42,16 @@ def groups_of(text, coders):
     if not text or b"".join(x for _, x in a) != spaced.encode() or b"".join(x for _, x in b) != spaced.encode():
         return []
 
-    def ends(tokens):
-        at, out = 0, []
-        for _, x in tokens:
-            at += len(x)
-            out.append(at)
-        return out
-
-    cuts = sorted(set(ends(a)) & set(ends(b)))
-    out, low = [], 0
-    for cut in cuts:
-        out.append(tuple([i for (i, _), e in zip(t, ends(t)) if low < e <= cut] for t in (a, b)))
-        low = cut
+    out, group, at = [], ([], []), [0, 0]
+    queues = [list(reversed(a)), list(reversed(b))]
+    while any(queues):
+        which = 0 if at[0] <= at[1] else 1
+        number, data = queues[which].pop()
+        group[which].append(number)
+        at[which] += len(data)
+        if at[0] == at[1]:
+            out.append(group)
+            group = ([], [])
     return out
 
 
@@ -85,7 +83,7 @@ def test_alignment_equals_brute_force(spark, documents, coders, monkeypatch, chu
         "It's <|endoftext|> and <s> </s> <unk> <0x41>", "\x00\x7f 　é", " " * 300 + "x", "Ééanon tionç 12345 3.14", prose(2, 300), "x",
     ]
     want, count = brute(texts, coders)
-    aligned, table = alignment.align_tokenizers(documents(*enumerate(texts)), *PATHS)
+    aligned, table = alignment.align_tokenizers(documents(*enumerate(texts)).coalesce(2), *PATHS)
     got = {r.doc_id: tuple(r)[1:] for r in aligned.collect()}
     assert got == dict(enumerate(want))
     assert {(r.a, r.b): r["count"] for r in table.collect()} == dict(count)
@@ -93,6 +91,6 @@ def test_alignment_equals_brute_force(spark, documents, coders, monkeypatch, chu
 
 def test_alignment_of_awkward_and_empty_tables(spark, awkward, nothing, coders):
     want, _ = brute([r.text for r in awkward.where("doc_id is not null").orderBy("doc_id").collect()], coders)
-    got = [tuple(r)[1:] for r in alignment.align_tokenizers(awkward, *PATHS)[0].orderBy("doc_id").collect()]
+    got = [tuple(r)[1:] for r in alignment.align_tokenizers(awkward.coalesce(2), *PATHS)[0].orderBy("doc_id").collect()]
     assert got == want
     assert alignment.align_tokenizers(nothing, *PATHS)[0].collect() == []
