@@ -217,7 +217,11 @@ class _Search:
         own = np.array(sorted(self.held[target], key=lambda i: (self.size[i], i)), np.int64)
         gap = np.where((self.fill > 0) & (np.arange(len(self.fill)) != target), self.limit - self.fill, -1)
         rise = self.fill - self.fill[target]  # a gain of more than -rise raises the squared fill
-        for item in own[::-1]:  # a move into the tightest gap
+        last = np.flatnonzero(np.diff(self.size[own], append=-1))  # one piece of each length
+        widest = int(gap.max())
+        for item in own[last[::-1]]:  # a move into the tightest gap
+            if self.size[item] > widest:
+                continue
             fits = np.flatnonzero((gap >= self.size[item]) & (rise + self.size[item] > 0))
             if len(fits):
                 return self._swap([int(item)], [], target, int(fits[gap[fits].argmin()]))
