@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobsieve.operators.spread import lookup_join
+from jobsieve.operators.spread import salted_join
 from jobsieve.session import new_path
 
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"  # letters, digits and non-ASCII characters, in text with A-Z lower-cased
@@ -60,9 +60,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = lookup_join(both, least, ["u"], "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = salted_join(both, least, ["u"], "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = lookup_join(large, lowest, ["u"], "inner").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        rest = salted_join(large, lowest, ["u"], "inner").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = lowest.select("u", F.col("m").alias("v"))
         edges = stored(own.union(rest).where("u != v").distinct(), "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()

@@ -38,11 +38,11 @@ def many_join(facts: DataFrame, rules: DataFrame, on: str, small: bool) -> DataF
     """Inner join of facts with any number of rules per key.
 
     ``small`` rules are broadcast (see `measured`).  Else each key is split into LOOKUP_WAYS sub-groups by a
-    hash of the whole fact row, so a hot key spreads.
+    hash of the fact row's position (or of the whole row), so a hot key spreads.
     """
     if small:
         return facts.join(F.broadcast(rules), on)
-    salted = facts.withColumn("_way", F.pmod(F.xxhash64(*facts.columns), F.lit(LOOKUP_WAYS)))
+    salted = facts.withColumn("_way", F.pmod(F.xxhash64(*_identity(facts)), F.lit(LOOKUP_WAYS)))
     ways = F.sequence(F.lit(0).cast("long"), F.lit(LOOKUP_WAYS - 1).cast("long"))
     return salted.join(rules.withColumn("_way", F.explode(ways)), [on, "_way"]).drop("_way")
 
@@ -53,9 +53,33 @@ def lookup_join(
     """Join facts to a lookup table that has at most one row per key.
 
     The lookup side is broadcast only when its estimated size is within the
-    broadcast limit.  Otherwise each key is split into LOOKUP_WAYS sub-groups by
-    a hash of the whole fact row, so a key (or the null key) that holds a third
-    of the facts still spreads; the lookup rows are repeated once per sub-group.
+    broadcast limit.  Otherwise both sides are shuffled by the key: each row once,
+    and only with the columns that are used.  Facts with a null key match nothing
+    and are spread by a hash of their position; a key that holds a large share of
+    the facts is split where Spark reads the shuffle (spark.sql.adaptive.skewJoin).
+    """
+    on = list(on)
+    if fits_broadcast(lookup):
+        return facts.join(F.broadcast(lookup), on, how)
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    way = F.when(missing, F.xxhash64(*_identity(facts))).otherwise(F.xxhash64(*on))
+    return facts.withColumn("_way", way).join(lookup.withColumn("_way", F.xxhash64(*on)), [*on, "_way"], how).drop("_way")
+
+
+def _identity(facts: DataFrame) -> list[str]:
+    """What tells rows apart: their position, else all columns that can be hashed."""
+    if "ingest_pos" in facts.columns:
+        return ["ingest_pos"]
+    return [c for c, t in facts.dtypes if not t.startswith(("map", "variant"))]
+
+
+def salted_join(
+    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """`lookup_join` for lookups that are small beside the facts.
+
+    Each key is split into LOOKUP_WAYS sub-groups by a hash of the whole fact row, so a key that holds a third
+    of the facts spreads without adaptive execution; the lookup rows are repeated once per sub-group.
     """
     on = list(on)
     if fits_broadcast(lookup):
