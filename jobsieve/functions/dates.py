@@ -46,7 +46,7 @@ def _from_seconds(value: Column) -> Column:
 
 def from_iso(text: Column) -> Column:
     """ISO 8601 text as a UTC time (offsets are applied); anything else gives null."""
-    return let(F.regexp_replace(text, "Z", "+00:00"), _from_iso)
+    return let(F.replace(text, F.lit("Z"), F.lit("+00:00")), _from_iso)
 
 
 def _from_iso(iso: Column) -> Column:
@@ -58,7 +58,10 @@ def _from_iso(iso: Column) -> Column:
         F.coalesce(sign * F.regexp_extract(iso, zone, 2).try_cast("int"), F.lit(0)),
         F.coalesce(sign * F.regexp_extract(iso, zone, 3).try_cast("int"), F.lit(0)),
     )
-    return F.when(iso.rlike(_ISO), local.try_cast("timestamp_ntz") - offset)
+    # text without an offset skips the four patterns that read one
+    zoned = iso.rlike(r"[ T].*[+-]\d{2}:?\d{2}")
+    time = F.when(zoned, local.try_cast("timestamp_ntz") - offset).otherwise(iso.try_cast("timestamp_ntz"))
+    return F.when(iso.rlike(_ISO), time)
 
 
 def from_source(text: Column) -> Column:

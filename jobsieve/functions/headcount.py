@@ -15,15 +15,16 @@ def _group(x: str, pattern: str, n: int) -> str:
 
 
 def _tier_sql(number: str) -> str:
+    # CASE copies its value into every branch, so the value gets a name
     cases = " ".join(f"WHEN {n} THEN {text(t)}" for n, t in fixed.HEADCOUNT_TIERS.items())
-    return f"CASE {number} {cases} END"
+    return bind(number, "t", f"CASE t {cases} END")
 
 
 def number_sql(x: str) -> str:
     """Rounded whole number of '1,250', '1.2K', '3M' or '1B'; half values go to even."""
     unit = f"lower(regexp_extract(plain, {text('([kmbKMB])$')}, 1))"
     amount = f"try_cast(regexp_replace(plain, {text(r'(?U)\s*[kmbKMB]$')}, '') AS double)"
-    factor = f"CASE {unit} WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1e0 END"
+    factor = bind(unit, "u", "CASE u WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1e0 END")
     shape = text(r"(?U)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\s*[kmbKMB]?$")
     value = bind(
         f"rint({amount} * {factor})", "v", "CASE WHEN v >= 0 THEN try_cast(v AS decimal(38,0)) END"
@@ -45,7 +46,7 @@ def headcount_sql(x: str) -> str:
     exact = f"CASE WHEN {digits} RLIKE {spelled} THEN floor(try_cast({digits} AS double)) END"
     more = " , ".join(_group("h", fixed.MORE_THAN_PATTERN, n) for n in (1, 2))
     low, high = (_group("h", fixed.RANGE_PATTERN, n) for n in (1, 2))
-    labelled = ", ".join(
+    before, after, pure = (
         _labelled_sql("h", pattern)
         for pattern in (
             fixed.LABEL_BEFORE_PATTERN,
@@ -53,10 +54,15 @@ def headcount_sql(x: str) -> str:
             fixed.PURE_NUMBER_PATTERN,
         )
     )
+    # a pattern is tried only on text with the marks that it cannot do without
+    any_more = f"h RLIKE {text('(?i)[+>]|more|over')}"
+    any_range = f"h RLIKE {text('(?i)[-–—]|to')}"
+    number_later = f"h RLIKE {text('(?s)[^0-9,].*[0-9,]')}"
     # every rule needs a digit or a comma, so other text skips the patterns
     rules = f"""CASE WHEN h RLIKE '[0-9,]' THEN coalesce({_tier_sql(exact)},
-      concat('More than ', coalesce({more}), ' employees'),
-      concat({low}, ' - ', {high}, ' employees'), {labelled}) END"""
+      CASE WHEN {any_more} THEN concat('More than ', coalesce({more}), ' employees') END,
+      CASE WHEN {any_range} THEN concat({low}, ' - ', {high}, ' employees') END,
+      CASE WHEN {number_later} THEN {before} END, {after}, {pure}) END"""
     return f"coalesce({bind(strip_sql(x), 'h', rules)}, {text(fixed.NOT_AVAILABLE)})"
 
 
@@ -92,7 +98,7 @@ def unspecified_sql(x: str) -> str:
 
 def under_100_sql(x: str) -> str:
     """A range decides before '+', '+' before a single number; grouping commas go first."""
-    plain = f"regexp_replace(lower(h), {text('(?<=[0-9]),(?=[0-9])')}, '')"
+    plain = f"CASE WHEN contains(h, ',') THEN regexp_replace(lower(h), {text('(?<=[0-9]),(?=[0-9])')}, '') ELSE lower(h) END"
     pair = text(r"([0-9]+)\s*[-–—to]+\s*([0-9]+)")
     high = f"try_cast(regexp_extract(d, {pair}, 2) AS double)"
     one = f"""CASE WHEN NOT d RLIKE {text(r"[0-9]\+")}

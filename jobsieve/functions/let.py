@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -18,6 +18,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with some columns set to values that are evaluated once per row, also when filters follow.
+
+    A filter moves below the column that it reads and takes a copy of its expression along; below rows that a
+    generator made it does not move.
+    """
+    others = [c for c in df.columns if c not in columns]
+    made = F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
+    names = [*df.columns, *[n for n in columns if n not in df.columns]]
+    return df.select(*others, made).select(*names)
+
+
 def bind(value: str, name: str, body: str) -> str:
     """The same in SQL text: ``body`` with ``name`` standing for ``value``."""
     return f"transform(array({value}), {name} -> {body})[0]"

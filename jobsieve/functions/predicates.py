@@ -31,9 +31,10 @@ def _matches(x: str, pattern: str) -> str:
 
 def location_sql(clean: str) -> str:
     """Place test on text that is already cleaned."""
+    # the tests that most names fail at their first letters come first
     by_words = (
-        f"NOT {_matches('low', _AFFIX)} AND ({_matches('low', _ONLY_LOCATION_WORDS)} OR "
-        f"(low RLIKE '[a-z]' AND {_matches('upper(low)', _CITY_AND_CODE)}))"
+        f"({_matches('low', _ONLY_LOCATION_WORDS)} OR (contains(low, ',') AND low RLIKE '[a-z]' AND "
+        f"{_matches('upper(low)', _CITY_AND_CODE)})) AND NOT {_matches('low', _AFFIX)}"
     )
     return bind(
         f"lower({clean})", "low", f"(low IN ({texts(fixed.KNOWN_LOCATIONS)}) OR ({by_words}))"
@@ -45,12 +46,12 @@ def noise_sql(clean: str) -> str:
     date = _matches("s", rf"(?iU)\b(?:{fixed.DATE_WORDS})\b")
     salary = _matches("s", rf"(?iU)(?:{fixed.SALARY_MARKS}|\b(?:{fixed.SALARY_WORDS})\b)")
     job_type = _matches("s", rf"(?iU)\b(?:{fixed.JOB_TYPE_WORDS})\b")
-    words = "size(split(s, ' '))"
+    words = "(length(s) - length(replace(s, ' ', '')) + 1)"
     return bind(
         clean,
         "s",
-        f"(s = '' OR {location_sql(clean_text_sql('s'))} OR (({date} OR {salary}) AND "
-        f"{words} <= 5) OR ({job_type} AND {words} <= 4))",
+        f"(s = '' OR {location_sql(clean_text_sql('s'))} OR ({words} <= 5 AND ({date} OR {salary})) "
+        f"OR ({words} <= 4 AND {job_type}))",
     )
 
 
@@ -59,7 +60,9 @@ def description_sql(clean: str) -> str:
     starter = _matches("s", rf"(?iU)^(?:{fixed.DESCRIPTION_STARTERS})\b")
     sentence = _matches("s", r"\.\s+[A-Z]")
     return bind(
-        clean, "s", f"({starter} OR {sentence} OR length(s) > {fixed.DESCRIPTION_LENGTH})"
+        clean,
+        "s",
+        f"({starter} OR (contains(s, '.') AND {sentence}) OR length(s) > {fixed.DESCRIPTION_LENGTH})",
     )
 
 

@@ -17,6 +17,7 @@ from jobsieve.functions.let import text as literal
 
 # One character reference: decimal, hexadecimal or named.
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_REFERS = r"&[^\t\n\f <&;]"
 # Lookup tables as one string each, |name=value| with control characters as marks.
 _OPEN, _SHUT = "\x01", "\x02"
 
@@ -25,7 +26,16 @@ def _table(pairs: dict) -> str:
     return literal(_OPEN + _OPEN.join(f"{k}{_SHUT}{v}" for k, v in pairs.items()) + _OPEN)
 
 
-_NAMED = _table(html5)
+def _by_letter(pairs: dict, key: str) -> str:
+    """The part of a lookup table whose names start like the key, short names first: a search reads some hundred letters."""
+    letters: dict[str, dict] = {}
+    for name in sorted(pairs, key=len):
+        letters.setdefault(name[0], {})[name] = pairs[name]
+    cases = " ".join(f"WHEN {literal(letter)} THEN {_table(part)}" for letter, part in letters.items())
+    return bind(f"substr({key}, 1, 1)", "l", f"CASE l {cases} ELSE {literal(_OPEN)} END")
+
+
+_NAMED = _by_letter(html5, "b")
 # numbers that HTML maps to something other than their own code point
 _REMAPPED = _table(
     {n: html.unescape(f"&#{n};") for n in range(256) if html.unescape(f"&#{n};") != chr(n)}
@@ -67,7 +77,9 @@ def unescape_sql(x: str) -> str:
     decoded = f"""array_join(zip_with(split(t, {literal(_REFERENCE)}, -1),
       concat(transform(regexp_extract_all(t, {literal(_REFERENCE)}, 0),
         r -> {bind("substr(r, 2)", "b", _FROM_BODY)}), array('')), (p, d) -> concat(p, d)), '')"""
-    return bind(x, "t", f"CASE WHEN contains(t, '&') THEN {decoded} ELSE t END")
+    # an ampersand before a blank is no reference, and most references are &amp;
+    return bind(x, "t", f"""CASE WHEN NOT t RLIKE {literal(_REFERS)} THEN t
+      WHEN NOT contains(replace(t, '&amp;', ''), '&') THEN replace(t, '&amp;', '&') ELSE {decoded} END""")
 
 
 def _escaped(chars: str) -> str:
@@ -85,17 +97,25 @@ def strip_sql(x: str) -> str:
     return f"btrim({x}, {_escaped(SPACES)})"
 
 
+# printable ASCII without an ampersand or two blanks is clean, apart from blanks at both ends
+_PLAIN = literal(r"^[ -~]*+\z")
+
+
 def clean_text_sql(x: str) -> str:
     # one pass turns every white space into a blank and drops control characters
-    blank = f"translate({unescape_sql(f"coalesce({x}, '')")}, {_escaped(_OTHER_SPACES + _CONTROLS)}, '{' ' * len(_OTHER_SPACES)}')"
+    blank = bind(unescape_sql("u"), "v", f"""CASE WHEN v RLIKE {_PLAIN} THEN v
+      ELSE translate(v, {_escaped(_OTHER_SPACES + _CONTROLS)}, '{' ' * len(_OTHER_SPACES)}') END""")
     single = bind(blank, "b", "CASE WHEN contains(b, '  ') THEN regexp_replace(b, '  +', ' ') ELSE b END")
-    return f"trim({single})"
+    clean = f"NOT contains(u, '&') AND NOT contains(u, '  ') AND u RLIKE {_PLAIN}"
+    return bind(f"coalesce({x}, '')", "u", f"trim(CASE WHEN {clean} THEN u ELSE {single} END)")
 
 
 def label_sql(clean: str) -> str:
     """Cleaned text without leading numbering and edge punctuation."""
-    unnumbered = f"regexp_replace({clean}, {literal(r'(?U)^\d+[.)]\s+')}, '')"
-    return f"btrim({unnumbered}, {literal(fixed.EDGE_PUNCTUATION)})"
+    # only a digit, ASCII or not, can start a numbering
+    numbered = "ascii(k) BETWEEN 48 AND 57 OR ascii(k) > 127"
+    unnumbered = f"CASE WHEN {numbered} THEN regexp_replace(k, {literal(r'(?U)^\d+[.)]\s+')}, '') ELSE k END"
+    return bind(clean, "k", f"btrim({unnumbered}, {literal(fixed.EDGE_PUNCTUATION)})")
 
 
 def clean_label_sql(x: str) -> str:
@@ -104,7 +124,7 @@ def clean_label_sql(x: str) -> str:
 
 def letters_sql(clean: str) -> str:
     """Comparison key of cleaned text."""
-    return f"regexp_replace(lower({clean}), '[^a-z0-9]', '')"
+    return f"regexp_replace(lower({clean}), '[^a-z0-9]+', '')"
 
 
 def key_sql(x: str) -> str:

@@ -11,8 +11,8 @@ from jobsieve.functions.text import strip
 
 def normalize_url(c: Column) -> Column:
     """`normalize_url`: scheme, host and path without query, fragment, params, end slash."""
-    compact = F.ltrim(F.translate(c, "\t\r\n", ""))
-    path = F.regexp_replace(compact, r"(?s)[?#].*$", "")
+    compact = F.ltrim(F.regexp_replace(c, r"[\t\r\n]+", ""))
+    path = F.substring_index(F.substring_index(compact, "?", 1), "#", 1)
     return F.lower(F.rtrim(F.regexp_replace(path, r";[^/]*$", ""), F.lit("/")))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsieve import fixed
+from jobsieve.functions.let import once
 from jobsieve.functions.predicates import valid_names_and_size
 
 
@@ -30,7 +31,9 @@ def with_validity(df: DataFrame) -> DataFrame:
 
 def valid_record(df: DataFrame) -> DataFrame:
     """`valid_record`: valid company, role and headcount; company and role differ."""
-    return with_validity(df).filter("is_valid").drop("is_valid")
+    # cleaned names and parsed sizes are kept, or the filter would clean and parse them once more
+    tested = ("company_name", "job_role", "number_of_people")
+    return with_validity(once(df, **{c: F.col(c) for c in tested})).filter("is_valid").drop("is_valid")
 
 
 def engineering_filter(df: DataFrame) -> DataFrame:
