@@ -10,7 +10,7 @@ from jobsieve import fixed
 from jobsieve.functions.dates import stamp
 from jobsieve.operators.classify import with_role_category
 from jobsieve.operators.filters import like_any, source_filter
-from jobsieve.operators.spread import lookup_join, with_position
+from jobsieve.operators.spread import lookup_join, measured, with_position
 
 TOP_ROWS = 100_000  # largest offset + limit that one top-k task should hold
 _BLOCK = 100_000  # rows per block when looking for streaks
@@ -107,30 +107,32 @@ def early_stop_prefix(
     """`early_stop_prefix`: per run, keep rows up to the end of the first streak of
     ``threshold`` known rows.
 
-    Rows are numbered in parallel.  Streaks are found in blocks of the numbering
-    that overlap by threshold-1 rows, so a run of any size is split over tasks.
+    Only run, ingest_pos and is_new are numbered, in parallel.  Streaks are found in blocks of the numbering
+    that overlap by threshold-1 rows, so a run of any size is split over tasks.  What comes back is the arrival
+    position of each run's cut, so the rows themselves are only filtered.
     """
-    placed = with_position(df, ["ingest_pos"], by=[by], name="_position")
+    placed = with_position(df.select(by, "ingest_pos", "is_new"), ["ingest_pos"], by=[by], name="_position")
     lead = threshold - 1
     block = F.floor((F.col("_position") - 1) / _BLOCK)
     reach = F.floor((F.col("_position") - 1 + lead) / _BLOCK)
     blocks = placed.select(
-        by, "_position", "is_new", F.explode(F.sequence(block, reach)).alias("_block")
+        by, "_position", "ingest_pos", "is_new", F.explode(F.sequence(block, reach)).alias("_block")
     )
     recent = Window.partitionBy(by, "_block").orderBy("_position").rowsBetween(-lead, 0)
     streaks = blocks.select(
         by,
-        "_position",
+        "ingest_pos",
         (F.count(F.lit(1)).over(recent) == threshold).alias("_full"),
         F.bool_or("is_new").over(recent).alias("_any_new"),
     )
     cuts = (
         streaks.filter(F.col("_full") & ~F.col("_any_new"))
         .groupBy(by)
-        .agg(F.min("_position").alias("_cut"))
+        .agg(F.min("ingest_pos").alias("_cut"))
     )
-    joined = lookup_join(placed, cuts, [by])
-    keep = F.col("_cut").isNull() | (F.col("_position") <= F.col("_cut"))
+    cuts, small = measured(cuts)
+    joined = df.join(F.broadcast(cuts), by, "left") if small else lookup_join(df, cuts, [by])
+    keep = F.col("_cut").isNull() | (F.col("ingest_pos") <= F.col("_cut"))
     return joined.filter(keep).select(*df.columns)
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from jobsieve.functions import headcount, predicates, text
-from jobsieve.operators import filters, spread
+from jobsieve.operators import filters, spread, topk
 from jobsieve.operators.dedupe import with_clean_names
 
 
@@ -57,3 +57,18 @@ def test_guards_keep_what_they_guard(apply):
     ]
     places = ["Austin, TX", "Remote, US", "Remote Labs", "Paris", "a, b", "Remote\n"]
     assert apply(places, predicates.is_location) == [True, True, False, False, False, True]
+
+
+def test_early_stop_numbers_narrow_rows(spark, monkeypatch):
+    numbered = []
+
+    def with_position(df, *args, **named):
+        numbered.append(df.columns)
+        return spread.with_position(df, *args, **named)
+
+    monkeypatch.setattr(topk, "with_position", with_position)
+    rows = [(r, i, i < 4, "x" * 50) for r in ("a", "b") for i in range(10)] + [(None, 1, False, "x"), (None, 2, False, "x")]
+    df = spark.createDataFrame(rows, "run string, ingest_pos long, is_new boolean, wide string")
+    kept = topk.early_stop_prefix(df, threshold=2)
+    assert sorted((r.run or "", r.ingest_pos) for r in kept.collect()) == [("", 1), ("", 2)] + [(r, i) for r in "ab" for i in range(6)]
+    assert numbered == [["run", "ingest_pos", "is_new"]]
