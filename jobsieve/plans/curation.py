@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from jobsieve.functions.headcount import size_eligible
+from jobsieve.functions.let import once
 from jobsieve.operators.dedupe import dedupe_postings, with_clean_names
 from jobsieve.operators.enrich import company_size_once, with_headcount
 from jobsieve.operators.filters import valid_record
@@ -21,4 +22,6 @@ def curate(raw: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     rows = with_headcount(dedupe_postings(with_clean_names(raw)))
     if pages is not None:
         rows = company_size_once(follow_detail(rows, pages), pages)
-    return valid_record(rows.filter(size_eligible(F.col("number_of_people"))))
+    # the gate and the validation read one parsed headcount
+    sized = once(rows, number_of_people=F.col("number_of_people"))
+    return valid_record(sized.filter(size_eligible(F.col("number_of_people"))))

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from jobsieve.functions import headcount, predicates, text
-from jobsieve.operators import filters, spread, topk
+from jobsieve.operators import classify, filters, spread, topk
 from jobsieve.operators.dedupe import with_clean_names
+from jobsieve.operators.rules import KeywordRule
 
 
 def plan(df):
@@ -72,3 +73,22 @@ def test_early_stop_numbers_narrow_rows(spark, monkeypatch):
     kept = topk.early_stop_prefix(df, threshold=2)
     assert sorted((r.run or "", r.ingest_pos) for r in kept.collect()) == [("", 1), ("", 2)] + [(r, i) for r in "ab" for i in range(6)]
     assert numbered == [["run", "ingest_pos", "is_new"]]
+
+
+def test_numbers_are_cast_only_where_there_are_any(spark, apply):
+    rule = headcount.under_100_sql("x")
+    assert "try_cast(regexp_extract" not in rule  # '' as a number throws and catches an exception
+    sizes = ["11-50", "99", "100+", "1,200", "none of it", "N/A", None, "50 to 100", "5-"]
+    assert apply(sizes, headcount.size_under_100) == [True, True, False, False, False, False, False, True, True]
+
+
+def test_keyword_tests_are_columns_of_their_own(spark):
+    rules = [KeywordRule("c", "C", 1, "late", ("b",)), KeywordRule("c", "C", 0, "early", ("a",)), KeywordRule("d", "D", 0, "d", ("a",))]
+    df = spark.createDataFrame([(1, "Acme", "ab", "N/A"), (2, "ACME", "AB", "N/A"), (3, "Acme", "b", "N/A")],
+                               "ingest_pos int, company_name string, job_role string, number_of_people string")
+    hits = classify.keyword_hits(df, rules)
+    generate = next(line for line in hits._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line)
+    assert "_tests0" in generate and "contains(" not in generate.lower()
+    rows = classify.category_jobs(df, rules).filter("bucket = 'all' and keyword is null").collect()
+    assert sorted((r.ingest_pos, r.category_id) for r in rows) == [(1, "c"), (1, "d"), (3, "c")]
+    assert classify.keyword_hits(df, []).count() == 0
