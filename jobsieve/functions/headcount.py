@@ -8,7 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from jobsieve import fixed
 from jobsieve.functions.let import apply, bind, let, text, texts
-from jobsieve.functions.text import strip, strip_sql
+from jobsieve.functions.text import strip, strip_name_sql, strip_sql
+
 
 def _filled(x: str) -> str:
     """Null for an empty text: casting that to a number would throw and catch an exception per row."""
@@ -16,43 +17,45 @@ def _filled(x: str) -> str:
 
 
 def _group(x: str, pattern: str, n: int) -> str:
-    return _filled(f"regexp_extract({x}, {text('(?iU)' + pattern)}, {n})")
+    return f"regexp_extract({x}, {text('(?iU)' + pattern)}, {n})"
 
 
 def _tier_sql(number: str) -> str:
-    # CASE copies its value into every branch, so the value gets a name
-    cases = " ".join(f"WHEN {n} THEN {text(t)}" for n, t in fixed.HEADCOUNT_TIERS.items())
-    return bind(number, "t", f"CASE t {cases} END")
+    # a map reads its key once, CASE would copy it into every branch
+    tiers = ", ".join(f"{n}D, {text(t)}" for n, t in fixed.HEADCOUNT_TIERS.items())
+    return f"try_element_at(map({tiers}), CAST({number} AS double))"
 
 
 def number_sql(x: str) -> str:
     """Rounded whole number of '1,250', '1.2K', '3M' or '1B'; half values go to even."""
     unit = f"lower(regexp_extract(plain, {text('([kmbKMB])$')}, 1))"
-    amount = f"try_cast(regexp_replace(plain, {text(r'(?U)\s*[kmbKMB]$')}, '') AS double)"
-    factor = bind(unit, "u", "CASE u WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1e0 END")
+    amount = f"try_cast(CASE WHEN plain RLIKE '[0-9.]$' THEN plain ELSE regexp_replace(plain, {text(r'(?U)\s*[kmbKMB]$')}, '') END AS double)"
+    factor = f"coalesce(try_element_at(map('k', 1e3, 'm', 1e6, 'b', 1e9), {unit}), 1e0)"
     shape = text(r"(?U)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\s*[kmbKMB]?$")
     value = bind(
         f"rint({amount} * {factor})", "v", "CASE WHEN v >= 0 THEN try_cast(v AS decimal(38,0)) END"
     )
-    return bind(
-        f"translate({strip_sql(x)}, ',', '')", "plain", f"CASE WHEN plain RLIKE {shape} THEN {value} END"
-    )
+    plain = bind(x, "g", f"translate({strip_name_sql('g')}, ',', '')")
+    return bind(plain, "plain", f"CASE WHEN plain RLIKE {shape} THEN {value} END")
 
 
 def _labelled_sql(x: str, pattern: str) -> str:
     """Tier or count label of the number that a pattern finds."""
     label = f"coalesce({_tier_sql('n')}, concat(format_number(n, 0), ' employees'))"
-    return bind(number_sql(_group(x, pattern, 1)), "n", label)
+    found = bind(number_sql(_group(x, pattern, 1)), "n", label)
+    return f"CASE WHEN {x} RLIKE {text('(?iU)' + pattern)} THEN {found} END"
 
 
-def headcount_sql(x: str) -> str:
+def headcount_rules_sql(h: str) -> str:
+    """The label of stripped text called ``h``, null for text that no rule reads."""
     spelled = text(r"^[+-]?([0-9]{1,15}\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9])?$")
-    digits = f"regexp_replace(h, {text('(?<=[0-9])_(?=[0-9])')}, '')"
-    exact = f"CASE WHEN {digits} RLIKE {spelled} THEN floor(try_cast({digits} AS double)) END"
-    more = " , ".join(_group("h", fixed.MORE_THAN_PATTERN, n) for n in (1, 2))
-    low, high = (_group("h", fixed.RANGE_PATTERN, n) for n in (1, 2))
+    digits = f"regexp_replace({h}, {text('(?<=[0-9])_(?=[0-9])')}, '')"
+    exact = f"CASE WHEN NOT {h} RLIKE '[^-0-9._eE+]' AND {digits} RLIKE {spelled} THEN floor(try_cast({digits} AS double)) END"
+    # only one of the two groups takes part in a match, the other is ''
+    more = ", ".join(_group(h, fixed.MORE_THAN_PATTERN, n) for n in (1, 2))
+    low, high = (_group(h, fixed.RANGE_PATTERN, n) for n in (1, 2))
     before, after, pure = (
-        _labelled_sql("h", pattern)
+        _labelled_sql(h, pattern)
         for pattern in (
             fixed.LABEL_BEFORE_PATTERN,
             fixed.LABEL_AFTER_PATTERN,
@@ -60,15 +63,19 @@ def headcount_sql(x: str) -> str:
         )
     )
     # a pattern is tried only on text with the marks that it cannot do without
-    any_more = f"h RLIKE {text('(?i)[+>]|more|over')}"
-    any_range = f"h RLIKE {text('(?i)[-–—]|to')}"
-    number_later = f"h RLIKE {text('(?s)[^0-9,].*[0-9,]')}"
+    any_more = f"{h} RLIKE {text('(?i)[+>]|more|over')} AND {h} RLIKE {text('(?iU)' + fixed.MORE_THAN_PATTERN)}"
+    any_range = f"{h} RLIKE {text('(?i)[-–—]|to')} AND {h} RLIKE {text('(?iU)' + fixed.RANGE_PATTERN)}"
+    number_later = f"{h} RLIKE {text('(?s)[^0-9,].*[0-9,]')}"
     # every rule needs a digit or a comma, so other text skips the patterns
-    rules = f"""CASE WHEN h RLIKE '[0-9,]' THEN coalesce({_tier_sql(exact)},
-      CASE WHEN {any_more} THEN concat('More than ', coalesce({more}), ' employees') END,
+    return f"""CASE WHEN {h} RLIKE '[0-9,]' THEN coalesce({_tier_sql(exact)},
+      CASE WHEN {any_more} THEN concat('More than ', {more}, ' employees') END,
       CASE WHEN {any_range} THEN concat({low}, ' - ', {high}, ' employees') END,
       CASE WHEN {number_later} THEN {before} END, {after}, {pure}) END"""
-    return f"coalesce({bind(strip_sql(x), 'h', rules)}, {text(fixed.NOT_AVAILABLE)})"
+
+
+def headcount_sql(h: str) -> str:
+    """The label of stripped text called ``h``, else N/A."""
+    return f"coalesce({headcount_rules_sql(h)}, {text(fixed.NOT_AVAILABLE)})"
 
 
 def parse_numeric_suffix(c: Column) -> Column:
@@ -78,7 +85,7 @@ def parse_numeric_suffix(c: Column) -> Column:
 
 def parse_headcount(c: Column) -> Column:
     """`parse_headcount`: tier, 'More than N', range or count label; else N/A."""
-    return apply(headcount_sql("x"), c)
+    return apply(headcount_sql("h"), strip(c), "h")
 
 
 def profile_size_from_text(profile: Column) -> Column:

@@ -14,6 +14,7 @@ from jobsieve.functions.text import (
     clean_text_sql,
     label_sql,
     letters_sql,
+    strip_name_sql,
     strip_sql,
 )
 

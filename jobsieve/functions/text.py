@@ -97,11 +97,27 @@ def strip_sql(x: str) -> str:
     return f"btrim({x}, {_escaped(SPACES)})"
 
 
+def strip_name_sql(x: str) -> str:
+    """`strip_sql` of a plain name: text that starts and ends with visible ASCII is not searched for spaces."""
+    last = f"substr({x}, -1)"
+    bare = f"{x} >= '!' AND {x} < {_escaped(chr(127))} AND {last} >= '!' AND {last} < {_escaped(chr(127))}"
+    return f"CASE WHEN {bare} THEN {x} ELSE {strip_sql(x)} END"
+
+
 # printable ASCII without an ampersand or two blanks is clean, apart from blanks at both ends
 _PLAIN = literal(r"^[ -~]*+\z")
+# text that cleaning leaves as it is: visible ASCII without an ampersand, single blanks inside
+CLEAN = r"^[!-%'-~]++(?: [!-%'-~]++)*+\z"
+# the same for labels: it starts with a letter and ends with a letter or digit
+CLEAN_LABEL = r"^[A-Za-z][!-%'-~]*+(?: [!-%'-~]++)*+(?<=[A-Za-z0-9])\z"
 
 
 def clean_text_sql(x: str) -> str:
+    """Cleaned text of a plain name."""
+    return f"CASE WHEN {x} RLIKE {literal(CLEAN)} THEN {x} ELSE {_cleaning_sql(x)} END"
+
+
+def _cleaning_sql(x: str) -> str:
     # one pass turns every white space into a blank and drops control characters
     blank = bind(unescape_sql("u"), "v", f"""CASE WHEN v RLIKE {_PLAIN} THEN v
       ELSE translate(v, {_escaped(_OTHER_SPACES + _CONTROLS)}, '{' ' * len(_OTHER_SPACES)}') END""")
@@ -113,13 +129,14 @@ def clean_text_sql(x: str) -> str:
 def label_sql(clean: str) -> str:
     """Cleaned text without leading numbering and edge punctuation."""
     # only a digit, ASCII or not, can start a numbering
-    numbered = "ascii(k) BETWEEN 48 AND 57 OR ascii(k) > 127"
+    numbered = "k >= '0' AND k < ':' OR k >= '\\u0080'"
     unnumbered = f"CASE WHEN {numbered} THEN regexp_replace(k, {literal(r'(?U)^\d+[.)]\s+')}, '') ELSE k END"
     return bind(clean, "k", f"btrim({unnumbered}, {literal(fixed.EDGE_PUNCTUATION)})")
 
 
 def clean_label_sql(x: str) -> str:
-    return label_sql(clean_text_sql(x))
+    """Cleaned label of a plain name."""
+    return f"CASE WHEN {x} RLIKE {literal(CLEAN_LABEL)} THEN {x} ELSE {label_sql(_cleaning_sql(x))} END"
 
 
 def letters_sql(clean: str) -> str:
@@ -136,24 +153,30 @@ def html_unescape(c: Column) -> Column:
     return apply(unescape_sql("x"), c)
 
 
+def _unless(clean: str, c: Column, rules: str) -> Column:
+    """Text that matches ``clean`` as it is, a test that Spark compiles; the rules for all other text."""
+    return F.when(c.rlike(clean), c).otherwise(apply(rules, c))
+
+
 def clean_text(c: Column) -> Column:
     """`clean_text`: unescape, drop control characters, collapse white space; null -> ''."""
-    return apply(clean_text_sql("x"), c)
+    return _unless(CLEAN, c, _cleaning_sql("x"))
 
 
 def clean_company(c: Column) -> Column:
     """`clean_company`: cleaned text without leading numbering and edge punctuation."""
-    return apply(clean_label_sql("x"), c)
+    return _unless(CLEAN_LABEL, c, label_sql(_cleaning_sql("x")))
 
 
 def clean_role(c: Column) -> Column:
     """`clean_role`: the same rules for a job role."""
-    return apply(clean_label_sql("x"), c)
+    return clean_company(c)
 
 
 def normalize_key(c: Column) -> Column:
     """`normalize_key`: comparison key; '' for text without Latin letters or digits."""
-    return apply(key_sql("x"), c)
+    letters = F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    return F.when(c.rlike(CLEAN), letters).otherwise(apply(letters_sql(_cleaning_sql("x")), c))
 
 
 def strip(c: Column) -> Column:
@@ -161,6 +184,13 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def strip_name(c: Column) -> Column:
+    """`strip` of a column that costs nothing to read: text with visible ASCII at both ends is not searched for spaces."""
+    last = F.substring(c, -1, 1)
+    bare = (c >= "!") & (c < "\x7f") & (last >= "!") & (last < "\x7f")
+    return F.when(bare, c).otherwise(strip(c))
+
+
 def format_count(c: Column) -> Column:
     """`format_count`: thousands separators; null -> '0'."""
     return F.coalesce(F.format_number(c, 0), F.lit("0"))

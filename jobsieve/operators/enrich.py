@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsieve import fixed
 from jobsieve.functions.dates import age_label_fine, from_source, normalize_published
-from jobsieve.functions.headcount import parse_headcount, profile_size_from_html
-from jobsieve.functions.text import normalize_key
+from jobsieve.functions.headcount import headcount_sql, profile_size_from_html
+from jobsieve.functions.let import once
+from jobsieve.functions.text import normalize_key, strip_name
 from jobsieve.functions.urls import company_slug, in_scope, normalize_url, slug_from_url
 from jobsieve.operators.spread import first_by, lookup_join
 from jobsieve.operators.substrings import substring_join
@@ -78,7 +79,8 @@ def company_size_once(df: DataFrame, pages: DataFrame, base: Column | None = Non
     The first posting of a company without a headcount of its own decides: its
     profile page text, else N/A.  All later ones reuse that answer.
     """
-    keyed = df.withColumn("_company", normalize_key(F.col("company_name")))
+    # what the filter reads is kept, or the filter would clean and parse it once more
+    keyed = once(df, _company=normalize_key(F.col("company_name")), number_of_people=F.col("number_of_people"))
     unsized = F.col("number_of_people") == fixed.NOT_AVAILABLE
     site = F.col("page_url") if base is None else base
     url = F.when(in_scope(F.col("company_url"), site), normalize_url(F.col("company_url")))
@@ -179,5 +181,9 @@ def backfill_published(store: DataFrame, feed: DataFrame, as_of) -> DataFrame:
 
 
 def with_headcount(df: DataFrame) -> DataFrame:
-    """Add number_of_people parsed from employee_count_raw."""
-    return df.withColumn("number_of_people", parse_headcount(F.col("employee_count_raw")))
+    """Add number_of_people, the `parse_headcount` of employee_count_raw.
+
+    The stripped text is a column of its own, so Spark compiles the rules instead of interpreting them in a lambda.
+    """
+    stripped = df.withColumn("_headcount", strip_name(F.col("employee_count_raw")))
+    return stripped.withColumn("number_of_people", F.expr(headcount_sql("_headcount"))).drop("_headcount")

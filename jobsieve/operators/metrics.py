@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from jobsieve import fixed
 from jobsieve.functions.dates import date_tab, is_new_today
 from jobsieve.functions.headcount import size_bucket, size_eligible, size_under_100
+from jobsieve.functions.let import once
 from jobsieve.functions.text import normalize_key
 from jobsieve.operators.classify import eligible, keyword_hits
 from jobsieve.operators.dedupe import with_dedupe_key
@@ -256,7 +257,8 @@ def date_tab_counts(df: DataFrame) -> DataFrame:
 def distinct_sizes(df: DataFrame) -> DataFrame:
     """`distinct_sizes`: sorted headcount labels other than N/A."""
     people = F.col("number_of_people")
-    sizes = df.filter((people != "") & (people != fixed.NOT_AVAILABLE))
+    # the label is kept, or the filter would move below the joins and parse it once more
+    sizes = once(df.select("number_of_people"), number_of_people=people).filter((people != "") & (people != fixed.NOT_AVAILABLE))
     return sizes.select("number_of_people").distinct().orderBy("number_of_people")
 
 

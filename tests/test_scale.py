@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from jobsieve.functions import headcount, predicates, text
-from jobsieve.operators import classify, filters, spread, topk
+from jobsieve.operators import classify, enrich, filters, metrics, spread, topk
 from jobsieve.operators.dedupe import with_clean_names
 from jobsieve.operators.rules import KeywordRule
 
@@ -92,3 +92,18 @@ def test_keyword_tests_are_columns_of_their_own(spark):
     rows = classify.category_jobs(df, rules).filter("bucket = 'all' and keyword is null").collect()
     assert sorted((r.ingest_pos, r.category_id) for r in rows) == [(1, "c"), (1, "d"), (3, "c")]
     assert classify.keyword_hits(df, []).count() == 0
+
+
+def test_distinct_sizes_parses_once(spark):
+    raw = spark.createDataFrame([(1, "11 - 50"), (2, "N/A"), (3, None), (4, "over 9"), (5, " 11-50 staff\u00a0"), (6, "2K people")], "i int, employee_count_raw string")
+    sizes = metrics.distinct_sizes(enrich.with_headcount(raw.repartition(2)))
+    assert [r[0] for r in sizes.collect()] == ["11 - 50 employees", "2,000 employees", "More than 9 employees"]
+    assert sizes._jdf.queryExecution().optimizedPlan().toString().count("more|over") == 1
+
+
+def test_plain_text_skips_the_rules(apply):
+    """The compiled tests for clean text and the rules agree at the edges."""
+    values = ["Acme", "A. B, C", "Acme ", " Acme", "a  b", "A&B", "A-", "-A", "9 lives", "9) lives", "", None, "A\u00a0", "\u00a0A", "~", "A\n", "x|y"]
+    assert apply(values, text.clean_company) == ["Acme", "A. B, C", "Acme", "Acme", "a b", "A&B", "A", "A", "9 lives", "lives", "", "", "A", "A", "~", "A", "x|y"]
+    assert apply(values, text.clean_text) == ["Acme", "A. B, C", "Acme", "Acme", "a b", "A&B", "A-", "-A", "9 lives", "9) lives", "", "", "A", "A", "~", "A", "x|y"]
+    assert apply(values, lambda c: text.strip_name(c)) == [v if v is None else v.strip() for v in values]
