@@ -147,9 +147,10 @@ def backfill_headcount(store: DataFrame, profiles: DataFrame, source: str) -> Da
     )
     selected = F.col("source_website") == source
     text = F.when(selected, F.lower("job_url"))
-    marked = lookup_join(store.withColumn("text", text), by_name, ["company_name"])
+    keyed = store.withColumn("text", text)
+    marked = lookup_join(keyed, by_name, ["company_name"])
 
-    urls = marked.filter(F.col("text").isNotNull()).select("text").distinct()
+    urls = keyed.filter(F.col("text").isNotNull()).select("text").distinct()
     marked = lookup_join(marked, _best_by_url(urls, by_slug), ["text"])
     best = F.when(selected, F.greatest("_by_name", "_by_url"))
     people = F.coalesce(best["employee_count"], F.col("number_of_people"))
