@@ -61,7 +61,8 @@ def keyword_match(df: DataFrame, rules: Iterable[KeywordRule] | DataFrame | None
         return keyword_hits(df, rules).select(*df.columns, "_hit.hit.*")
     keyword = ["category_id", "category_name", "keyword_pos", "keyword"]
     termed = rules.select(*keyword, F.lower(F.trim("term")).alias("pattern"))
-    roles = df.select(F.lower("job_role").alias("text")).filter("text is not null").distinct()
+    # null roles match nothing below; a filter here would move below the joins and clean the role once more
+    roles = df.select(F.lower("job_role").alias("text")).distinct()
     found = substring_join(roles, termed.select("pattern").distinct())
     hits, small = measured(found.join(termed, "pattern").select("text", *keyword).distinct())
     met = many_join(df.withColumn("text", F.lower("job_role")), hits, "text", small)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from jobsieve.functions import headcount, predicates, text
-from jobsieve.operators import classify, enrich, filters, metrics, spread, topk
+from jobsieve.operators import classify, enrich, filters, metrics, spread, substrings, topk
 from jobsieve.operators.dedupe import with_clean_names
 from jobsieve.operators.rules import KeywordRule
 
@@ -107,3 +107,53 @@ def test_plain_text_skips_the_rules(apply):
     assert apply(values, text.clean_company) == ["Acme", "A. B, C", "Acme", "Acme", "a b", "A&B", "A", "A", "9 lives", "lives", "", "", "A", "A", "~", "A", "x|y"]
     assert apply(values, text.clean_text) == ["Acme", "A. B, C", "Acme", "Acme", "a b", "A&B", "A-", "-A", "9 lives", "9) lives", "", "", "A", "A", "~", "A", "x|y"]
     assert apply(values, lambda c: text.strip_name(c)) == [v if v is None else v.strip() for v in values]
+
+
+def test_substring_join_meets_few_candidates(spark, monkeypatch):
+    """Patterns that share all their three-letter pieces; before, each text met most of them."""
+    met = []
+
+    def many_join(*args):
+        met.append(spread.many_join(*args))
+        return met[-1]
+
+    monkeypatch.setattr(substrings, "many_join", many_join)
+    names = [f"{i:012b}" for i in range(4096)]
+    texts = spark.createDataFrame([(f"x{n}y",) for n in names[:200]], "text string")
+    patterns = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "pattern string, n int")
+    found = substrings.substring_join(texts, patterns)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((f"x{n}y", n, i) for i, n in enumerate(names[:200]))
+    assert met[0].count() < 200 * 150
+
+
+def test_substring_join_is_exact(spark):
+    texts = ["aaaaaaaaaaaa", "größe größe größe", "日本語日本語日本語", "ab", "a", "", None, "x/acme-works/y/acme-works", "éa"]
+    patterns = ["a", "aa", "aaaaaaaaa", "größe", "größe größe", "日本語", "本語日本", "acme-works", "b", "", "nowhere at all", "é", None]
+    expected = sorted((t, p) for t in texts if t for p in patterns if p and p in t)
+    text_rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    pattern_rows = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for size in (limit, "150", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+            found = substrings.substring_join(text_rows, pattern_rows)
+            assert found.columns == ["text", "pattern"]
+            assert sorted(tuple(r) for r in found.collect()) == expected
+        none = substrings.substring_join(text_rows, pattern_rows.filter("false"))
+        assert none.columns == ["text", "pattern"] and none.count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_keyword_table_cleans_a_role_once(spark, monkeypatch):
+    read = []
+
+    def substring_join(texts, patterns):
+        read.append(texts._jdf.queryExecution().optimizedPlan().toString())
+        return substrings.substring_join(texts, patterns)
+
+    monkeypatch.setattr(classify, "substring_join", substring_join)
+    rows = with_clean_names(spark.createDataFrame([(1, "A", "QA &amp; lead"), (2, "B", None)], "ingest_pos int, company_name string, job_role string").repartition(2))
+    table = spark.createDataFrame([("c", "C", 0, "both", "& lead")], "category_id string, category_name string, keyword_pos int, keyword string, term string")
+    assert [r.ingest_pos for r in classify.keyword_match(rows, table).collect()] == [1]
+    assert "Filter" not in read[0]
