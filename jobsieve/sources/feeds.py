@@ -59,21 +59,24 @@ def first_source_date(obj: Column, as_of) -> Column:
 
     A first value that is no date is not skipped; it gives null.
     """
-    keys = [_field(obj, k, "variant") for k in fixed.FEED_B_DATE_KEYS]
-    present = [F.when(~F.is_variant_null(k), k) for k in keys]
-    return let(
-        F.coalesce(*present),
-        lambda v: F.when(
-            _kind(v).isin("STRING", "BIGINT", "DOUBLE") | _kind(v).startswith("DECIMAL"),
-            source_age_label(_whole_seconds(v), as_of),
-        ),
-    )
+    first = let(_date_fields(obj), _first_date)
+    return source_age_label(let(first, _date_text), as_of)
+
+
+def _date_fields(obj: Column) -> Column:
+    """The ten date keys of an object, read at once."""
+    return F.try_variant_get(obj, "$", "struct<%s>" % ", ".join(f"{k}: variant" for k in fixed.FEED_B_DATE_KEYS))
+
+
+def _first_date(dates: Column) -> Column:
+    return F.coalesce(*[F.when(~F.is_variant_null(dates[k]), dates[k]) for k in fixed.FEED_B_DATE_KEYS])
 
 
-def _whole_seconds(v: Column) -> Column:
-    """Numbers as whole seconds, strings as they are."""
-    text = F.try_variant_get(v, "$", "string")
-    return F.when(_kind(v) == "STRING", text).otherwise(F.regexp_replace(text, r"\..*$", ""))
+def _date_text(v: Column) -> Column:
+    """Strings as they are, numbers as whole seconds, null for other values."""
+    text, kind = F.try_variant_get(v, "$", "string"), _kind(v)
+    number = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+    return F.when(kind == "STRING", text).when(number, F.regexp_replace(text, r"\..*$", ""))
 
 
 def _place(item: Column) -> Column:
@@ -130,13 +133,15 @@ def feed_b_postings(raw_json: DataFrame, as_of) -> DataFrame:
     )
     o = F.col("o")
     url = _text(o, "public_url")
-    return rows.select(
+    # the steps of first_source_date as columns, which Spark compiles and takes once
+    dated = rows.withColumn("_dates", _date_fields(o)).withColumn("_date", _first_date(F.col("_dates")))
+    return dated.withColumn("_date_text", _date_text(F.col("_date"))).select(
         F.struct("page_pos", F.col("at").cast("long").alias("at")).alias("ingest_pos"),
         _field(o, "employer.company_name", "string").alias("company_name"),
         F.coalesce(_text(o, "title"), _text(o, "candidate_title")).alias("job_role"),
         _field(o, "employer.employee_count", "string").alias("employee_count_raw"),
         url.alias("job_url"),
-        first_source_date(o, as_of).alias("posted_date"),
+        source_age_label(F.col("_date_text"), as_of).alias("posted_date"),
         location_resolve(o, url).alias("location"),
         job_id_from_url(_text(o, "id"), url).alias("job_id"),
         F.lit(f"{fixed.FEED_B_SOURCE}.com").alias("source_website"),
