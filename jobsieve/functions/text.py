@@ -153,19 +153,26 @@ def html_unescape(c: Column) -> Column:
     return apply(unescape_sql("x"), c)
 
 
-def _unless(clean: str, c: Column, rules: str) -> Column:
-    """Text that matches ``clean`` as it is, a test that Spark compiles; the rules for all other text."""
-    return F.when(c.rlike(clean), c).otherwise(apply(rules, c))
+def _simple(c: Column) -> Column:
+    """Printable ASCII in which no reference but &amp; occurs: Spark compiles what little there is to clean."""
+    return c.rlike(r"^[ -~]*+\z") & ~F.replace(c, F.lit("&amp;"), F.lit("")).rlike(_REFERS)
+
+
+def _decoded(c: Column) -> Column:
+    return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
 
 def clean_text(c: Column) -> Column:
     """`clean_text`: unescape, drop control characters, collapse white space; null -> ''."""
-    return _unless(CLEAN, c, _cleaning_sql("x"))
+    simple = F.trim(F.regexp_replace(_decoded(c), "  +", " "))
+    return F.when(c.rlike(CLEAN), c).when(_simple(c), simple).otherwise(apply(_cleaning_sql("x"), c))
 
 
 def clean_company(c: Column) -> Column:
     """`clean_company`: cleaned text without leading numbering and edge punctuation."""
-    return _unless(CLEAN_LABEL, c, label_sql(_cleaning_sql("x")))
+    simple = F.trim(F.regexp_replace(_decoded(c), "  +", " "))
+    label = F.btrim(F.regexp_replace(simple, r"^[0-9]+[.)]\s+", ""), F.lit(fixed.EDGE_PUNCTUATION))
+    return F.when(c.rlike(CLEAN_LABEL), c).when(_simple(c), label).otherwise(apply(label_sql(_cleaning_sql("x")), c))
 
 
 def clean_role(c: Column) -> Column:
@@ -175,8 +182,8 @@ def clean_role(c: Column) -> Column:
 
 def normalize_key(c: Column) -> Column:
     """`normalize_key`: comparison key; '' for text without Latin letters or digits."""
-    letters = F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
-    return F.when(c.rlike(CLEAN), letters).otherwise(apply(letters_sql(_cleaning_sql("x")), c))
+    letters = F.regexp_replace(F.lower(_decoded(c)), "[^a-z0-9]+", "")
+    return F.when(_simple(c), letters).otherwise(apply(letters_sql(_cleaning_sql("x")), c))
 
 
 def strip(c: Column) -> Column:

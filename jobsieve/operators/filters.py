@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsieve import fixed
 from jobsieve.functions.let import once
-from jobsieve.functions.predicates import valid_names_and_size
+from jobsieve.functions.predicates import valid_headcount_sql, valid_names_sql
+from jobsieve.functions.text import clean_text
 
 
 def _has(c: Column | str, term: str) -> Column:
@@ -22,11 +23,14 @@ def like_any(c: Column | str, text: str) -> Column:
 
 
 def with_validity(df: DataFrame) -> DataFrame:
-    """Add is_valid: the `valid_record` test."""
-    ok = valid_names_and_size(
-        F.col("company_name"), F.col("job_role"), F.col("number_of_people")
-    )
-    return df.withColumn("is_valid", ok)
+    """Add is_valid: the `valid_record` test.
+
+    The cleaned names are columns of their own that filters stay above, so Spark compiles the rules and cleans once.
+    """
+    names = ("company_name", "job_role")
+    cleaned = once(df, **{f"_clean_{c}": clean_text(F.col(c)) for c in names})
+    ok = f"({valid_headcount_sql('number_of_people')} AND {valid_names_sql(*names, *[f'_clean_{c}' for c in names])})"
+    return cleaned.withColumn("is_valid", F.expr(ok)).select(*[c for c in df.columns if c != "is_valid"], "is_valid")
 
 
 def valid_record(df: DataFrame) -> DataFrame:

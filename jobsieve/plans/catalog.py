@@ -317,15 +317,15 @@ _over_postings(
         )
     },
 )
-_over_postings(
-    "split_compound",
-    lambda: {
-        "company": labels.split_compound(F.concat("company_name", F.lit(" - "), "job_role"))[
-            "company"
-        ],
-        "role": labels.split_compound(F.concat("company_name", F.lit(" - "), "job_role"))["role"],
-    },
-)
+
+
+@query("split_compound")
+def split_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat("company_name", F.lit(" - "), "job_role")
+    rows = labels.with_split_compound(views.postings(spark, sf_dir), line, "_split")
+    return rows.select("row_key", "_split.company", "_split.role")
+
+
 _over_postings(
     "split_metadata",
     lambda: {

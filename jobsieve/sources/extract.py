@@ -146,7 +146,7 @@ def _with_cards(rows: DataFrame) -> DataFrame:
     )
     usable = (
         f"k -> {valid_company_sql('k.text')} AND NOT (k.differs AND k.text <=> k.role) "
-        f"AND NOT (k.quiet AND {noise_sql(clean_text_sql('k.text'))})"
+        f"AND NOT (k.quiet AND {noise_sql('k.text')})"
     )
     cleaned = F.call_function("transform", F.concat(named, segments, spans), F.expr(labelled))
     best = F.get(F.call_function("filter", cleaned, F.expr(usable)), F.lit(0))["text"]

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from jobsieve.functions import headcount, predicates, text
+from jobsieve.functions import dates, headcount, labels, predicates, text
 from jobsieve.operators import classify, enrich, filters, metrics, spread, substrings, topk
 from jobsieve.operators.dedupe import with_clean_names
 from jobsieve.operators.rules import KeywordRule
+from jobsieve.sources import feeds
 
 
 def plan(df):
@@ -157,3 +158,65 @@ def test_keyword_table_cleans_a_role_once(spark, monkeypatch):
     table = spark.createDataFrame([("c", "C", 0, "both", "& lead")], "category_id string, category_name string, keyword_pos int, keyword string, term string")
     assert [r.ingest_pos for r in classify.keyword_match(rows, table).collect()] == [1]
     assert "Filter" not in read[0]
+
+
+def test_split_compound_steps_are_columns(spark):
+    lines = ["Veraxion - Data Engineer", "no", "USA - x y", None, "A &amp; B - &quot;Lead&quot;", "Acme - Clerk - Night", " - ", "É - Métier", "Acme Inc. Hires - Clerk"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, line string").repartition(2)
+    both = labels.with_split_compound(df, F.col("line"), "steps").withColumn("once", labels.split_compound(F.col("line")))
+    rows = both.orderBy("i").collect()
+    assert [r.steps for r in rows] == [r.once for r in rows]
+    assert [tuple(r.steps) if r.steps else None for r in rows][:2] == [("Veraxion", "Data Engineer"), None]
+    assert rows[4].steps.company == "A & B" and rows[4].steps.role == "Lead"
+
+
+def test_clean_segments_skip_the_cleaning(spark, apply):
+    assert predicates.noise_sql("s").startswith("CASE WHEN s RLIKE")
+    lines = ["Remote · Clerk • Full-time | Acme Labs", "  |Paris/ 2) Blue &amp; Co /x", "", None, "Clerk", "\u00a0Acme\u00a0|"]
+    named = apply(lines, lambda c: labels.split_metadata(c, F.lit("Clerk")))
+    assert named == ["Full", "Paris", None, None, None, "Acme"]
+
+
+def test_feed_dates_are_read_at_once(spark):
+    objects = ['{"posted_at":null,"created_at":"2024-01-01"}', '{"posted_on":[1],"created_at":"2024-01-01"}', '{"publish_date":1704067200.5}',
+               '{"created_on":"soon"}', "7", '{"posted_date":"1704067200"}', '{"title":"x"}']
+    bodies = spark.createDataFrame([(1, '{"objects":[' + ",".join(objects) + "]}")], "page_pos long, body string").repartition(2)
+    rows = feeds.feed_b_postings(bodies, "2024-01-03 00:00:00").select("ingest_pos.at", "posted_date")
+    assert [r.posted_date for r in rows.orderBy("at").collect()] == ["2 days ago", None, "2 days ago", None, None, "2 days ago", None]
+    direct = bodies.select(F.posexplode(F.try_variant_get(F.try_parse_json("body"), "$.objects", "array<variant>")).alias("at", "o"))
+    direct = direct.select("at", feeds.first_source_date(F.col("o"), "2024-01-03 00:00:00").alias("d")).orderBy("at").collect()
+    assert [r.d for r in direct] == [r.posted_date for r in rows.orderBy("at").collect()]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("variant_get(") < 8
+
+
+def test_company_sizes_are_parsed_once_a_branch(spark):
+    raw = spark.createDataFrame(
+        [(1, "Acme", "N/A", "https://e.com/acme", "https://e.com/"), (2, "ACME", None, None, None), (3, "Beta", "12 staff", None, None)],
+        "ingest_pos int, company_name string, employee_count_raw string, company_url string, page_url string",
+    ).repartition(2)
+    pages = spark.createDataFrame([(1, "https://e.com/acme", "Team size: 45")], "page_id int, url string, html string")
+    sized = enrich.company_size_once(enrich.with_headcount(raw), pages)
+    assert sorted((r.ingest_pos, r.number_of_people) for r in sized.collect()) == [(1, "45 employees"), (2, "45 employees"), (3, "12 employees")]
+    filters_of = [line for line in sized._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert not any("employee_count_raw" in line for line in filters_of)
+
+
+def test_validity_cleans_names_in_columns(spark):
+    rows = [("Acme", "Clerk", "N/A"), ("A &amp; B", "a b", "N/A"), ("Remote", "Clerk", "N/A"), (None, "Clerk", "N/A"), ("Acme", "acme", "N/A"), ("İi", "i̇i", "N/A"), ("Acme", "Clerk", "about 10")]
+    df = spark.createDataFrame(rows, "company_name string, job_role string, number_of_people string").repartition(2)
+    tested = filters.with_validity(df)
+    names = [F.col(c) for c in df.columns]
+    same = tested.withColumn("once", predicates.valid_names_and_size(*names)).collect()
+    assert [r.is_valid for r in same] == [r.once for r in same]
+    assert {r.company_name for r in same if r.is_valid and r.number_of_people == "N/A"} == {"Acme"}
+    assert "_clean_company_name" in tested._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_written_times_pass(spark, apply):
+    values = ["2024-02-29 10:00:00", "2023-02-29 10:00:00", "0000-01-01 00:00:00", "2024-01-01 24:00:00", " 2024-01-01 00:00:00 ", "2024-01-01T00:00:00Z", "1704067200", "soon", "", None]
+    assert apply(values, dates.normalize_published) == [
+        "2024-02-29 10:00:00", "2023-02-29 10:00:00", "0000-01-01 00:00:00", "2024-01-01 24:00:00", "2024-01-01 00:00:00",
+        "2024-01-01 00:00:00", "2024-01-01 00:00:00", "soon", None, None,
+    ]
+    shown = str(spark.range(1).select(dates.normalize_published(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString())
+    assert "CASE WHEN (RLIKE" in shown.replace("rlike(", "RLIKE(")
