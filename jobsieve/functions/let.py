@@ -22,12 +22,13 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with some columns set to values that are evaluated once per row, also when filters follow.
 
     A filter moves below the column that it reads and takes a copy of its expression along; below rows that a
-    generator made it does not move.
+    generator made it does not move.  The values are columns first, because Spark compiles them there and would
+    interpret rules as arguments of the generator.
     """
     others = [c for c in df.columns if c not in columns]
-    made = F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
+    made = F.inline(F.array(F.struct(*columns)))
     names = [*df.columns, *[n for n in columns if n not in df.columns]]
-    return df.select(*others, made).select(*names)
+    return df.withColumns(columns).select(*others, made).select(*names)
 
 
 def bind(value: str, name: str, body: str) -> str:
