@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsieve import fixed
 from jobsieve.functions.let import apply, bind, let, text, texts
@@ -108,10 +108,13 @@ def unspecified_sql(x: str) -> str:
     return f"coalesce(lower({strip_sql(x)}) IN ({texts(fixed.SIZE_UNSPECIFIED)}), true)"
 
 
+_UNGROUPED = f"CASE WHEN contains(h, ',') THEN regexp_replace(lower(h), {text('(?<=[0-9]),(?=[0-9])')}, '') ELSE lower(h) END"
+_PAIR = r"([0-9]+)\s*[-–—to]+\s*([0-9]+)"
+
+
 def under_100_sql(x: str) -> str:
     """A range decides before '+', '+' before a single number; grouping commas go first."""
-    plain = f"CASE WHEN contains(h, ',') THEN regexp_replace(lower(h), {text('(?<=[0-9]),(?=[0-9])')}, '') ELSE lower(h) END"
-    pair = text(r"([0-9]+)\s*[-–—to]+\s*([0-9]+)")
+    plain, pair = _UNGROUPED, text(_PAIR)
     high = f"try_cast({_filled(f'regexp_extract(d, {pair}, 2)')} AS double)"
     one = f"""CASE WHEN NOT d RLIKE {text(r"[0-9]\+")}
       THEN try_cast({_filled("regexp_extract(d, '([0-9]+)', 1)")} AS double) END"""
@@ -136,6 +139,25 @@ def size_eligible(c: Column) -> Column:
     return apply(f"({unspecified_sql('x')} OR {under_100_sql('x')})", c)
 
 
+def with_size_tests(df: DataFrame, small: str, unspecified: str) -> DataFrame:
+    """Add the `size_under_100` and `size_unspecified` of number_of_people; each step is a column, so Spark compiles the rules."""
+    read = df.withColumn("_people", F.expr(strip_name_sql("number_of_people")))
+    plain = F.expr(f"CASE WHEN _people NOT IN ({texts(fixed.SIZE_NOT_SMALL)}) THEN {_UNGROUPED.replace('(h', '(_people')} END")
+    numbers = read.withColumn("_plain", plain).withColumns(
+        {
+            "_high": F.regexp_extract("_plain", _PAIR, 2),
+            "_one": F.when(~F.col("_plain").rlike(r"[0-9]\+"), F.regexp_extract("_plain", "([0-9]+)", 1)),
+        }
+    )
+    # '' as a number would throw and catch an exception per row
+    high, one = (F.when(F.col(n) != "", F.col(n)).try_cast("double") for n in ("_high", "_one"))
+    tests = {
+        small: F.coalesce(high <= fixed.SMALL_COMPANY, one < fixed.SMALL_COMPANY, F.lit(False)),
+        unspecified: F.coalesce(F.lower("_people").isin(*fixed.SIZE_UNSPECIFIED), F.lit(True)),
+    }
+    return numbers.withColumns(tests).select(*df.columns, small, unspecified)
+
+
 def size_bucket(c: Column) -> Column:
     """`size_bucket`: array of overlapping bucket names, by substring."""
     def flag(name: str) -> Column:

@@ -31,6 +31,17 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns(columns).select(*others, made).select(*names)
 
 
+def apart(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that Spark compiles by themselves, in short methods.
+
+    Spark makes one method of a whole stage.  Many rules make it longer than what Java's compiler takes, and it is
+    interpreted, some ten times slower.  A projection with an array function is left out of that method, so the first
+    column gets one.
+    """
+    first, *_ = columns
+    return df.withColumns({**columns, first: let(columns[first], lambda value: value)})
+
+
 def bind(value: str, name: str, body: str) -> str:
     """The same in SQL text: ``body`` with ``name`` standing for ``value``."""
     return f"transform(array({value}), {name} -> {body})[0]"

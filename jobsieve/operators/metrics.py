@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsieve import fixed
 from jobsieve.functions.dates import date_tab, is_new_today
-from jobsieve.functions.headcount import size_bucket, size_eligible, size_under_100
+from jobsieve.functions.headcount import size_bucket, size_eligible
 from jobsieve.functions.let import once
 from jobsieve.functions.text import normalize_key
-from jobsieve.operators.classify import eligible, keyword_hits
+from jobsieve.operators.classify import eligible_sizes, keyword_hits
 from jobsieve.operators.dedupe import with_dedupe_key
 from jobsieve.operators.enrich import with_headcount
 from jobsieve.operators.filters import with_validity
@@ -89,8 +89,8 @@ def category_counts(
     its first arrival decides the size.  Postings are added up by that pair first; the rules look at the role
     only, so each pair is matched once, and what is left to add up is one row per pair and keyword.
     """
-    small = size_under_100(F.col("number_of_people")).cast("long")
-    narrow = eligible(df).select(
+    small = F.col("_small").cast("long")
+    narrow = eligible_sizes(df).select(
         F.lower("company_name").alias("_company"), F.lower("job_role").alias("job_role"), small.alias("_small"), order
     )
     pairs = narrow.groupBy("_company", "job_role").agg(

@@ -57,6 +57,10 @@ def terms_frame(spark: SparkSession, rules: Iterable[KeywordRule]) -> DataFrame:
 
 
 def any_term_sql(lower: str, terms: Iterable[str]) -> str:
-    """SQL test: the lower-case text contains one of the trimmed terms."""
-    trimmed = sorted({t.strip().lower() for t in terms})
+    """SQL test: the lower-case text contains one of the trimmed terms.
+
+    A term inside which another one stands needs no test of its own.
+    """
+    every = {t.strip().lower() for t in terms}
+    trimmed = sorted(t for t in every if not any(o != t and o in t for o in every))
     return "(" + " OR ".join(f"contains({lower}, {text(t)})" for t in trimmed) + ")"

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from jobsieve.functions import dates, headcount, labels, predicates, text
-from jobsieve.operators import classify, enrich, filters, metrics, spread, substrings, topk
+from jobsieve.operators import classify, enrich, filters, metrics, rules, spread, substrings, topk
 from jobsieve.operators.dedupe import with_clean_names
 from jobsieve.operators.rules import KeywordRule
 from jobsieve.sources import feeds
@@ -220,3 +220,40 @@ def test_written_times_pass(spark, apply):
     ]
     shown = str(spark.range(1).select(dates.normalize_published(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString())
     assert "CASE WHEN (RLIKE" in shown.replace("rlike(", "RLIKE(")
+
+
+def test_store_gate_reads_a_parsed_headcount(spark):
+    """The gate's filter used to take the parser along, several times over, down to the scan."""
+    raw = spark.createDataFrame([(1, "11 - 50"), (2, "N/A"), (3, None), (4, "over 200"), (5, "80 staff")], "i int, employee_count_raw string")
+    fits = classify.eligible(enrich.with_headcount(raw.repartition(2)))
+    assert sorted(r.i for r in fits.collect()) == [1, 2, 3, 5] and fits.columns == ["i", "employee_count_raw", "number_of_people"]
+    filters_of = [line for line in fits._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert filters_of and not any("employee_count_raw" in line for line in filters_of)
+
+
+def test_size_tests_in_steps_agree(spark):
+    sizes = ["11-50", "99", "100", "100+", "1,200", "1,0-2", "none of it", "N/A", " n/a ", "NULL", "none", "None", "Unknown", "", " ", None, "50 to 100", "5-", "99+ or 3", " 7 ", "-", "7" * 400]
+    df = spark.createDataFrame([(v,) for v in sizes], "number_of_people string").repartition(2)
+    people = F.col("number_of_people")
+    rows = headcount.with_size_tests(df, "small", "unspecified").select(
+        "*", headcount.size_under_100(people).alias("s"), headcount.size_unspecified(people).alias("u")
+    ).collect()
+    assert [(r.small, r.unspecified) for r in rows] == [(r.s, r.u) for r in rows] and len({(r.s, r.u) for r in rows}) == 3
+
+
+def test_terms_inside_terms_need_no_test():
+    assert rules.any_term_sql("r", ("qa", "QA lead", "a qa", "sdet", " sdet ")) == "(contains(r, 'qa') OR contains(r, 'sdet'))"
+    assert rules.any_term_sql("r", ("", "x")) == "(contains(r, ''))"
+
+
+def test_category_levels_read_the_same_hits(spark):
+    """Both levels used to clean, parse and test every posting."""
+    raw = spark.createDataFrame([(1, "A", "QA react", "10"), (2, "a", "qa REACT", "9"), (3, "B", "selenium qa", "N/A"), (4, "B", "clerk", "N/A"), (5, "C", None, "1"), (6, "C", "qa", "500")],
+                                "ingest_pos int, company_name string, job_role string, employee_count_raw string")
+    rows = classify.category_jobs(enrich.with_headcount(with_clean_names(raw.repartition(2))).drop("employee_count_raw"))
+    kept = rows.filter("category_id = 'qa_automation'").select("ingest_pos", "keyword", "bucket").collect()
+    under = [(i, k, b) for i in (1, 2) for k in ("QA & SDET",) for b in ("all", "under_100")] + [(3, k, b) for k in ("QA & SDET", "Selenium") for b in ("all", "unspecified")]
+    whole = [(1, None, b) for b in ("all", "under_100")] + [(3, None, b) for b in ("all", "unspecified")]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, under + whole))
+    shown = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in shown and "contains(" not in shown.lower()
