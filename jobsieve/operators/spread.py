@@ -114,8 +114,9 @@ def with_position(
     are range-partitioned by (group, order), numbered inside each partition, and
     shifted by the row counts of the partitions before; only those counts, one
     row per partition and group, pass through a window.  The numbered rows are
-    checkpointed because both uses must see the same partitioning.
-    ``order`` must identify rows uniquely.
+    checkpointed with all their columns because both uses must see the same
+    partitioning, and the shifts are broadcast while they fit, so that the rows
+    are shuffled once.  ``order`` must identify rows uniquely.
     """
     by = list(by)
     ready_for_checkpoint(df.sparkSession)
@@ -139,6 +140,7 @@ def with_position(
     match = F.col("_part") == F.col("_p")
     for i, c in enumerate(by):
         match = match & F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    # about (partitions + groups) rows; Spark broadcasts them if they are small
-    placed = numbered.join(shifts, match)
+    # about (partitions + groups) rows; Spark can't tell that, and would shuffle the rows beside them
+    shifts, small = measured(shifts)
+    placed = numbered.join(F.broadcast(shifts) if small else shifts, match)
     return placed.select(*df.columns, (F.col("_row_id") + F.col("_shift")).alias(name))

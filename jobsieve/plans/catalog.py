@@ -789,7 +789,8 @@ def application_rownum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("batch_100")
 def batch_100(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = route.route_date_tabs(views.raw_postings(spark, sf_dir))
-    placed = topk.batch_100(rows, "date_tab", n=10)
+    # numbered rows are shuffled and checkpointed with all their columns
+    placed = topk.batch_100(rows.select("row_key", "date_tab", "ingest_pos"), "date_tab", n=10)
     return placed.select("row_key", "date_tab", "batch_no")
 
 

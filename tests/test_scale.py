@@ -6,6 +6,7 @@ from jobsieve.functions import dates, headcount, labels, predicates, text
 from jobsieve.operators import classify, enrich, filters, metrics, rules, spread, substrings, topk
 from jobsieve.operators.dedupe import with_clean_names
 from jobsieve.operators.rules import KeywordRule
+from jobsieve.plans import catalog
 from jobsieve.sources import feeds
 
 
@@ -257,3 +258,30 @@ def test_category_levels_read_the_same_hits(spark):
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, under + whole))
     shown = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in shown and "contains(" not in shown.lower()
+
+
+def test_numbered_rows_are_shuffled_once(spark):
+    df = spark.createDataFrame([(g, i) for g in ("a", "b", None) for i in range(50)], "g string, i long").repartition(4)
+    placed = spread.with_position(df, ["i"], by=["g"])
+    assert sorted((r.g or "", r.i, r.position) for r in placed.collect()) == [(g, i, i + 1) for g in ("", "a", "b") for i in range(50)]
+    assert "BroadcastHashJoin" in plan(placed) and "SortMergeJoin" not in plan(placed)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        again = spread.with_position(df, ["i"], by=["g"])
+        assert "BroadcastHashJoin" not in plan(again)
+        assert sorted((r.g or "", r.i, r.position) for r in again.collect()) == [(g, i, i + 1) for g in ("", "a", "b") for i in range(50)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_batches_number_narrow_rows(spark, monkeypatch):
+    numbered = []
+
+    def with_position(df, *args, **named):
+        numbered.append(df.columns)
+        return spread.with_position(df, *args, **named)
+
+    monkeypatch.setattr(topk, "with_position", with_position)
+    catalog.batch_100(spark, "/root/testdata/sf0.001")
+    assert numbered == [["row_key", "date_tab", "ingest_pos"]]
