@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from jobsieve import schema
 from jobsieve.functions import dates, headcount, labels, predicates, text
-from jobsieve.operators import classify, enrich, filters, metrics, rules, spread, substrings, topk
+from jobsieve.operators import classify, enrich, filters, metrics, rules, spread, store, substrings, topk
 from jobsieve.operators.dedupe import with_clean_names
 from jobsieve.operators.rules import KeywordRule
-from jobsieve.plans import catalog
+from jobsieve.plans import catalog, views
 from jobsieve.sources import feeds
 
 
@@ -285,3 +286,38 @@ def test_batches_number_narrow_rows(spark, monkeypatch):
     monkeypatch.setattr(topk, "with_position", with_position)
     catalog.batch_100(spark, "/root/testdata/sf0.001")
     assert numbered == [["row_key", "date_tab", "ingest_pos"]]
+
+
+def test_first_merge_leaves_the_store_partitioned(spark):
+    """The store used to be joined with no rows, and shuffled once more for the next merge."""
+    columns = "ingest_pos struct<a:int,b:string>, company_name string, job_role string, job_url string, number_of_people string, source_website string, posted_date string, published_at string, location string, posted_by string"
+    old = [((1, "b"), "Acme", "Clerk", "https://e/1", "10", "x", None, None, "N/A", "Ann"), ((1, "a"), "ACME", "clerk", "https://e/1?b", "N/A", "y", "d", None, "Oslo", None)]
+    new = [((2, "a"), "Acme", "Clerk", "https://e/1", "N/A", "z", None, "2024-01-01 00:00:00", "", "Bob"), (None, "Beta", "Clerk", None, "9", "z", None, None, None, None), ((3, "a"), "Beta", "Clerk", None, "7", "w", None, None, None, None)]
+    batches = [spark.createDataFrame(rows, columns).repartition(3) for rows in (old, new)]
+
+    def merged(empty):
+        first = store.upsert_postings(batches[0], empty, "2024-01-02 00:00:00")[0]
+        return store.upsert_postings(batches[1], first, "2024-01-03 00:00:00")[0]
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        known, unknown = merged(store.empty_store(spark)), merged(spark.createDataFrame([], schema.STORE))
+        assert plan(known).count("Exchange hashpartitioning(fingerprint") == 2
+        assert known.schema == unknown.schema
+        rows = sorted(map(tuple, known.collect()))
+        assert rows == sorted(map(tuple, unknown.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    acme = next(r for r in known.collect() if r.job_url)
+    assert (acme.company_name, acme.job_role, acme.source_website, acme.number_of_people) == ("ACME", "clerk", "y", "10")
+    assert (acme.location, acme.posted_by, acme.posted_date, acme.published_at, acme.scrape_count) == ("Oslo", "Bob", "d", "2024-01-01 00:00:00", 3)
+    beta = next(r for r in known.collect() if not r.job_url)
+    assert (beta.source_website, beta.number_of_people, beta.scrape_count) == ("w", "7", 2)
+
+
+def test_text_is_joined_last(spark):
+    """Rows with part and supplier names used to be shuffled for the join with orders."""
+    shown = views.raw_postings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    outer = [line for line in shown.splitlines() if "Join Inner" in line]
+    assert ["s_suppkey" in outer[0], "p_partkey" in outer[1], "o_orderkey" in outer[2]] == [True] * 3
